@@ -33,6 +33,7 @@ from loopdex.functions.query import (
 from loopdex.operators.text_index import analyze, bm25_match, phrase_match, scalars
 from loopdex.operators.util import bounded_broadcast, top_k_per_group
 from loopdex.operators.vectors import knn_exact
+from loopdex.session import checkpoint_dir
 
 
 @dataclass
@@ -138,7 +139,10 @@ def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query
     description?, original_description, gif_url); vectors: (doc_id, embedding);
     query_vectors: (query_id, embedding) for the semantic list."""
     limit, depth = cfg.limit, cfg.list_depth
-    pq = prepare_queries(queries, cfg).cache() if False else prepare_queries(queries, cfg)
+    # The parsed query table is small and feeds every branch: cut its lineage once so
+    # each branch plans against a scan of the checkpoint, not the regex parse chain.
+    checkpoint_dir(queries.sparkSession)
+    pq = prepare_queries(queries, cfg).checkpoint(eager=True)
     dp = prepare_docs(docs, cfg)
 
     # --- text list (conjuncts of phrases + match), filtered, ranked

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loopdex.plans import ingest_plans as IP
 from loopdex.plans import oracle_search as OS
 from loopdex.plans import search_plans as SP
 
@@ -9,8 +10,11 @@ QUERIES = {
     "hybrid_search": SP.hybrid_search,
     "search_totals": SP.search_totals,
 }
-
 ORACLE = {
     "hybrid_search": OS.hybrid_search_sql(),
     "search_totals": OS.search_totals_sql(),
 }
+
+for _mod in (IP,):
+    QUERIES.update(_mod.Q)
+    ORACLE.update(_mod.O)
