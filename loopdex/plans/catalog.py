@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loopdex.plans import enrich_plans as EP
 from loopdex.plans import ingest_plans as IP
 from loopdex.plans import oracle_search as OS
 from loopdex.plans import search_plans as SP
@@ -15,6 +16,6 @@ ORACLE = {
     "search_totals": OS.search_totals_sql(),
 }
 
-for _mod in (IP,):
+for _mod in (IP, EP):
     QUERIES.update(_mod.Q)
     ORACLE.update(_mod.O)
