@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopdex.functions.moderation import has_blocked_tag, is_removed
+from loopdex.operators.util import ensure_cols
+
+_MOD_COLS = ("literal", "description", "combined_text")
 
 
 def page_scan(docs: DataFrame, limit: int, offset: int, excluded_col: str = "excluded") -> DataFrame:
@@ -35,17 +38,16 @@ def dense_positions(docs: DataFrame, order: str = "seq") -> DataFrame:
 
 def sample_windows(docs: DataFrame, offsets: DataFrame, limit: int, seed: int, blocked: tuple[str, ...],
                    excluded_col: str = "excluded") -> DataFrame:
-    """G5 with given window offsets (window_no, off): windows of b=min(2*limit, T) rows at
+    """G5 with given window offsets (window_no, off, b): windows of b=min(2*limit, T) rows at
     0-based offsets over the non-excluded rows, concatenated in window order; repeated ids
     dropped (first wins) before the moderation filter; then a seeded shuffle and ``limit``.
 
     The band join (off < pos <= off + b) runs against the broadcast offsets table (at most
     a handful of rows), so documents are never shuffled for it.
     """
+    docs = ensure_cols(docs, _MOD_COLS)
     pos = dense_positions(docs.where(~F.col(excluded_col)))
-    total = pos.agg(F.count(F.lit(1))).scalar()
-    b = F.least(F.lit(2 * limit), total)
-    win = (pos.join(F.broadcast(offsets), (pos.pos > offsets.off) & (pos.pos <= offsets.off + b))
+    win = (pos.join(F.broadcast(offsets), (pos.pos > offsets.off) & (pos.pos <= offsets.off + offsets.b))
            .withColumn("_o", F.struct("window_no", "pos")))
     first = win.groupBy("doc_id").agg(F.min("_o").alias("_o"))
     pool = win.join(first, ["doc_id", "_o"]).drop("_o")
@@ -55,6 +57,7 @@ def sample_windows(docs: DataFrame, offsets: DataFrame, limit: int, seed: int, b
 
 def sample_uniform(docs: DataFrame, limit: int, seed: int, blocked: tuple[str, ...], excluded_col: str = "excluded") -> DataFrame:
     """A seeded uniform page: order by md5(id || seed) (one pass, partial top-n per task)."""
+    docs = ensure_cols(docs, _MOD_COLS)
     ok = docs.where(~F.col(excluded_col) & ~is_removed("literal", "description", "combined_text") & ~has_blocked_tag("tags", blocked))
     return ok.orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(str(seed)))), "doc_id").limit(limit)
 
@@ -65,8 +68,9 @@ def window_offsets(spark, total: int, limit: int, seed: int):
     import random
 
     if total == 0:
-        return spark.createDataFrame([], "window_no int, off long")
+        return spark.createDataFrame([], "window_no int, off long, b long")
     b = min(2 * limit, total)
     m = min(5, math.ceil(total / b))
     rnd = random.Random(seed)
-    return spark.createDataFrame([(i, int(math.floor(rnd.random() * max(1, total - b)))) for i in range(m)], "window_no int, off long")
+    return spark.createDataFrame([(i, int(math.floor(rnd.random() * max(1, total - b))), b) for i in range(m)],
+                                 "window_no int, off long, b long")

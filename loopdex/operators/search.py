@@ -31,7 +31,7 @@ from loopdex.functions.query import (
     with_parsed,
 )
 from loopdex.operators.text_index import analyze, bm25_match, phrase_match, scalars
-from loopdex.operators.util import bounded_broadcast, top_k_per_group
+from loopdex.operators.util import bounded_broadcast, ensure_cols, top_k_per_group
 from loopdex.operators.vectors import knn_exact
 from loopdex.session import checkpoint_dir
 
@@ -217,6 +217,7 @@ def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query
 
 def lookup_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Point lookup of an id table; removed documents vanish, blocked tags are not checked, score 0."""
+    docs = ensure_cols(docs, ("literal", "description", "original_description", "combined_text", "gif_url"))
     return (docs.join(ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
             .where(~is_removed("literal", "description", "combined_text"))
             .select("doc_id", F.lit(0.0).alias("score"), F.coalesce("gif_url", F.lit("")).alias("gif_url"),

@@ -31,3 +31,9 @@ def top_k_per_group(df: DataFrame, group: str | list[str], order: list[Column],
 def round6(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.round(c.cast("double"), 6)
+
+
+def ensure_cols(df: DataFrame, cols: tuple[str, ...], dtype: str = "string") -> DataFrame:
+    """Add absent optional store fields as typed nulls (schema-on-write stores omit them)."""
+    missing = {c: F.lit(None).cast(dtype) for c in cols if c not in df.columns}
+    return df.withColumns(missing) if missing else df
