@@ -30,6 +30,8 @@ from loopdex.functions.query import (
     tags_contain,
     with_parsed,
 )
+
+__all__ = ["search", "lookup_ids", "tags_contain", "all_clauses_match"]
 from loopdex.operators.text_index import analyze, bm25_match, phrase_match, scalars
 from loopdex.operators.util import bounded_broadcast, ensure_cols, top_k_per_group
 from loopdex.operators.vectors import knn_exact

@@ -5,6 +5,7 @@ from __future__ import annotations
 from loopdex.plans import enrich_plans as EP
 from loopdex.plans import ingest_plans as IP
 from loopdex.plans import misc_plans as MP
+from loopdex.plans import text_plans as TP
 from loopdex.plans import oracle_search as OS
 from loopdex.plans import search_plans as SP
 
@@ -17,6 +18,6 @@ ORACLE = {
     "search_totals": OS.search_totals_sql(),
 }
 
-for _mod in (IP, EP, MP):
+for _mod in (IP, EP, MP, TP):
     QUERIES.update(_mod.Q)
     ORACLE.update(_mod.O)
