@@ -7,6 +7,7 @@ from loopdex.plans import ingest_plans as IP
 from loopdex.plans import misc_plans as MP
 from loopdex.plans import text_plans as TP
 from loopdex.plans import vector_plans as VP
+from loopdex.plans import stream_plans as STP
 from loopdex.plans import oracle_search as OS
 from loopdex.plans import search_plans as SP
 
@@ -19,6 +20,6 @@ ORACLE = {
     "search_totals": OS.search_totals_sql(),
 }
 
-for _mod in (IP, EP, MP, TP, VP):
+for _mod in (IP, EP, MP, TP, VP, STP):
     QUERIES.update(_mod.Q)
     ORACLE.update(_mod.O)
