@@ -53,16 +53,30 @@ def prepare_queries(queries: DataFrame, cfg: SearchConfig) -> DataFrame:
     })
 
 
+DISPLAY_COLS = ("literal", "description", "original_description", "combined_text", "tags", "gif_url")
+
+
 def prepare_docs(docs: DataFrame, cfg: SearchConfig, text_col: str = "combined_text") -> DataFrame:
-    """(doc_id, seq, text, tag_toks, excluded): excluded = matches a blocked-tag phrase."""
+    """(doc_id, seq, text, tag_toks, excluded, display fields): the searchable store row.
+
+    excluded = matches a blocked-tag phrase (I12). This is ingest-time work (O8): a
+    store written with these columns is searched as is (see ``is_prepared``).
+    """
     blocked = F.array(*[exclusion_clause_tokens(F.lit(t)) for t in cfg.blocked_tags]) if cfg.blocked_tags \
         else F.array().cast("array<array<string>>")
+    docs = ensure_cols(docs, ("literal", "description", "original_description", "combined_text", "gif_url"))
+    if "tags" not in docs.columns:
+        docs = docs.withColumn("tags", F.lit(None).cast("array<string>"))
     return docs.select(
         F.col("doc_id").cast("string").alias("doc_id"), "seq", F.col(text_col).alias("text"),
-        tag_tokens("tags").alias("tag_toks"),
+        tag_tokens("tags").alias("tag_toks"), *DISPLAY_COLS,
     ).withColumn("excluded", any_clause_matches("tag_toks", blocked))
 
 
+def is_prepared(docs: DataFrame) -> bool:
+    return {"doc_id", "seq", "text", "tag_toks", "excluded", *DISPLAY_COLS} <= set(docs.columns)
+
+
 def _passes(req="req", neg="neg"):
     return (~F.col("excluded")) & all_clauses_match("tag_toks", req) & ~any_clause_matches("tag_toks", neg)
 
@@ -145,7 +159,11 @@ def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query
     # each branch plans against a scan of the checkpoint, not the regex parse chain.
     checkpoint_dir(queries.sparkSession)
     pq = prepare_queries(queries, cfg).checkpoint(eager=True)
-    dp = prepare_docs(docs, cfg)
+    n_queries = pq.count()
+    # The prepared corpus feeds six branches (text, vectors, tags, match-all, display,
+    # totals). A raw input is prepared once and its lineage cut, so the corpus is
+    # scanned and its tags tokenised once instead of once per branch.
+    dp = docs if is_prepared(docs) else prepare_docs(docs, cfg).checkpoint(eager=True)
 
     # --- text list (conjuncts of phrases + match), filtered, ranked
     tc = text_candidates(pq, dp, cfg)
@@ -193,12 +211,12 @@ def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query
     # --- G1: limit before moderation (late materialisation of the document fields)
     order = [F.col("list_score").desc(), F.col("tie_seq"), F.col("doc_id")]
     top = top_k_per_group(cand, "query_id", order, limit, "pre_rank")
-    disp_cols = [c for c in ("literal", "description", "original_description", "combined_text", "tags", "gif_url") if c in docs.columns]
-    dfields = docs.select(F.col("doc_id").cast("string").alias("doc_id"), *disp_cols)
-    for c in ("description", "original_description", "literal", "combined_text", "gif_url"):
-        if c not in dfields.columns:
-            dfields = dfields.withColumn(c, F.lit(None).cast("string"))
-    joined = top.join(dfields, "doc_id")
+    dfields = dp.select("doc_id", *DISPLAY_COLS)
+    # top holds at most limit rows per query and the query count is known from the
+    # checkpoint, so its size bound is proven without running it: broadcast it and
+    # fetch the display fields where the documents live (late materialisation).
+    top_side = F.broadcast(top) if n_queries * limit <= cfg.max_broadcast_queries * 50 else top
+    joined = dfields.join(top_side, "doc_id")
     kept = joined.where(~is_removed("literal", "description", "combined_text") & ~has_blocked_tag("tags", cfg.blocked_tags))
     hits = top_k_per_group(kept, "query_id", [F.col("pre_rank")], limit, "rank").select(
         "query_id", "rank", "doc_id",
