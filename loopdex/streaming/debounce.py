@@ -68,15 +68,15 @@ def drop_repeats(events: DataFrame, key: str, ts: str, text: str, bucket_us: int
     The previous text is found inside each (key, time-bucket) slice; the first row of a
     slice looks up the last text of the key's previous non-empty slice from a per-slice
     summary table (at most one row per slice), so no window spans a whole key."""
-    e = events.select(F.col(key).alias("k"), _us(ts).alias("t"), F.col(text).alias("x"), "*").withColumn(
-        "b", F.floor(F.col("t") / F.lit(bucket_us)))
-    w = Window.partitionBy("k", "b").orderBy("t")
-    e = e.withColumn("prev", F.lag("x").over(w)).withColumn("rn", F.row_number().over(w))
-    summ = e.groupBy("k", "b").agg(F.max_by("x", "t").alias("last_x"))
-    summ = summ.withColumn("prev_b_x", F.lag("last_x").over(Window.partitionBy("k").orderBy("b"))).select("k", "b", "prev_b_x")
-    e = e.join(summ, ["k", "b"]).withColumn("prev", F.when(F.col("rn") == 1, F.col("prev_b_x")).otherwise(F.col("prev")))
-    keep = (ws_trim("x") != "") & (F.col("prev").isNull() | ~F.col("prev").eqNullSafe(F.col("x")))
-    return e.where(keep).drop("k", "t", "x", "b", "prev", "rn", "prev_b_x")
+    e = events.select("*", F.col(key).alias("_k"), _us(ts).alias("_t"), F.col(text).alias("_x")).withColumn(
+        "_b", F.floor(F.col("_t") / F.lit(bucket_us)))
+    w = Window.partitionBy("_k", "_b").orderBy("_t")
+    e = e.withColumn("_prev", F.lag("_x").over(w)).withColumn("_rn", F.row_number().over(w))
+    summ = e.groupBy("_k", "_b").agg(F.max_by("_x", "_t").alias("_last_x"))
+    summ = summ.withColumn("_prev_b_x", F.lag("_last_x").over(Window.partitionBy("_k").orderBy("_b"))).select("_k", "_b", "_prev_b_x")
+    e = e.join(summ, ["_k", "_b"]).withColumn("_prev", F.when(F.col("_rn") == 1, F.col("_prev_b_x")).otherwise(F.col("_prev")))
+    keep = (ws_trim("_x") != "") & (F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(F.col("_x")))
+    return e.where(keep).drop("_k", "_t", "_x", "_b", "_prev", "_rn", "_prev_b_x")
 
 
 def stream_debounce(stream: DataFrame, key: str, ts: str, text: str, gap: str, watermark: str) -> DataFrame:
