@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from loopdex.config import SearchConfig
 from loopdex.functions.text import tokens
-from loopdex.operators.util import bounded_broadcast
+from loopdex.operators.util import bounded_broadcast, spread
 
 
 def analyze(corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id", cfg: SearchConfig = SearchConfig(),
             keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, toks, dl, *keep): one row per document, no shuffle."""
+    """(doc_id, toks, dl, *keep): one row per document (spread only if the scan is narrow)."""
+    corpus = spread(corpus, id_col)
     return corpus.select(
         F.col(id_col).alias("doc_id"),
         tokens(text_col, cfg.token_pattern).alias("toks"),

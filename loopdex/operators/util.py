@@ -37,3 +37,17 @@ def ensure_cols(df: DataFrame, cols: tuple[str, ...], dtype: str = "string") ->
     """Add absent optional store fields as typed nulls (schema-on-write stores omit them)."""
     missing = {c: F.lit(None).cast(dtype) for c in cols if c not in df.columns}
     return df.withColumns(missing) if missing else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread rows on ``key`` when the scan yields fewer tasks than the cluster has
+    cores (e.g. one large row group), so CPU-heavy per-row work (regex tokenising, JSON
+    parsing, hashing) runs in parallel. Large inputs already have enough splits and are
+    left alone. Partitioning on ``key`` also satisfies later aggregations whose grouping
+    keys include it, so they add no further exchange.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, key)
+    return df

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loopdex import config as C
 from loopdex.functions.query import py_tags_contain
 from loopdex.functions.text import tokens
-from loopdex.operators.util import top_k_per_group
+from loopdex.operators.util import spread, top_k_per_group
 
 HIT_SCHEMA = "query_id long, doc_id string, score double"
 
@@ -155,6 +155,7 @@ def _normalized_counts(dim: int):
 
 def hash_embed(df: DataFrame, text_col: str, dim: int = C.TEXT_DIM, out_col: str = "embedding") -> DataFrame:
     """Deterministic built-in embedder (L2-normalised hashed term counts)."""
+    df = spread(df, df.columns[0])
     return df.withColumn(out_col, _normalized_counts(dim)(hash_buckets(text_col, dim)))
 
 

@@ -25,7 +25,9 @@ def parse_descriptions(lines: DataFrame, text_col: str = "line") -> DataFrame:
     of strings). ``from_json`` would silently coerce such values; the variant kind
     check keeps the strict behaviour.
     """
-    v = lines.withColumn("_v", F.try_parse_json(F.col(text_col)))
+    from loopdex.operators.util import spread
+
+    v = spread(lines, "line_no").withColumn("_v", F.try_parse_json(F.col(text_col)))
     kinds = {f: F.schema_of_variant(F.try_variant_get("_v", f"$.{f}", "variant")) for f in STRING_FIELDS}
     tag_kind = F.schema_of_variant(F.try_variant_get("_v", "$.tags", "variant"))
     bad_field = F.lit(None).cast("string")
