@@ -99,13 +99,38 @@ FROM part
 """
 
 
+# Base tables each view reads (so a plan registers only what it scans).
+VIEW_DEPS = {
+    "v_caption_lines": ("documents",), "v_description_json": ("part",), "v_docs": ("part",), "v_queries": (),
+    "v_updates": ("customer",), "v_manifest_items": ("documents", "labels"), "v_payload": ("documents",),
+    "v_media": ("part",),
+}
+_REGISTERED: dict = {}
+
+
+def _register_one(spark: SparkSession, name: str, sf_dir: str, make) -> None:
+    key = (id(spark), name)
+    if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists(name):
+        return
+    make().createOrReplaceTempView(name)
+    _REGISTERED[key] = sf_dir
+
+
 def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = None) -> None:
-    """Register the driver tables and the derived views as temp views."""
-    for t in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for name, sql in VIEWS.items():
-        if names is None or name in names:
-            spark.sql(sql).createOrReplaceTempView(name)
+    """Register the driver tables the named views need (all when None), then the views.
+
+    Registration is skipped when the same data directory is already registered in this
+    session, so repeated plans do not re-list files or re-read footers.
+    """
+    views = tuple(VIEWS) if names is None else tuple(n for n in names if n in VIEWS)
+    bases = set(BASE_TABLES) if names is None else {t for v in views for t in VIEW_DEPS[v]} | \
+        {n for n in names if n in BASE_TABLES}
+    if names is not None and any(n in ("v_docs", "v_queries") for n in names):
+        bases.add("embeddings")
+    for t in sorted(bases):
+        _register_one(spark, t, sf_dir, lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+    for v in views:
+        _register_one(spark, v, sf_dir, lambda v=v: spark.sql(VIEWS[v]))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
