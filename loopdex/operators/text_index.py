@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from loopdex.config import SearchConfig
 from loopdex.functions.text import tokens
 from loopdex.operators.util import bounded_broadcast, spread
+from loopdex.session import checkpoint_dir
 
 
 def analyze(corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id", cfg: SearchConfig = SearchConfig(),
@@ -92,7 +93,12 @@ def bm25_match(analyzed: DataFrame, clauses: DataFrame, cfg: SearchConfig = Sear
     st = stats or scalars(analyzed)
     qterms = (clauses.select("query_id", "clause_id", F.explode(F.array_distinct(tokens("text", cfg.token_pattern))).alias("token"))
               .distinct())
-    post = term_postings(analyzed, qterms, cfg, carry)
+    # The pruned postings feed both the scoring join and document frequency; column
+    # pruning makes the two branches differ, so without a cut the corpus would be
+    # scanned and tokenised twice. They hold query terms only, so writing them once
+    # to the checkpoint folder is far cheaper than a second pass over the corpus.
+    checkpoint_dir(analyzed.sparkSession)
+    post = term_postings(analyzed, qterms, cfg, carry).checkpoint(eager=True)
     dfs = doc_freq(post)
     qt = bounded_broadcast(qterms, cfg.max_broadcast_queries * 64)
     scored = (post.join(qt, "token")
