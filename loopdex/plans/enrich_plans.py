@@ -187,3 +187,29 @@ Q.update({
     "fetch_status": fetch_status, "run_summary": run_summary, "cost_estimate": cost_estimate, "grand_total": grand_total,
     "mark_described": mark_described, "pipeline_status": pipeline_status,
 })
+
+
+def done_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """A4 (tolerant): distinct URLs already present in a description output; bad lines skipped."""
+    from loopdex.sources.descriptions import done_keys
+
+    return done_keys(fx.view(spark, sf, "v_description_json"), "url")
+
+
+O["done_ids"] = fx.with_views("""
+SELECT DISTINCT json_extract_string(j, '$.url') AS url
+FROM (SELECT CASE WHEN json_valid(line) THEN line END AS j FROM v_description_json)
+WHERE json_extract_string(j, '$.url') IS NOT NULL""", "v_description_json")
+
+
+def needs_description(spark: SparkSession, sf: str) -> DataFrame:
+    """Per item, whether it needs a description (and under force)."""
+    it = _items(spark, sf)
+    return it.select("source", "item_no", wl.needs_description(False).alias("needs"), wl.needs_description(True).alias("needs_forced"))
+
+
+O["needs_description"] = fx.with_views(f"""
+SELECT source, item_no, {_NEED} AS needs, coalesce(downloaded, false) AS needs_forced FROM v_manifest_items""",
+    "v_manifest_items")
+
+Q.update({"done_ids": done_ids, "needs_description": needs_description})
