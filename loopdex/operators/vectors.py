@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopdex import config as C
@@ -159,6 +159,20 @@ def hash_embed(df: DataFrame, text_col: str, dim: int = C.TEXT_DIM, out_col: str
     return df.withColumn(out_col, _normalized_counts(dim)(hash_buckets(text_col, dim)))
 
 
+def hash_embed_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = C.TEXT_DIM) -> DataFrame:
+    """I14, sparse form, fully JVM-side: (id, bucket, weight) for the non-zero buckets.
+
+    Rows are spread on the id, so the (id, bucket) count and the per-document norm (a
+    window over at most ``dim`` rows) reuse that partitioning: no further exchange.
+    Weights are rounded to float32 exactly as the dense embedder stores them.
+    """
+    d = spread(df.select(id_col, text_col), id_col)
+    counts = (d.select(id_col, F.explode(hash_buckets(text_col, dim)).alias("bucket"))
+              .groupBy(id_col, "bucket").agg(F.count(F.lit(1)).cast("double").alias("c")))
+    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(id_col)))
+    return counts.select(id_col, "bucket", (F.col("c") / norm).cast("float").alias("weight"))
+
+
 def attach_embeddings(docs: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     """Docs left-joined with their vector; ``embed_failed`` marks docs without one."""
     return (docs.join(vectors.select(key, "embedding"), key, "left")

@@ -55,10 +55,9 @@ def knn_ivf(spark: SparkSession, sf: str, n_cells: int = 16, nprobe: int = 4) ->
 
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     """Hashed, L2-normalised term counts of every document (non-zero buckets)."""
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
-    e = V.hash_embed(docs, "text")
-    return e.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).where(F.col("w") != 0).select(
-        "doc_id", F.col("bucket").cast("int").alias("bucket"), round6("w").alias("weight"))
+    docs = fx.table(spark, sf, "documents")
+    e = V.hash_embed_sparse(docs, "doc_id", "text")
+    return e.select("doc_id", F.col("bucket").cast("int").alias("bucket"), round6("weight").alias("weight"))
 
 
 O["hash_embed"] = """

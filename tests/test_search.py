@@ -130,3 +130,12 @@ def test_search_small_corpus(spark):
     assert [d for _, d in sorted(hits[5])] == ["d1"]
     tot = {r.query_id: r.total for r in res.totals.collect()}
     assert tot == {1: 2, 2: 2, 3: 3, 4: 1, 5: 1}
+
+
+def test_sparse_embed_equals_dense(spark):
+    df = spark.createDataFrame([(1, "a b b c the the the"), (2, "x"), (3, "")], "doc_id long, text string")
+    dense = {r.doc_id: r.embedding for r in V.hash_embed(df, "text", dim=16).collect()}
+    sparse = V.hash_embed_sparse(df, "doc_id", "text", dim=16).collect()
+    for r in sparse:
+        assert dense[r.doc_id][r.bucket] == pytest.approx(r.weight, abs=0)
+    assert len(sparse) == sum(int(np.count_nonzero(v)) for v in dense.values())
