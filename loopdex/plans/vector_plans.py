@@ -74,7 +74,7 @@ def attach_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.table("v_docs").select("doc_id", "seq")
     vec = spark.table("embeddings").select(F.col("vec_id").alias("seq"), "embedding")
     a = V.attach_embeddings(docs, vec, "seq")
-    return a.select("doc_id", "embed_failed", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim"))
+    return a.select("doc_id", "embed_failed", F.coalesce(F.size("embedding"), F.lit(-1)).cast("long").alias("dim"))
 
 
 O["attach_embeddings"] = fx.with_views("""
