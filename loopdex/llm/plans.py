@@ -19,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.judge(read(spark, sf_dir, "documents", "doc_id", "text"))
+    rows = quality_rules.judge(read(spark, sf_dir, "documents", "doc_id", "text"), drop=("text",))
     return rows.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 

@@ -117,9 +117,10 @@ def fit(votes: DataFrame) -> tuple[float, dict[str, float]]:
     return prior, accuracy
 
 
-def judge(df: DataFrame, text: str = "text", keep: float = 0.5) -> DataFrame:
-    """df with the measures, votes, p_good, base_failed and kept (not base_failed and p_good >= keep)."""
-    df = voted(measured(df, text))
+def judge(df: DataFrame, text: str = "text", keep: float = 0.5, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df, without the columns to drop, with the measures, votes, p_good, base_failed and kept (not base_failed and
+    p_good >= keep). Measures and votes are written once, so texts are measured a single time for EM and verdicts."""
+    df = written(voted(measured(df, text)).drop(*drop), "votes")
     prior, accuracy = fit(df.select(*RULES))
     failed = F.expr(BASE_FAILED)
     return df.withColumns({"p_good": F.expr(posterior(prior, accuracy)), "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep))
