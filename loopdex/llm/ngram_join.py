@@ -34,6 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loopdex.llm import bloom
 from loopdex.llm.common import written
 from loopdex.llm.graph import components
 
@@ -277,9 +278,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = written(known.groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "reps")
     rounds = reps.withColumn("r", F.explode(F.expr(f"filter(array(0, 1), r -> (r = 0 AND n <= {_short_top(percent)}) OR (r = 1 AND n >= {SHORT}))")))
     rounds = rounds.join(alone, ["c", "r"], "left").where(f"coalesce(alone, 0) <= n - (({percent} * n + 99) div 100)")
-    survivors = rounds.select(F.col("rep").alias("doc_id")).distinct()
-    # A repeated id has one text here: that of its class; equal ids with other texts are other rows of another class.
-    texts = docs.join(survivors, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    survivors = written(rounds.select(F.col("rep").alias("doc_id")).distinct(), "survivors")
+    # Few texts pass the broadcast Bloom filter of the survivors' ids, and only those are shuffled to the exact join.
+    texts = bloom.with_answer(docs, "doc_id", bloom.build(survivors, "doc_id", survivors.count()), "maybe").where("maybe").drop("maybe")
+    texts = texts.join(survivors, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # ids that rows share are one node
     sets = written(_whole(texts, width, percent), "sets")
     group = components(links(sets, percent))
     # Back to the documents: classes with copies or links; the salt deals out a class that holds many of the rows.

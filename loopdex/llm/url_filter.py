@@ -1,9 +1,7 @@
 """URL filtering: host and path rules, then a blocked Bloom filter of listed canonical URLs in front of an exact join.
 
-The list is stored as distinct canonical URLs. Its filter is an array of 512-bit blocks: one hash picks the block,
-eight bits inside it. Blocks are built by a grouped OR, their number is capped (MOST_BLOCKS, 32 MB), so the broadcast
-has a fixed bound whatever the list's size: a larger list only lets more false positives through to the exact hash
-join that removes them. URLs the filter rejects never take part in that join.
+The list is stored as distinct canonical URLs; its blocked Bloom filter (bloom.py) is broadcast within a fixed bound.
+URLs that the filter rejects never take part in the exact hash join, which removes the false positives.
 
 Edge cases: a null URL, or one without "://", has an empty host and path and an empty canonical form, matches no rule,
 is in no list and is allowed; repeated rows are judged one by one; an empty table or list gives no block verdicts by
@@ -15,12 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loopdex.llm import bloom
 from loopdex.llm.common import written
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-BITS_A_KEY = 16
-MOST_BLOCKS = 1 << 19
-WORDS, BITS_SET = 8, 8
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -52,27 +48,6 @@ def rule_of(host_: Column, path_: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def _places(key: Column, blocks: int) -> tuple[Column, Column]:
-    """(block, the eight bit positions inside it)."""
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    h = F.xxhash64(key, F.lit("bits"))
-    bits = F.array(*[F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)) for i in range(BITS_SET)])
-    return block, bits
-
-
-def _masks(bits: Column) -> list[Column]:
-    """One 64-bit word a bit: word i of the block holds bit i of the key (a register-blocked layout)."""
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.get(bits, F.lit(i)).cast("int")) for i in range(WORDS)]
-
-
-def bloom(listed: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int]:
-    """(one row a non-empty block: block, w0..w7; number of blocks) of the column key of listed."""
-    blocks = max(1, min(MOST_BLOCKS, -(-n_keys * BITS_A_KEY // 512)))
-    block, bits = _places(F.col(key), blocks)
-    rows = listed.select(block.alias("block"), bits.alias("bits")).select("block", *[m.alias(f"m{i}") for i, m in enumerate(_masks(F.col("bits")))])
-    return rows.groupBy("block").agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
-
-
 def judge(df: DataFrame, listed: DataFrame, url: str = "url", rules: dict[str, str] | None = None) -> DataFrame:
     """df with host, path, rule, maybe_listed (the filter's answer), listed (the exact one) and verdict.
 
@@ -84,15 +59,8 @@ def judge(df: DataFrame, listed: DataFrame, url: str = "url", rules: dict[str, s
     df = df.withColumns({"host": host(u), "path": path(u), "canonical": canonical(u)}).drop("_url")
     df = df.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     listed = written(listed.where("canonical <> ''"), "listed")
-    blocks, n_blocks = bloom(listed, "canonical", listed.count())
-    blocks = F.broadcast(blocks.withColumnRenamed("block", "_block"))
-    block, bits = _places(F.col("canonical"), n_blocks)
-    df = df.withColumns({"_at": block, "_bits": bits}).join(blocks, F.col("_at") == F.col("_block"), "left")
-    hit = F.lit(True)
-    for i, mask in enumerate(_masks(F.col("_bits"))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(mask) == mask)
-    df = df.withColumn("maybe_listed", (F.col("canonical") != "") & F.coalesce(hit, F.lit(False)))
-    df = df.drop("_at", "_bits", "_block", *[f"w{i}" for i in range(WORDS)])
+    df = bloom.with_answer(df, "canonical", bloom.build(listed, "canonical", listed.count()), "maybe_listed")
+    df = df.withColumn("maybe_listed", F.col("maybe_listed") & (F.col("canonical") != ""))
     # A null key takes no part in the join, so only possible hits are compared with the list. Rows that a rule decides
     # keep their answer from the list, but not their verdict.
     key = F.when(F.col("maybe_listed"), F.col("canonical"))
