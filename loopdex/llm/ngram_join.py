@@ -140,10 +140,10 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(r, doc_id, n, alone, prefix): each survivor's prefix in rare-first order, without the n-grams that no other
     survivor holds, of which there are `alone` before it."""
     rows = sets.select("doc_id", "n", F.inline("sent")).select("doc_id", "n", "r", F.explode("h").alias("h"))
-    rows = rows.withColumns({"lead": _first_part(F.col("r"), F.col("h")), "salt": F.pmod(F.col("doc_id"), F.lit(SALTS)).cast("int")})
-    often = rows.groupBy("r", "h").agg(F.count("*").alias("df")).where("df > 1")
-    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.join(often, ["r", "h", "salt"], "left")
+    rows = rows.withColumn("lead", _first_part(F.col("r"), F.col("h")))
+    # A table of its own, so that adaptive execution can split the rows of an n-gram that many documents hold.
+    often = written(rows.groupBy("r", "h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    rows = rows.join(often, ["r", "h"], "left")
     place = F.struct((~F.col("lead")).cast("int").alias("part"), F.when(F.col("lead"), F.col("df")).otherwise(0).alias("df"), "h")
     held = F.col("df").isNotNull() | ~F.col("lead")
     by_doc = rows.groupBy("doc_id", "n", "r").agg(F.count_if(~held).cast("int").alias("alone"), F.sort_array(F.collect_list(F.when(held, place))).alias("held"))
