@@ -39,12 +39,12 @@ from loopdex.llm.common import written
 from loopdex.llm.graph import components
 
 #: One n-gram hash in EVERY is in the first part of the order; it must stay above the prefix share (1 - t).
-EVERY = 3
+EVERY = 4
 SHORT = 150
 PAIR_LIST = 128
 BLOCK = 512
 BLOCK_BYTES = 64 << 20
-RANGES = 32
+RANGES, FINE = 32, 512
 SALTS = 16
 _U = np.uint64
 
@@ -114,22 +114,23 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _whole(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, own, ranges, sent) with the whole set in bytes, for the survivors."""
+    """(doc_id, n, own, ranges, fine, sent) with the whole set in bytes, for the survivors."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n, own_, ranges, out = [], [], [], []
+            n, own_, ranges, fine, out = [], [], [], [], []
             for own in sets_of(batch.column(1), width):
                 n.append(len(own))
                 own_.append(own.tobytes())
                 ranges.append(_ranges(own))
+                fine.append(_fine(own))
                 out.append([{"r": r, "h": h.view(np.int64)} for r, h in sent(own, percent)])
             kind = pa.list_(pa.struct([("r", pa.int8()), ("h", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own_, pa.binary()), pa.array(ranges, pa.list_(pa.int32())), pa.array(out, kind)], names=["doc_id", "n", "own", "ranges", "sent"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own_, pa.binary()), pa.array(ranges, pa.list_(pa.int32())), pa.array(fine), pa.array(out, kind)], names=["doc_id", "n", "own", "ranges", "fine", "sent"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, own binary, ranges array<int>, sent array<struct<r:tinyint,h:array<bigint>>>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, own binary, ranges array<int>, fine binary, sent array<struct<r:tinyint,h:array<bigint>>>")
 
 
 def _links(o, na, nb, percent: int):
@@ -156,23 +157,44 @@ def _ranges(own: np.ndarray) -> list[int]:
     return np.bincount((own >> _U(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES).tolist()
 
 
+def _fine(own: np.ndarray) -> bytes:
+    """The same over FINE ranges, a byte each (at most 255: that only weakens the bound)."""
+    counts = np.bincount((own >> _U(64 - FINE.bit_length() + 1)).astype(np.int64), minlength=FINE)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
+    """The pairs (a, b) that link: the suffix filter again over fine ranges (some hundred bytes a document), then the
+    whole sets of those that pass."""
 
-    def run(batches):
+    def both(pairs, *columns):
+        a = sets.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+        b = sets.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+        return pairs.join(a, "a").join(b, "b").select("a", "b", *[f"{c}_{x}" for c in columns for x in "ab"])
+
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy() for k in ("n_a", "n_b"))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int16) for k in ("fine_a", "fine_b"))
+            apart = np.abs(x - y).sum(1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb)))
+
+    def linked(batches):
         import pyarrow as pa
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
+            for x, y in zip(batch.column("own_a"), batch.column("own_b")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 keep.append(_links(int((y[at] == x).sum()), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    pairs = written(both(pairs, "n", "fine").mapInArrow(near, "a bigint, b bigint"), "pairs")
+    return both(pairs, "own").mapInArrow(linked, "a bigint, b bigint")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
@@ -219,32 +241,42 @@ def _blocks(postings: DataFrame, size: DataFrame, prefixes: DataFrame, sets: Dat
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    rows = rows.join(sets.select("doc_id", "own"), "doc_id").join(prefixes.select("doc_id", "r", "prefix"), ["doc_id", "r"])
+    rows = rows.join(prefixes.select("doc_id", "r", "prefix"), ["doc_id", "r"])
     top = _short_top(percent)
 
-    def run(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("doc_id")
-        ids, n, place, block = (pdf[k].to_numpy() for k in ("doc_id", "n", "place", "block"))
+    def mask(key, pdf):
+        """The pairs of rows that this key and these blocks have to check."""
+        n, place, block = (pdf[k].to_numpy() for k in ("n", "place", "block"))
         r, _, i, j = key
         # Length and positional filters; across blocks only pairs of the two.
         low, high = np.minimum.outer(n, n), np.maximum.outer(n, n)
         rest = np.minimum.outer(n - place, n - place)
-        both = low + high
-        ok = (100 * low >= percent * high) & ((100 + percent) * rest >= percent * both) & ((high <= top) == (r == 0))
+        ok = (100 * low >= percent * high) & ((100 + percent) * rest >= percent * (low + high)) & ((high <= top) == (r == 0))
         ok &= np.triu(np.ones_like(ok), 1)
         if i != j:
             ok &= block[:, None] != block[None, :]
         if ok.any():  # a prefix n-gram shared before this one: another key has the pair
             ok &= _shared([np.asarray(x, dtype=np.int64)[:k] for x, k in zip(pdf["prefix"], pdf["i_at"])]) == 0
-        used = np.flatnonzero(ok.any(0) | ok.any(1))
-        own = [np.frombuffer(x, np.uint64) for x in pdf["own"].to_numpy()[used]]
-        o = _shared(own).astype(np.int64)
-        a, b = np.nonzero(ok[np.ix_(used, used)] & _links(o, n[used][:, None], n[used][None, :], percent))
-        return pd.DataFrame(_forest(a, b, ids[used]), columns=["a", "b"], dtype="int64")
+        return ok
+
+    def needed(key, pdf):
+        ok = mask(key, pdf)
+        return pdf[ok.any(0) | ok.any(1)]
 
-    return rows.groupBy("r", "h", "i", "j").applyInPandas(run, "a bigint, b bigint")
+    def linked(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("doc_id")
+        ids, n, ok = pdf["doc_id"].to_numpy(), pdf["n"].to_numpy(), mask(key, pdf)
+        o = _shared([np.frombuffer(x, np.uint64) for x in pdf["own"]]).astype(np.int64)
+        a, b = np.nonzero(ok & _links(o, n[:, None], n[None, :], percent))
+        return pd.DataFrame(_forest(a, b, ids), columns=["a", "b"], dtype="int64")
+
+    cell = ["r", "h", "i", "j"]
+    rows = rows.select(*cell, "doc_id", "n", "place", "i_at", "block", "prefix")
+    # Most keys are left with few pairs, as near copies meet in their rarest keys: whole sets go only where they are used.
+    rows = written(rows.groupBy(*cell).applyInPandas(needed, rows.schema), "needed")
+    return rows.join(sets.select("doc_id", "own"), "doc_id").groupBy(*cell).applyInPandas(linked, "a bigint, b bigint")
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
