@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loopdex.llm.common import scratch, written
 
 ORDER = 2
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _U = np.uint64
 PACKED = "kind string, level int, shard int, words binary, counts binary, stats array<bigint>"
@@ -83,20 +83,50 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64), order[first]
 
 
+def _pack(words: list[np.ndarray]) -> bytes:
+    """Columns of word hashes, compressed: one column as it is, several as places in their distinct words."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    if len(words) == 1:
+        return pack(words[0].tobytes())
+    distinct, at = np.unique(np.concatenate(words), return_inverse=True)
+    at = at.astype("<u2" if len(distinct) <= 1 << 16 else "<u4")
+    head = pack(distinct.tobytes())
+    return len(head).to_bytes(8, "little") + head + at.dtype.itemsize.to_bytes(1, "little") + pack(at.tobytes())
+
+
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    """The columns again, a row each."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    if width == 1:
+        return np.frombuffer(unpack(data), np.uint64).reshape(1, -1)
+    end = 8 + int.from_bytes(data[:8], "little")
+    distinct = np.frombuffer(unpack(data[8:end]), np.uint64)
+    return distinct[np.frombuffer(unpack(data[end + 1 :]), {2: "<u2", 4: "<u4"}[data[end]])].reshape(width, -1)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<i8").tobytes())
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+
+
 def _rows(kind: str, level: int, words: list[np.ndarray], counts: np.ndarray, shards: int) -> list[tuple]:
     """Packed rows by shard of the n-gram (columns of word hashes), inside a shard by the first word, which packs well."""
-    from loopdex.llm.wordhash import window_hashes
-
-    key = _key(words)
-    shard = _shard(key, shards)
+    shard = _shard(_key(words), shards)
     order = np.lexsort((words[0], shard))
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    out = []
-    for s in range(shards):
-        part = order[cuts[s] : cuts[s + 1]]
-        if len(part):
-            out.append((kind, level, s, b"".join(w[part].tobytes() for w in words), counts[part].astype("<i8").tobytes(), None))
-    return out
+    parts = [(s, order[cuts[s] : cuts[s + 1]]) for s in range(shards) if cuts[s + 1] > cuts[s]]
+    return [(kind, level, s, _pack([w[part] for w in words]), _pack_counts(counts[part]), None) for s, part in parts]
 
 
 def _key(words: list[np.ndarray]) -> np.ndarray:
@@ -146,8 +176,8 @@ def _counted(train: DataFrame, order: int, shards: int) -> DataFrame:
 
 
 def _unpacked(pdf, width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    counts = [np.frombuffer(x, "<i8") for x in pdf["counts"]]
-    parts = [np.frombuffer(x, np.uint64).reshape(width, -1) for x in pdf["words"]]
+    counts = [_unpack_counts(x) for x in pdf["counts"]]
+    parts = [_unpack(x, width) for x in pdf["words"]]
     return [np.concatenate([p[i] for p in parts]) for i in range(width)], np.concatenate(counts)
 
 
@@ -165,8 +195,8 @@ def _reduced(packed: DataFrame, folder: str, shards: int) -> DataFrame:
         kind, level, shard = key[0], int(key[1]), int(key[2])
         rows: list[tuple] = []
         if kind == "context":
-            raw = [np.frombuffer(x, "<i8").reshape(4, -1) for x in pdf["counts"]]
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["words"]])
+            raw = [_unpack_counts(x).reshape(4, -1) for x in pdf["counts"]]
+            keys = np.concatenate([_unpack(x, 1)[0] for x in pdf["words"]])
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -192,7 +222,7 @@ def _reduced(packed: DataFrame, folder: str, shards: int) -> DataFrame:
                 for s in range(shards):
                     a, b = cuts[s], cuts[s + 1]
                     if b > a:
-                        rows.append(("context", level, s, context[first][a:b].tobytes(), np.concatenate([x[a:b] for x in parts]).astype("<i8").tobytes(), None))
+                        rows.append(("context", level, s, _pack([context[first][a:b]]), _pack_counts(np.concatenate([x[a:b] for x in parts])), None))
         return pd.DataFrame(rows, columns=["kind", "level", "shard", "words", "counts", "stats"])
 
     return packed.groupBy("kind", "level", "shard").applyInPandas(run, PACKED)

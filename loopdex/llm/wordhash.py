@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def chunks(texts, max_bytes: int = 4 << 20):
+def chunks(texts, max_bytes: int = 2 << 20):
     """Split an Arrow string array into slices of about max_bytes (one text at least), yielding
     (first row, bytes, offsets); nulls are empty."""
     import pyarrow as pa
@@ -49,7 +49,7 @@ _TABLE = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse; kept for later calls up to 8 million."""
+    """The first n powers of the base and of its inverse; kept for later calls up to 2 million."""
     if len(_TABLE[0]) >= n:
         return _TABLE[0][:n], _TABLE[1][:n]
     out = []
@@ -57,7 +57,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.full(n, factor, dtype=np.uint64)
         x[0] = 1
         out.append(np.cumprod(x, out=x))
-    if n <= 8 << 20:
+    if n <= 2 << 20:
         _TABLE[:] = out
     return out[0], out[1]
 
