@@ -207,9 +207,10 @@ def _reduced(packed: DataFrame, folder: str, shards: int) -> DataFrame:
             words, counts = _unpacked(pdf, level)
             keys, counts, one = _merged(_key(words), counts)
             words = [w[one] for w in words]
-            publish(f"{folder}/{kind}{level}-{shard:05d}", [keys.tobytes(), counts.astype("<u4").tobytes()])
+            wide = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * w)
+            publish(f"{folder}/{kind}{level}-{shard:05d}", [keys.tobytes(), counts.astype(f"<u{wide}").tobytes()])
             which = {"gram": 1, "word": 2}[kind]
-            rows.append(("file", level, shard, None, None, [which, len(keys), int(counts.sum()), *[int((counts == k).sum()) for k in (1, 2, 3, 4)], int((counts >= 3).sum())]))
+            rows.append(("file", level, shard, None, None, [which, len(keys), int(counts.sum()), *[int((counts == k).sum()) for k in (1, 2, 3, 4)], int((counts >= 3).sum()), wide]))
             if kind == "gram" and level > 1:
                 lower, n, at = _merged(_key(words[1:]), np.ones(len(keys), np.int64))
                 rows += _rows("gram", level - 1, [w[at] for w in words[1:]], n, shards)
@@ -233,12 +234,16 @@ class Model:
 
     def __init__(self, folder: str, order: int, shards: int, files: list):
         self.folder, self.order, self.shards = folder, order, shards
+        #: (kind, level, shard) -> number of entries, and the bytes of a count.
         self.size: dict[tuple[str, int, int], int] = {}
+        self.wide: dict[tuple[str, int, int], int] = {}
         stats: dict[tuple[int, int], np.ndarray] = {}
         for row in files:
             which, n, *rest = row["stats"]
-            self.size[("context", "gram", "word")[which], row["level"], row["shard"]] = n
+            name = (("context", "gram", "word")[which], row["level"], row["shard"])
+            self.size[name] = n
             if which:
+                self.wide[name] = rest.pop()
                 stats[which, row["level"]] = stats.get((which, row["level"]), 0) + np.array([n, *rest], np.int64)
         self.vocabulary, self.train_tokens = (int(x) for x in stats[2, 1][:2]) if (2, 1) in stats else (0, 0)
         self.discount = {k: self._discounts(stats[1, k][2:6]) for k in range(1, order + 1) if (1, k) in stats}
@@ -258,7 +263,8 @@ class Model:
         return np.array([0, *(min(max(k - (k + 1) * y * b / a, 0.0), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
 
-COLUMNS = {"gram": ["<u4"], "word": ["<u4"], "context": ["<u8", "<u4", "<u4", "<u4"]}
+#: Columns of a file behind its keys; a context's are the sum and the numbers of counts 1, 2 and 3 or more.
+COLUMNS = {"gram": 1, "word": 1, "context": 4}
 
 
 class Scorer:
@@ -273,16 +279,17 @@ class Scorer:
 
             n, path = self.model.size.get((kind, level, s), 0), f"{self.model.folder}/{kind}{level}-{s:05d}"
             at, columns = 8 * n, []
-            for kind_ in COLUMNS[kind]:
-                columns.append(mapped(path, kind_, at, n))
-                at += n * np.dtype(kind_).itemsize
+            for k in range(COLUMNS[kind]):
+                column = np.dtype(("<u8" if k == 0 else "<u4") if kind == "context" else f"<u{self.model.wide.get((kind, level, s), 1)}")
+                columns.append(mapped(path, column, at, n))
+                at += n * column.itemsize
             self._open[kind, level, s] = mapped(path, "<u8", 0, n), columns
         return self._open[kind, level, s]
 
     def find(self, kind: str, level: int, keys: np.ndarray) -> list[np.ndarray]:
         """The columns' values of each key; 0 where it isn't stored."""
         distinct, back = np.unique(keys, return_inverse=True)
-        out = [np.zeros(len(distinct), np.int64) for _ in COLUMNS[kind]]
+        out = [np.zeros(len(distinct), np.int64) for _ in range(COLUMNS[kind])]
         cuts = np.searchsorted(_shard(distinct, self.model.shards), np.arange(self.model.shards + 1))
         for s in range(self.model.shards):
             a, b = cuts[s], cuts[s + 1]
