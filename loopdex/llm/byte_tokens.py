@@ -17,12 +17,31 @@ class ByteTokens:
         kind = {2: "<u2", 4: "<u4"}[width]
         tokenizer = Tokenizer.from_str(content)
         tokenizer.encode_special_tokens = True
-        self._encode = Encoder(lambda xs: [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)])
+
+        def encode(chunks: list[str]) -> list[bytes]:
+            out = []
+            for at in range(0, len(chunks), 20_000):  # few encodings are alive at once
+                out += [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(chunks[at : at + 20_000], add_special_tokens=False)]
+            return out
+
+        self._encode = Encoder(encode)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         return self._encode([x or "" for x in texts])
 
 
+_MADE: dict[tuple[int, int], ByteTokens] = {}
+
+
+def of_process(content: str, width: int) -> ByteTokens:
+    """One encoder a worker process, with what it has kept, for all the tasks that the process runs."""
+    key = (hash(content), width)
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = ByteTokens(content, width)
+    return _MADE[key]
+
+
 def batches_of(batch, rows: int = 256):
     """Slices of an Arrow record batch, so that few texts are Python objects at once."""
     for at in range(0, batch.num_rows, rows):

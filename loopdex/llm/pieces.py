@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-MOST_KEPT = 1_000_000
+MOST_KEPT = 600_000
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 #: White space but for space and line feed, in any reading of it.
 _ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"

@@ -87,12 +87,12 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, separator: int, wid
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from loopdex.llm.byte_tokens import ByteTokens, batches_of
+        from loopdex.llm.byte_tokens import batches_of, of_process
 
         end, encode = np.array([separator], {2: "<u2", 4: "<u4"}[width]).tobytes(), None
         part = TaskContext.get().partitionId()
         for made, whole in enumerate(batches):
-            encode = encode or ByteTokens(content.value, width)
+            encode = encode or of_process(content.value, width)
             path, pieces = f"{folder}/tokens-{part:05d}-{made:05d}.ids", []
             for batch in batches_of(whole):
                 pieces += [x + end for x in encode(batch.column("text").to_pylist())]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loopdex.llm.common import scratch, written
 
 MAGIC = b"WMX1"
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 BLOCK = 4096
 END_ID = 0
 
@@ -52,9 +52,10 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
     depth = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 0
     planes, parts = [], []
     for k in range(depth - 1, -1, -1):
-        bit = (a >> k) & 1 != 0
-        packed = pack(np.packbits(bit).tobytes())
-        ones = np.add.reduceat(bit, np.arange(0, len(a), BLOCK), dtype=np.int64) if len(a) else np.zeros(0, np.int64)
+        bit = (a & a.dtype.type(1 << k)).astype(bool)
+        bits = np.packbits(bit)
+        packed = pack(bits.tobytes())
+        ones = np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), BLOCK // 8), dtype=np.int64) if len(a) else np.zeros(0, np.int64)
         counts = pack(np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes())
         planes.append([len(packed), len(counts)])
         parts += [packed, counts]
@@ -195,7 +196,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, sh
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from loopdex.llm.byte_tokens import ByteTokens, batches_of
+        from loopdex.llm.byte_tokens import batches_of, of_process
 
         part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         encode, made = None, 0
@@ -211,7 +212,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, sh
             return pa.RecordBatch.from_pylist([dict(zip(["shard", "n_docs", "n_tokens"], row))], pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for whole in batches:
-            encode = encode or ByteTokens(content.value)
+            encode = encode or of_process(content.value, 4)
             for batch in batches_of(whole):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                     if held and held + len(ids) // 4 + 1 > shard_tokens:
