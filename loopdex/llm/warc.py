@@ -1,6 +1,8 @@
 """WARC: write captures as request, response (or revisit) and metadata records; read archives back and assemble one
 nested row per capture.
 
+Archives are gzip files, of one member or of one a record; plain ones are read too.
+
 Writing: of captures with equal payloads of at least ``least_bytes``, the one with the largest id is a response and
 the others are revisits that refer to it, without a body; smaller ones are all responses. Groups are found on
 (digest, size) alone, combined before the shuffle and joined back with a salt, so a payload that a third of all pages
@@ -17,6 +19,7 @@ capture isn't there makes a row without a response; empty tables give no capture
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -83,7 +86,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> None
         ("WARC-Concurrent-To", name(id_, "request")), ("Content-Type", F.lit("application/warc-fields")), ("Content-Length", _size(notes)),
     )
     records = F.concat(request, asked, F.lit(END), main, block, F.lit(END), metadata, notes)
-    pages.select(records.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).text(folder)
+    pages.select(records.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(folder)
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -111,7 +114,8 @@ def records(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for r in parse(content.as_py()):
+                data = content.as_py()
+                for r in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     head, one = r["head"], lambda k, h=r["head"]: h.get(k, [None])[0]
                     kind, body = one("warc-type"), r["block"]
                     fields = {}
