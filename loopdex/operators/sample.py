@@ -1,8 +1,7 @@
 """Unscored listing and random pages.
 
 Store order is the explicit ``seq`` column. Dense positions over the non-excluded rows
-are computed without a global sort: each partition counts its rows, the (tiny)
-per-partition counts are turned into offsets, and every row gets offset + local index.
+are computed without a global sort, by fixed ranges of ``seq``.
 """
 
 from __future__ import annotations
@@ -21,19 +20,20 @@ def page_scan(docs: DataFrame, limit: int, offset: int, excluded_col: str = "exc
     return docs.where(~F.col(excluded_col)).orderBy("seq", "doc_id").offset(offset).limit(limit)
 
 
-def dense_positions(docs: DataFrame, order: str = "seq") -> DataFrame:
-    """1-based dense position in ``order`` via range partitions + per-partition prefix sums.
+def dense_positions(docs: DataFrame, order: str = "seq", rows_a_bucket: int = 20_000) -> DataFrame:
+    """1-based dense position in ``order`` (an integer column without repeats).
 
-    The range repartition sorts by sampling bounds (no single-partition window); only
-    one count per partition crosses to the small offsets table, which is broadcast.
-    """
-    n = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    ranged = docs.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(order)))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-    return (local.join(F.broadcast(offs.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))), "_pid")
-            .withColumn("pos", F.col("_off") + F.col("_i")).drop("_pid", "_i", "_off"))
+    Rows fall into equal ranges of ``order``, whose bounds follow from its smallest and largest value and the row
+    count, so they are the same wherever the plan is evaluated. A row's position is the number of rows in the ranges
+    before (a running sum over one row a range) plus its place inside its own range. Pass narrow rows: they are
+    shuffled by range."""
+    of = docs.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    low, width = of["low"] or 0, max(1, ((of["high"] or 0) - (of["low"] or 0) + 1) * rows_a_bucket // max(1, of["n"]))
+    ranged = docs.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / F.lit(width)))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    return inside.join(sizes.select("_range", before.alias("_before")), "_range").withColumn("pos", F.col("_before") + F.col("_i")).drop("_range", "_i", "_before")
 
 
 def sample_windows(docs: DataFrame, offsets: DataFrame, limit: int, seed: int, blocked: tuple[str, ...],
@@ -42,15 +42,15 @@ def sample_windows(docs: DataFrame, offsets: DataFrame, limit: int, seed: int, b
     0-based offsets over the non-excluded rows, concatenated in window order; repeated ids
     dropped (first wins) before the moderation filter; then a seeded shuffle and ``limit``.
 
-    The band join (off < pos <= off + b) runs against the broadcast offsets table (at most
-    a handful of rows), so documents are never shuffled for it.
+    Positions and windows work on (doc_id, seq) alone. The offsets are at most five rows, so the
+    rows that they pick are at most 10 * limit: both broadcasts are bounded by construction.
     """
     docs = ensure_cols(docs, _MOD_COLS)
-    pos = dense_positions(docs.where(~F.col(excluded_col)))
-    win = (pos.join(F.broadcast(offsets), (pos.pos > offsets.off) & (pos.pos <= offsets.off + offsets.b))
-           .withColumn("_o", F.struct("window_no", "pos")))
-    first = win.groupBy("doc_id").agg(F.min("_o").alias("_o"))
-    pool = win.join(first, ["doc_id", "_o"]).drop("_o")
+    live = docs.where(~F.col(excluded_col))
+    pos = dense_positions(live.select("doc_id", "seq"))
+    win = pos.join(F.broadcast(offsets), (pos.pos > offsets.off) & (pos.pos <= offsets.off + offsets.b))
+    first = win.groupBy("doc_id").agg(F.min(F.struct("window_no", "pos", "seq"))["seq"].alias("seq"))
+    pool = live.join(F.broadcast(first), ["doc_id", "seq"])
     kept = pool.where(~is_removed("literal", "description", "combined_text") & ~has_blocked_tag("tags", blocked))
     return kept.orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(str(seed)))), "doc_id").limit(limit)
 

@@ -111,7 +111,7 @@ def text_candidates(pq: DataFrame, dp: DataFrame, cfg: SearchConfig) -> DataFram
 def tag_candidates(pq: DataFrame, dp: DataFrame, cfg: SearchConfig) -> DataFrame:
     """I16: tag-only queries. Equi-join of each query's first clause token with the
     documents' tag tokens (no cross join), then the full clause check."""
-    tq = pq.where(F.col("mode") == "tags").select("query_id", "req", "neg", F.col("req")[0][0].alias("token"))
+    tq = pq.where(F.col("mode") == "tags").select("query_id", "req", "neg", F.get(F.get("req", F.lit(0)), F.lit(0)).alias("token"))
     tq = bounded_broadcast(tq, cfg.max_broadcast_queries)
     tp = dp.select("doc_id", "seq", "tag_toks", "excluded", F.explode(F.array_distinct(F.flatten("tag_toks"))).alias("token"))
     return (tp.join(tq, "token").where(_passes())

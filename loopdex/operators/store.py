@@ -34,18 +34,32 @@ def delete(store: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return store.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at path, in whatever file system it names?"""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def _swap(spark: SparkSession, staged: str, target: str) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(conf)
-    if fs.exists(path):
-        fs.delete(path, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), path)
+    # The old folder is kept under another name until the new one stands; a failed rename puts it back.
+    old = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
+    had = fs.exists(path)
+    if had and not fs.rename(path, old):
+        raise OSError(f"can't move {target} aside")
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), path):
+        if had:
+            fs.rename(old, path)
+        raise OSError(f"can't publish {staged} as {target}")
+    if had:
+        fs.delete(old, True)
 
 
 def write_staged(df: DataFrame, target: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write to ``<target>.staged-<uuid>`` then rename over the target (atomic per directory)."""
+    """Write to ``<target>.staged-<uuid>`` then rename over the target (the old one stays beside it until then)."""
     staged = f"{target.rstrip('/')}.staged-{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").format(fmt).save(staged)
     _swap(df.sparkSession, staged, target)

@@ -29,17 +29,17 @@ def first_n_per_source(items: DataFrame, n: int, force: bool = False) -> DataFra
 
 
 def pending_items(items: DataFrame, done_ids: DataFrame, n: int, force: bool = False) -> DataFrame:
-    """First-n per source, then minus ids already in the output (skipped under force)."""
+    """First-n per source, then minus the (source, id) already in the output (skipped under force)."""
     first = first_n_per_source(items, n, force)
     if force:
         return first
-    return first.join(done_ids.select(F.col(done_ids.columns[0]).alias("id")).distinct(), "id", "left_anti")
+    return first.join(done_ids.select("source", "id").distinct(), ["source", "id"], "left_anti")
 
 
 def mark_described(items: DataFrame, succeeded_ids: DataFrame) -> DataFrame:
-    """Described := true for items that succeeded in this run, others keep their flag."""
-    ok = succeeded_ids.select(F.col(succeeded_ids.columns[0]).alias("id"), F.lit(True).alias("_ok")).distinct()
-    return (items.join(ok, "id", "left")
+    """Described := true for the (source, id) that succeeded in this run, others keep their flag."""
+    ok = succeeded_ids.select("source", "id", F.lit(True).alias("_ok")).distinct()
+    return (items.join(ok, ["source", "id"], "left")
             .withColumn("described", F.when(F.col("_ok"), F.lit(True)).otherwise(F.col("described")))
             .drop("_ok"))
 

@@ -53,7 +53,8 @@ O["first_n_per_source"] = fx.with_views("SELECT * FROM firstn", "v_manifest_item
 
 def pending_items(spark: SparkSession, sf: str) -> DataFrame:
     """done = ids of items whose document is labelled toxic (already in the output)."""
-    done = fx.table(spark, sf, "labels").where("toxic = 1").select(F.concat(F.lit("item_"), F.col("doc_id").cast("string")).alias("id"))
+    done = fx.table(spark, sf, "labels").where("toxic = 1").join(fx.table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select(
+        "source", F.concat(F.lit("item_"), F.col("doc_id").cast("string")).alias("id"))
     return wl.pending_items(_items(spark, sf), done, PER_SOURCE_LIMIT).select("source", "item_no", "id")
 
 
@@ -162,7 +163,8 @@ FROM st JOIN documents d USING (doc_id) GROUP BY ROLLUP (d.source)""", "v_payloa
 
 def mark_described(spark: SparkSession, sf: str) -> DataFrame:
     """Items flagged described when their describe run succeeded; others keep the flag."""
-    ok = _described(spark, sf).where("status = 'ok'").select(F.concat(F.lit("item_"), F.col("doc_id").cast("string")).alias("id"))
+    ok = _described(spark, sf).where("status = 'ok'").join(fx.table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select(
+        "source", F.concat(F.lit("item_"), F.col("doc_id").cast("string")).alias("id"))
     return wl.mark_described(_items(spark, sf), ok).select("source", "item_no", "id", "described")
 
 

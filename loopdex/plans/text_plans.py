@@ -141,7 +141,7 @@ WHERE len(list_filter(q.neg, lambda c: len(c) > 0 AND len(list_filter(d.tag_toks
 def tag_filter(spark: SparkSession, sf: str) -> DataFrame:
     """(query, doc) pairs passing every positive tag clause (term or phrase)."""
     pq, dp = _fixture(spark, sf)
-    q = pq.where(F.size("req") > 0).select("query_id", "req", F.col("req")[0][0].alias("token"))
+    q = pq.where(F.size("req") > 0).select("query_id", "req", F.get(F.get("req", F.lit(0)), F.lit(0)).alias("token"))
     tp = dp.select("doc_id", "tag_toks", F.explode(F.array_distinct(F.flatten("tag_toks"))).alias("token"))
     hit = tp.join(F.broadcast(q), "token").where(S.all_clauses_match("tag_toks", "req"))
     return hit.select(F.col("query_id").cast("long").alias("query_id"), "doc_id").distinct()

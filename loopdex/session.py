@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -11,8 +12,8 @@ from pyspark.sql import SparkSession
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "loopdex") -> SparkSession:
     """Create (or return) a session with AQE on and sane local defaults.
 
-    On a cluster the session is created by the platform; this helper only fills in
-    what is unset, so cluster settings always win.
+    For local runs, tests and the bench; on a cluster the platform creates the session and
+    this helper isn't used.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -47,7 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="loopdex-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def written(df, name: str):
+    """df as a Parquet table in the shared checkpoint folder: a lineage cut that survives lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,21 +6,33 @@ order, and head limits, batch edges and last-write-wins all depend on it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loopdex.functions.text import hash_doc_id, media_id, rewrite_cdn, ws_trim
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) from text files; line_no orders by file then position.
+    """(line_no, line) from text files; line_no counts lines from 0 by file path, then position."""
+    return number_lines(placed(spark.read.text(path)))
 
-    ``monotonically_increasing_id`` is unique and increasing within each split, and
-    splits are numbered in file order, so it is a valid (sparse) line order without a
-    global sort or a single-partition window.
-    """
-    return (spark.read.text(path)
-            .select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")))
+
+def placed(text: DataFrame) -> DataFrame:
+    """Rows of a (batch or streaming) text source with the file and split that they come from."""
+    return text.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), "value")
+
+
+def number_lines(text: DataFrame) -> DataFrame:
+    """(line_no, line) of rows as ``placed`` gives them.
+
+    Spark orders splits by size, so the order is taken from each row's file and split. Lines are counted per split,
+    the counts of the splits before (one row a split) give its first number, and a row adds its place in the split."""
+    rows = text.select("_f", "_b", F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line"))
+    sizes = rows.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_i")) - 1
+    return (rows.withColumn("_p", place).join(sizes.select("_f", "_b", before.alias("_before")), ["_f", "_b"])
+            .select((F.col("_before") + F.col("_p")).alias("line_no"), "line"))
 
 
 def parse_captions(lines: DataFrame, mode: str = "raw") -> DataFrame:

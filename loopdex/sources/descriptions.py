@@ -17,7 +17,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path)
 
 
-def parse_descriptions(lines: DataFrame, text_col: str = "line") -> DataFrame:
+def parse_descriptions(lines: DataFrame, text_col: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse every line into a VARIANT, then project typed fields.
 
     A line is rejected (``reject`` not null) when it is not JSON, not an object, or a
@@ -46,6 +46,7 @@ def parse_descriptions(lines: DataFrame, text_col: str = "line") -> DataFrame:
         "line_no", "reject", *cols,
         action_text(action_v).alias("action"),
         F.try_variant_get("_v", "$.tags", "array<string>").alias("tags"),
+        *keep,
     )
 
 

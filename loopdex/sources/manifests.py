@@ -28,9 +28,9 @@ def _source_dir():
 
 def read_manifests(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
     """(source_dir, source, items) for every ``<root>/<dir>/manifest.json``."""
-    import os
+    from loopdex.operators.store import exists
 
-    if not os.path.isdir(root) and "://" not in root:
+    if not exists(spark, root):
         return spark.createDataFrame([], "source_dir string, source string, items " + MANIFEST["items"].dataType.simpleString())
     df = (spark.read.schema(MANIFEST).option("multiLine", True).json(f"{root}/*/manifest.json")
           .select(_source_dir().alias("source_dir"), "source", "items"))
@@ -53,5 +53,4 @@ def ingest_sources(spark: SparkSession, root: str) -> DataFrame:
     lines = (spark.read.text(f"{root}/*/descriptions.jsonl")
              .select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"),
                      _source_dir().alias("source_dir")))
-    parsed = parse_descriptions(lines)
-    return parsed.join(lines.select("line_no", "source_dir"), "line_no")
+    return parse_descriptions(lines, keep=("source_dir",))

@@ -56,7 +56,7 @@ def debounce(events: DataFrame, key: str, ts: str, text: str, gap_us: int, kind:
     out = sessions(edits, key, ts, text, gap_us).where(ws_trim(text) != "")
     out = out.select(key, F.col("last_us").alias("emit_us"), text, "start_us", "n_events")
     if kind is not None:
-        subs = events.where(F.col(kind) == "submit").select(key, _us(ts).alias("emit_us"), text,
+        subs = events.where((F.col(kind) == "submit") & (ws_trim(text) != "")).select(key, _us(ts).alias("emit_us"), text,
                                                              _us(ts).alias("start_us"), F.lit(1).cast("long").alias("n_events"))
         out = out.unionByName(subs)
     return out

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopdex.functions.text import action_text  # noqa: F401  (documented dependency)
-from loopdex.operators.store import upsert, write_staged
+from loopdex.sources.captions import number_lines, placed
+from loopdex.operators.store import exists, upsert, write_staged
 from loopdex.sources.descriptions import good, parse_descriptions
 
 
@@ -29,17 +30,13 @@ def to_docs(desc: DataFrame, default_attribution: str | None = None) -> DataFram
 
 def stream_ingest(spark: SparkSession, src_dir: str, store_path: str, checkpoint: str) -> None:
     """Drain new JSONL files under ``src_dir`` into the parquet store at ``store_path``."""
-    lines = spark.readStream.format("text").load(src_dir)
+    lines = placed(spark.readStream.format("text").load(src_dir))
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        b = batch.select(
-            (F.lit(epoch).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id()).alias("line_no"),
-            F.col("value").alias("line"))
+        b = number_lines(batch).withColumn("line_no", F.lit(epoch).cast("long") * F.lit(1 << 40) + F.col("line_no"))
         docs = to_docs(good(parse_descriptions(b)))
-        try:
-            store = spark.read.parquet(store_path)
-        except Exception:  # noqa: BLE001 - first batch: empty store
-            store = docs.limit(0)
+        # Only an absent store is an empty one; any other failure to read it must end the batch.
+        store = spark.read.parquet(store_path) if exists(spark, store_path) else docs.limit(0)
         write_staged(upsert(store, docs), store_path)
 
     q = (lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

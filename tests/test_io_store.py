@@ -58,11 +58,11 @@ def test_manifests(spark, tmp_dir):
     assert sorted(r.source_dir for r in items.select("source_dir").distinct().collect()) == ["a_src", "b_src"]
     assert manifests.read_manifests(spark, root, "a_src").count() == 1
     assert manifests.read_manifests(spark, f"{tmp_dir}/missing").count() == 0
-    need = wl.pending_items(items, spark.createDataFrame([("4",)], "id string"), 10).collect()
+    need = wl.pending_items(items, spark.createDataFrame([("a", "4"), ("a", "1")], "source string, id string"), 10).collect()
     assert sorted(r.id for r in need) == ["1"]
-    marked = {r.id: r.described for r in wl.mark_described(items, spark.createDataFrame([("1",)], "id string")).collect()}
+    marked = {r.id: r.described for r in wl.mark_described(items, spark.createDataFrame([("b", "1"), ("a", "2")], "source string, id string")).collect()}
     assert marked == {"1": True, "2": True, "3": None, "4": None}
-    packed = wl.pack_manifests(wl.mark_described(items, spark.createDataFrame([("1",)], "id string")))
+    packed = wl.pack_manifests(wl.mark_described(items, spark.createDataFrame([("b", "1"), ("a", "2")], "source string, id string")))
     assert [i.id for i in packed.where("source = 'b'").first()["items"]] == ["1", "2", "3"]
 
 
@@ -108,3 +108,43 @@ def test_describe_retry_and_status(spark):
     d = en.parse_response(en.describe(items, describer, retries=1)).withColumn("removed", F.col("skip"))
     got = {r.doc_id: (r.attempts, r.status) for r in d.withColumn("status", en.status()).collect()}
     assert got == {1: (1, "ok"), 2: (2, "failed"), 3: (1, "failed"), 4: (0, "removed")}
+
+
+def test_describe_isolates_failures(spark):
+    def describer(pdf: pd.DataFrame) -> pd.Series:
+        if (pdf["payload"] == "boom").any():
+            raise RuntimeError("model down")
+        return pdf["payload"]
+
+    items = spark.createDataFrame([(1, '{"literal":"x"}'), (2, "boom"), (3, '{"literal":"y"}')], "doc_id long, payload string").coalesce(1)
+    d = en.parse_response(en.describe(items, describer)).withColumn("removed", F.lit(False))
+    assert {r.doc_id: r.status for r in d.withColumn("status", en.status()).collect()} == {1: "ok", 2: "failed", 3: "ok"}
+
+
+def test_line_order_over_files(spark, tmp_dir):
+    from loopdex.sources.captions import read_lines
+
+    write(f"{tmp_dir}/in/a.txt", "a0\na1\n")
+    write(f"{tmp_dir}/in/b.txt", "\n".join(f"b{i}" for i in range(3000)))
+    got = [r.line for r in read_lines(spark, f"{tmp_dir}/in").orderBy("line_no").collect()]
+    assert got == ["a0", "a1", *(f"b{i}" for i in range(3000))]
+
+
+def test_stream_ingest_runs_and_failed_read(spark, tmp_dir, monkeypatch):
+    import pytest
+
+    from loopdex.streaming import ingest
+
+    store = f"{tmp_dir}/store"
+    line = lambda i, x: json.dumps({"id": i, "url": f"http://x/{i}.gif", "literal": x}) + "\n"
+    write(f"{tmp_dir}/in/a.jsonl", line("1", "old") + line("2", "keep") + line("1", "new"))
+    ingest.stream_ingest(spark, f"{tmp_dir}/in", store, f"{tmp_dir}/ck")
+    write(f"{tmp_dir}/in/b.jsonl", line("2", "later") + line("3", "x"))
+    ingest.stream_ingest(spark, f"{tmp_dir}/in", store, f"{tmp_dir}/ck")
+    rows = lambda: sorted((r.doc_id, r.literal) for r in spark.read.parquet(store).collect())
+    assert rows() == [("1", "new"), ("2", "later"), ("3", "x")]
+    write(f"{tmp_dir}/in/c.jsonl", line("9", "z"))
+    monkeypatch.setattr(ingest, "upsert", lambda *a: (_ for _ in ()).throw(OSError("read failed")))
+    with pytest.raises(Exception, match="read failed"):
+        ingest.stream_ingest(spark, f"{tmp_dir}/in", store, f"{tmp_dir}/ck")
+    assert rows() == [("1", "new"), ("2", "later"), ("3", "x")]

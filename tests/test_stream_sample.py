@@ -87,6 +87,15 @@ def test_dense_positions(spark):
     assert [p for _, p in pos] == list(range(1, 201))
 
 
+def test_dense_positions_many_partitions(spark):
+    """Sparse, unordered keys over 8 partitions: every position equals a plain row number, the id column kept."""
+    rows = [(f"d{i}", (i * 7919) % 100003 * 3 + (1 << 33) * (i % 3)) for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id string, seq long").repartition(8)
+    want = {i: p for p, (i, _) in enumerate(sorted(rows, key=lambda r: r[1]), 1)}
+    assert {r.doc_id: r.pos for r in sp.dense_positions(d, rows_a_bucket=100).collect()} == want
+    assert sp.dense_positions(d.limit(0)).collect() == []
+
+
 def test_sample_properties(spark):
     d = _docs(spark)
     offs = sp.window_offsets(spark, d.where("not excluded").count(), 30, 7)
