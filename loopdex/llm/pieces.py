@@ -2,12 +2,13 @@
 
 Both tokenizers used here start a new unit at a single space between two characters that aren't white space. A worker
 keeps the encoded bytes of the chunks it has met; a text's ids are then a join of bytes. The kept chunks are bounded
-(MOST_KEPT); past that they are dropped and encoded again when met, which changes nothing but time."""
+(MOST_KEPT); past that the later half is dropped and encoded again when met, which changes nothing but time."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 
 MOST_KEPT = 600_000
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
@@ -32,16 +33,23 @@ class Encoder:
         self.encode, self.dummy_space = encode, dummy_space
         self.kept: dict[str, bytes] = {}
 
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.kept) + len(chunks) > MOST_KEPT:  # the first half holds what came early, so what is common
+            self.kept = dict(islice(self.kept.items(), MOST_KEPT // 2))
+        new = list(chunks)
+        self.kept.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [cut(x) for x in texts]
-        chunks = set().union(*parts) if self.dummy_space else set().union(*(p[1:] for p in parts))
-        new = chunks.difference(self.kept)
-        if len(self.kept) + len(new) > MOST_KEPT:
-            self.kept.clear()
-            new = chunks
-        new = list(new)
-        self.kept.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+        tails = parts if self.dummy_space else [p[1:] for p in parts]
+        found = [list(map(self.kept.get, p)) for p in tails]
+        lacking = [i for i, f in enumerate(found) if None in f]
+        if lacking:
+            self._learn({x for i in lacking for x, y in zip(tails[i], found[i], strict=True) if y is None})
+            for i in lacking:
+                kept = self.kept
+                found[i] = [kept[x] if y is None else y for x, y in zip(tails[i], found[i], strict=True)]
         if self.dummy_space:
-            return [b"".join(map(self.kept.__getitem__, p)) if len(p) > 1 or p[0] else b"" for p in parts]
+            return [b"".join(f) if len(p) > 1 or p[0] else b"" for f, p in zip(found, parts, strict=True)]
         starts = self.encode([p[0] for p in parts])
-        return [a + b"".join(map(self.kept.__getitem__, p[1:])) for a, p in zip(starts, parts, strict=True)]
+        return [a + b"".join(f) for a, f in zip(starts, found, strict=True)]
