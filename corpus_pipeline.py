@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopdex.llm import mixing, ngram_join, quality_rules, sentencepieces
-from loopdex.llm.common import SPACE, read, scratch
+from loopdex.llm.common import read, scratch, words
 from loopdex.llm.plans import PIECES, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = mixing.schedule(mixing.sized(named)).where("taken > 0")
     taken = copies.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("size").alias("z")).agg(F.collect_list("taken").alias("taken"))
     rows = named.join(taken, (named.doc_id == taken.id) & named.source.eqNullSafe(taken.s)).withColumn("taken", F.explode("taken"))
-    cut = F.expr(f"concat_ws(' ', slice(array_remove(split(text, '[{SPACE}]+'), ''), 1, cast(taken as int)))")
+    cut = F.concat_ws(" ", F.slice(words(F.col("text")), F.lit(1), F.col("taken").cast("int")))
     part = F.col("taken") < F.col("z")
     rows = rows.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
     rows = rows.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
