@@ -17,12 +17,15 @@ _ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _WIDE = "\x85\xa0                　"
 
 
+def is_odd(text: str) -> bool:
+    """Whether text has white space other than line feeds and single spaces between characters that aren't white space."""
+    odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _ASCII)
+    return odd or not text.isascii() and any(c in text for c in _WIDE)
+
+
 def cut(text: str) -> list[str]:
     """The chunks of text, without the single space that each but the first begins with."""
-    odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _ASCII)
-    if odd or not text.isascii() and any(c in text for c in _WIDE):
-        return _CUT.split(text)
-    return text.split(" ")
+    return _CUT.split(text) if is_odd(text) else text.split(" ")
 
 
 class Encoder:

@@ -59,7 +59,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
         counts = pack(np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes())
         planes.append([len(packed), len(counts)])
         parts += [packed, counts]
-        a = np.concatenate([a[~bit], a[bit]])
+        a = np.concatenate([np.compress(~bit, a), np.compress(bit, a)])
     directory = pack(np.array(lengths, "<i8").tobytes())
     names = pack(json.dumps(doc_ids).encode())
     letters = pack(alphabet.astype("<u4").tobytes())
@@ -172,9 +172,10 @@ class WaveletMatrix:
         for k in range(self.depth - 1, -1, -1):
             bit = np.unpackbits(self._plane(k)[0], count=self.tokens).view(bool)
             zeros = self._zeros(k)
+            a[zeros:] |= kind(1 << (self.depth - 1 - k))
             out = np.empty_like(a)
-            out[~bit] = a[:zeros]
-            out[bit] = a[zeros:] | kind(1 << (self.depth - 1 - k))
+            out[np.flatnonzero(~bit)] = a[:zeros]
+            out[np.flatnonzero(bit)] = a[zeros:]
             a = out
             self._planes.pop(k)
         return self.alphabet[a]
@@ -196,30 +197,36 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, sh
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from loopdex.llm.byte_tokens import batches_of, of_process
+        from loopdex.llm.byte_tokens import ColumnTokens, slices_of
 
-        part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        part = TaskContext.get().partitionId()
         encode, made = None, 0
-        names, pieces, held = [], [], 0
+        names, lengths, pieces, held = [], [], [], 0
 
         def flush():
-            nonlocal made, names, pieces, held
-            ids = np.frombuffer(b"".join(pieces), "<u4")
+            nonlocal made, names, lengths, pieces, held
             shard = f"shard-{part:05d}-{made:05d}"
-            publish(f"{folder}/{shard}.wm", build(ids, names, [len(x) // 4 for x in pieces]))
-            row = (shard, len(names), len(ids))
-            made, names, pieces, held = made + 1, [], [], 0
+            publish(f"{folder}/{shard}.wm", build(np.concatenate(pieces), names, lengths))
+            row = (shard, len(names), held)
+            made, names, lengths, pieces, held = made + 1, [], [], [], 0
             return pa.RecordBatch.from_pylist([dict(zip(["shard", "n_docs", "n_tokens"], row))], pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for whole in batches:
-            encode = encode or of_process(content.value, 4)
-            for batch in batches_of(whole):
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                    if held and held + len(ids) // 4 + 1 > shard_tokens:
+            encode = encode or ColumnTokens(content.value)
+            for batch in slices_of(whole, "text"):
+                ids, sizes = encode(batch.column("text"))
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                start = end = 0
+                for doc_id, n in zip(batch.column("doc_id").to_pylist(), (sizes + 1).tolist(), strict=True):
+                    if held and held + n > shard_tokens:
+                        pieces.append(ids[start:end])
                         yield flush()
+                        start = end
                     names.append(doc_id)
-                    pieces.append(ids + end)
-                    held += len(ids) // 4 + 1
+                    lengths.append(n)
+                    held += n
+                    end += n
+                pieces.append(ids[start:end].copy())
         if names:
             yield flush()
 

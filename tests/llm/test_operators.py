@@ -112,6 +112,25 @@ def test_wavelet_round_trip(spark):
     assert wavelet.round_trip(df.limit(0), plans.tokenizer_path(plans.BYTE_BPE)).collect() == []
 
 
+@pytest.mark.parametrize("fallback", [False, True])
+def test_column_tokens(fallback):
+    import pyarrow as pa
+
+    from loopdex.llm.byte_tokens import ColumnTokens, slices_of
+
+    encode = ColumnTokens(open(plans.tokenizer_path(plans.BYTE_BPE), encoding="utf-8").read())
+    if fallback:
+        encode._bytes[:] += 1
+    plain = ["", None, "a", "two words", "a\nb c\n", "\nx y", "don't we'll 12 日本語 é", "word " * 20000 + "end"]
+    for texts in (plain, plain + ODD, [], [None], ["", "x"]):
+        ids, sizes = encode(pa.array(texts, pa.string()))
+        want = encode_all(texts)
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(plain, pa.string())})
+    for most in (1, 20, 1 << 20):
+        assert [x for b in slices_of(batch, "text", most) for x in b.column(0).to_pylist()] == plain
+
+
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (5000, 1), (20000, 7), (30000, 50000)])
 def test_wavelet_matrix(n, top):
     r = np.random.default_rng(n)
