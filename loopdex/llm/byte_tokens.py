@@ -4,30 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from loopdex.llm.pieces import Encoder, cut, is_odd
-
-
-class ByteTokens:
-    """texts -> ids as little-endian unsigned integers of `width` bytes. The tokenizer's file content is given, so
-    workers need no file; strings of special tokens are ordinary text."""
-
-    def __init__(self, content: str, width: int = 4):
-        from tokenizers import Tokenizer
-
-        kind = {2: "<u2", 4: "<u4"}[width]
-        tokenizer = Tokenizer.from_str(content)
-        tokenizer.encode_special_tokens = True
-
-        def encode(chunks: list[str]) -> list[bytes]:
-            out = []
-            for at in range(0, len(chunks), 20_000):  # few encodings are alive at once
-                out += [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(chunks[at : at + 20_000], add_special_tokens=False)]
-            return out
-
-        self._encode = Encoder(encode)
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        return self._encode([x or "" for x in texts])
+from loopdex.llm.pieces import cut, is_odd
 
 
 class ColumnTokens:
@@ -92,15 +69,15 @@ class ColumnTokens:
         return flat, np.diff(ends[bounds[1:] - 1], prepend=0)
 
 
-_MADE: dict[tuple[int, int], ByteTokens] = {}
+_MADE: dict[int, ColumnTokens] = {}
 
 
-def of_process(content: str, width: int) -> ByteTokens:
-    """One encoder a worker process, with what it has kept, for all the tasks that the process runs."""
-    key = (hash(content), width)
+def of_process(content: str) -> ColumnTokens:
+    """One encoder a worker process, for all the tasks that the process runs."""
+    key = hash(content)
     if key not in _MADE:
         _MADE.clear()
-        _MADE[key] = ByteTokens(content, width)
+        _MADE[key] = ColumnTokens(content)
     return _MADE[key]
 
 
@@ -114,9 +91,3 @@ def slices_of(batch, column: str, most: int = 16 << 20):
     for a, b in zip(edges, edges[1:]):
         if a < b:
             yield batch.slice(a, b - a)
-
-
-def batches_of(batch, rows: int = 256):
-    """Slices of an Arrow record batch, so that few texts are Python objects at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)

@@ -87,18 +87,19 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, separator: int, wid
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from loopdex.llm.byte_tokens import batches_of, of_process
+        from loopdex.llm.byte_tokens import of_process, slices_of
 
-        end, encode = np.array([separator], {2: "<u2", 4: "<u4"}[width]).tobytes(), None
+        kind, encode = {2: "<u2", 4: "<u4"}[width], None
         part = TaskContext.get().partitionId()
         for made, whole in enumerate(batches):
-            encode = encode or of_process(content.value, width)
+            encode = encode or of_process(content.value)
             path, pieces = f"{folder}/tokens-{part:05d}-{made:05d}.ids", []
-            for batch in batches_of(whole):
-                pieces += [x + end for x in encode(batch.column("text").to_pylist())]
+            for batch in slices_of(whole, "text"):
+                ids, sizes = encode(batch.column("text"))
+                pieces.append(np.insert(ids, np.cumsum(sizes), separator).astype(kind).tobytes())
             publish(path, pieces)
             name = path.rsplit("/", 1)[1]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces)), pa.array(range(len(pieces)), pa.int64()), whole.column("doc_id")], names=["file", "ordinal", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * whole.num_rows), pa.array(range(whole.num_rows), pa.int64()), whole.column("doc_id")], names=["file", "ordinal", "doc_id"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(rows.mapInArrow(run, "file string, ordinal bigint, doc_id bigint"), "manifest")

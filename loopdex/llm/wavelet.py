@@ -197,7 +197,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, sh
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from loopdex.llm.byte_tokens import ColumnTokens, slices_of
+        from loopdex.llm.byte_tokens import of_process, slices_of
 
         part = TaskContext.get().partitionId()
         encode, made = None, 0
@@ -212,7 +212,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, sh
             return pa.RecordBatch.from_pylist([dict(zip(["shard", "n_docs", "n_tokens"], row))], pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for whole in batches:
-            encode = encode or ColumnTokens(content.value)
+            encode = encode or of_process(content.value)
             for batch in slices_of(whole, "text"):
                 ids, sizes = encode(batch.column("text"))
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
