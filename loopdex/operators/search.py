@@ -201,7 +201,6 @@ def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query
     # --- tag-only and match-all lists (store order)
     tg = tag_candidates(pq, dp, cfg)
     ma_hits, ma_totals = match_all(pq, dp, cfg, limit)
-    seq_of = dp.select("doc_id", "seq")
     ranked_tags = tg.select("query_id", "doc_id", F.lit(1.0).alias("list_score"), F.lit(None).cast("double").alias("vec_score"),
                             F.col("seq").alias("tie_seq"))
     ranked_all = ma_hits.select("query_id", "doc_id", F.lit(1.0).alias("list_score"), F.lit(None).cast("double").alias("vec_score"),
@@ -231,7 +230,6 @@ def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query
     g_tot = tg.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     tot = t_tot.unionByName(g_tot).unionByName(ma_totals)
     totals = pq.select("query_id").join(tot, "query_id", "left").select("query_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
-    _ = seq_of
     return SearchResult(hits, totals)
 
 

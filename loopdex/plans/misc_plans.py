@@ -86,7 +86,7 @@ FROM v_media""", "v_media")
 # ---------------------------------------------------------------- query syntax
 
 def _queries(spark, sf):
-    return with_parsed(fx.view(spark, sf, "v_queries"))
+    return with_parsed(fx.view(spark, sf, "v_query_texts"))
 
 
 def query_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +97,7 @@ def query_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 O["query_parse"] = fx.with_views(f"""
 SELECT CAST(query_id AS BIGINT) AS query_id, array_to_string(phrases, '|') AS phrases, loose,
-       array_to_string(tags, '|') AS tags, array_to_string(neg_tags, '|') AS neg_tags FROM pq""", "v_queries", ctes=parse_sql())
+       array_to_string(tags, '|') AS tags, array_to_string(neg_tags, '|') AS neg_tags FROM pq""", "v_query_texts", ctes=parse_sql("v_query_texts"))
 
 _MODE = ("CASE WHEN loose <> '' THEN 'hybrid' WHEN len(phrases) > 0 THEN 'text' WHEN len(tags) > 0 THEN 'tags' ELSE 'all' END")
 
@@ -110,13 +110,13 @@ def query_mode(spark: SparkSession, sf: str) -> DataFrame:
 O["query_mode"] = fx.with_views(f"""
 SELECT CAST(query_id AS BIGINT) AS query_id, {_MODE} AS mode,
        CASE WHEN len(tags) = 0 THEN 'none' WHEN loose <> '' OR len(phrases) > 0 THEN 'filter' ELSE 'primary' END AS tag_role,
-       loose <> '' AS use_vector, loose <> '' OR len(phrases) > 0 AS has_text FROM pq""", "v_queries", ctes=parse_sql())
+       loose <> '' AS use_vector, loose <> '' OR len(phrases) > 0 AS has_text FROM pq""", "v_query_texts", ctes=parse_sql("v_query_texts"))
 
 
 def query_refine(spark: SparkSession, sf: str) -> DataFrame:
     """Drill-down: each query refined with the last tag of its paired document (seq = vec_id)."""
-    fx.register(spark, sf, ("v_queries", "v_docs"))
-    q = spark.table("v_queries")
+    fx.register(spark, sf, ("v_query_texts", "v_docs"))
+    q = spark.table("v_query_texts")
     d = spark.table("v_docs").select("seq", F.element_at("tags", -1).alias("tag"))
     j = q.join(d, q.vec_id == d.seq).where(F.col("tag").isNotNull())
     return j.select(F.col("query_id").cast("long").alias("query_id"), refine_query("raw", "tag").alias("refined"))
@@ -125,8 +125,8 @@ def query_refine(spark: SparkSession, sf: str) -> DataFrame:
 O["query_refine"] = fx.with_views("""
 SELECT CAST(q.query_id AS BIGINT) AS query_id,
        CASE WHEN coalesce(q.raw, '') = '' THEN t ELSE concat(q.raw, ' ', t) END AS refined
-FROM v_queries q JOIN (SELECT seq, CASE WHEN contains(tags[-1], ' ') THEN concat('tag:"', tags[-1], '"') ELSE concat('tag:', tags[-1]) END AS t
-                       FROM v_docs WHERE tags[-1] IS NOT NULL) d ON d.seq = q.vec_id""", "v_queries", "v_docs")
+FROM v_query_texts q JOIN (SELECT seq, CASE WHEN contains(tags[-1], ' ') THEN concat('tag:"', tags[-1], '"') ELSE concat('tag:', tags[-1]) END AS t
+                       FROM v_docs WHERE tags[-1] IS NOT NULL) d ON d.seq = q.vec_id""", "v_query_texts", "v_docs")
 
 
 # ---------------------------------------------------------------- moderation / lookup / detail

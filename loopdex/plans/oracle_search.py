@@ -33,8 +33,8 @@ pq AS (
 """
 
 
-def parse_sql() -> str:
-    return PARSE
+def parse_sql(view: str = "v_queries") -> str:
+    return PARSE.replace("FROM v_queries", f"FROM {view}")
 
 
 def search_ctes(limit: int = 20, depth: int = 20, blocked=("nsfw",), k1=1.2, b=0.75, rrf_k=60) -> str:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loopdex.plans.common import GAP_US
 from loopdex.session import checkpoint_dir
@@ -44,19 +43,11 @@ WHERE regexp_replace(event_type, '^\\s+|\\s+$', '', 'g') <> '' AND (prev IS NULL
 
 
 def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
-    """J1 stream: replay ``events`` through a file-source stream (one file per trigger),
-    watermark + session windows, append mode; returns the closed sessions emitted."""
-    ckpt = checkpoint_dir(spark)
-    schema = fx.table(spark, sf, "events").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "events.parquet").parquet(sf))
-    agg = db.stream_debounce(stream.select("user_id", "ts", "event_type"), "user_id", "ts", "event_type", "30 minutes", "1 minute")
-    name = "stream_debounce_" + next(tempfile._get_candidate_names())
-    q = (agg.writeStream.outputMode("append").format("memory").queryName(name)
-         .option("checkpointLocation", f"{ckpt}/{name}").start())
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name)
+    """J1 stream: replay ``events`` through a file-source stream and close it; every session, as in ``debounce``."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-debounce-{uuid.uuid4().hex}"
+    return db.replay_debounce(spark, sf, "events.parquet", "user_id", "ts", "event_type", "30 minutes", folder)
 
 
+O["stream_debounce"] = O["debounce"]
+
 Q.update({"debounce": debounce, "drop_repeats": drop_repeats, "stream_debounce": stream_debounce})

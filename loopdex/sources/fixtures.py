@@ -61,6 +61,37 @@ SELECT * FROM (VALUES
   (9, 'tag:"open plate', 29), (10, '', 31), (11, '   ', 37), (12, 'zzznothing', 41), (13, 'the and of', 43)) AS q(query_id, raw, vec_id)
 """
 
+# Every part and every benchmark passage as a query: each form of the syntax, alone, mixed, empty or left open.
+VIEWS["v_query_texts"] = """
+SELECT p_partkey AS query_id, p_partkey AS vec_id,
+       CASE p_partkey % 20
+         WHEN 0 THEN p_name
+         WHEN 1 THEN concat('"', p_name, '"')
+         WHEN 2 THEN concat('tag:', split_part(p_name, ' ', 1))
+         WHEN 3 THEN concat('tag:"', p_type, ' Part"')
+         WHEN 4 THEN concat('-tag:', lower(p_type))
+         WHEN 5 THEN concat('-tag:"', p_type, ' Part" ', p_name)
+         WHEN 6 THEN concat(p_name, ' tag:', split_part(p_name, ' ', 2), ' -tag:"', p_type, '"')
+         WHEN 7 THEN concat('"', p_name, '" "', p_brand, '" ', lower(p_type), ' tag:', p_type)
+         WHEN 8 THEN concat('tag:"', p_name)
+         WHEN 9 THEN concat('"', p_name, ' ', p_brand)
+         WHEN 10 THEN concat('hash', 'tag:', p_brand, ' ', p_name)
+         WHEN 11 THEN concat('tag:"! !" ', p_brand)
+         WHEN 12 THEN concat('  ', p_name, chr(9), chr(10))
+         WHEN 13 THEN ''
+         WHEN 14 THEN '   '
+         WHEN 15 THEN concat('"   " tag: -tag: ', p_type)
+         WHEN 16 THEN concat('"" tag:""', p_name)
+         WHEN 17 THEN concat('-', 'tag:"', p_brand, '"', 'tag:', p_type, ' tag:"', p_name, '"')
+         WHEN 18 THEN concat('TAG:', p_brand, ' -Tag:"', p_type, '"')
+       END AS raw
+FROM part
+UNION ALL
+SELECT -1 - 2 * item_id AS query_id, item_id AS vec_id, text AS raw FROM benchmark
+UNION ALL
+SELECT -2 - 2 * item_id AS query_id, item_id AS vec_id, concat('"', text, '" tag:', CAST(item_id AS STRING)) AS raw FROM benchmark
+"""
+
 VIEWS["v_updates"] = """
 SELECT concat('gif_', CAST(c_custkey % 100 AS STRING)) AS doc_id, c_custkey AS seq, c_mktsegment AS value FROM customer
 """
@@ -102,6 +133,7 @@ FROM part
 # Base tables each view reads (so a plan registers only what it scans).
 VIEW_DEPS = {
     "v_caption_lines": ("documents",), "v_description_json": ("part",), "v_docs": ("part",), "v_queries": (),
+    "v_query_texts": ("part", "benchmark"),
     "v_updates": ("customer",), "v_manifest_items": ("documents", "labels"), "v_payload": ("documents",),
     "v_media": ("part",),
 }
