@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopdex.llm import bloom
-from loopdex.llm.common import written
+from loopdex.llm.common import releasing, written
 from loopdex.llm.graph import components
 
 #: One n-gram hash in EVERY is in the first part of the order; it must stay above the prefix share (1 - t).
@@ -110,7 +110,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             kind = pa.list_(pa.struct([("r", pa.int8()), ("h", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(out, kind)], names=["doc_id", "n", "c", "sent"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, c bigint, sent array<struct<r:tinyint,h:array<bigint>>>")
+    return docs.mapInArrow(releasing(run), "doc_id bigint, n bigint, c bigint, sent array<struct<r:tinyint,h:array<bigint>>>")
 
 
 def _whole(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _whole(docs: DataFrame, width: int, percent: int) -> DataFrame:
             kind = pa.list_(pa.struct([("r", pa.int8()), ("h", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own_, pa.binary()), pa.array(ranges, pa.list_(pa.int32())), pa.array(fine), pa.array(out, kind)], names=["doc_id", "n", "own", "ranges", "fine", "sent"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, own binary, ranges array<int>, fine binary, sent array<struct<r:tinyint,h:array<bigint>>>")
+    return docs.mapInArrow(releasing(run), "doc_id bigint, n bigint, own binary, ranges array<int>, fine binary, sent array<struct<r:tinyint,h:array<bigint>>>")
 
 
 def _links(o, na, nb, percent: int):
@@ -193,8 +193,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(_links(int((y[at] == x).sum()), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(both(pairs, "n", "fine").mapInArrow(near, "a bigint, b bigint"), "pairs")
-    return both(pairs, "own").mapInArrow(linked, "a bigint, b bigint")
+    pairs = written(both(pairs, "n", "fine").mapInArrow(releasing(near), "a bigint, b bigint"), "pairs")
+    return both(pairs, "own").mapInArrow(releasing(linked), "a bigint, b bigint")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:

@@ -22,6 +22,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loopdex.llm.common import releasing
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
@@ -200,7 +202,7 @@ def encoded(docs: DataFrame, model: str, ids: bool = True, threads: int = THREAD
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, ids_crc32 bigint, decodes boolean, n_differ bigint")
+    return rows.mapInArrow(releasing(run), "doc_id bigint, n_tokens bigint, ids binary, ids_crc32 bigint, decodes boolean, n_differ bigint")
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
@@ -215,4 +217,4 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
             texts = [codec.decode(x.as_py() or b"") for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return rows.select("doc_id", "ids").mapInArrow(releasing(run), "doc_id bigint, text string")
