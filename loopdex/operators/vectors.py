@@ -23,9 +23,13 @@ from pyspark.sql import functions as F
 from loopdex import config as C
 from loopdex.functions.query import py_tags_contain
 from loopdex.functions.text import tokens
-from loopdex.operators.util import spread, top_k_per_group
+from loopdex.operators.util import bounded_broadcast, spread, top_k_per_group
+from loopdex.session import written
 
 HIT_SCHEMA = "query_id long, doc_id string, score double"
+# IVF: held-out queries at most, the share of their neighbours that probes must find (above the
+# 0.9 asked, as other queries scatter), and probe rows (with a query vector each) that are broadcast.
+HELD_OUT, RECALL_TARGET, MAX_PROBE_ROWS = 256, 0.95, 10_000
 
 
 def _local_topk(qids, qmat, masks, doc_ids, vmat, k):
@@ -199,8 +203,8 @@ def ivf_assign(vectors: DataFrame, model) -> DataFrame:
 
 
 def ivf_probes(queries: DataFrame, model, nprobe: int) -> DataFrame:
-    """(query_id, cell) for the nprobe nearest centroids of each query (centroids are
-    bounded by the cell count and already on the driver from the model)."""
+    """(query_id, cell, probe) for the nprobe nearest centroids of each query, probe = 1 the
+    nearest (centroids are bounded by the cell count and already on the driver from the model)."""
     spark = queries.sparkSession
     cent = spark.sparkContext.broadcast(np.stack(model.clusterCenters()).astype(np.float64))
 
@@ -213,15 +217,46 @@ def ivf_probes(queries: DataFrame, model, nprobe: int) -> DataFrame:
             d = ((qm[:, None, :] - c[None, :, :]) ** 2).sum(-1)
             order = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
             yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(dtype=np.int64), order.shape[1]),
-                                "cell": order.reshape(-1).astype(np.int32)})
-
-    return queries.select("query_id", "embedding").mapInPandas(run, "query_id long, cell int")
+                                "cell": order.reshape(-1).astype(np.int32),
+                                "probe": np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(order))})
+
+    return queries.select("query_id", "embedding").mapInPandas(run, "query_id long, cell int, probe int")
+
+
+def ivf_hold_out(vectors: DataFrame, most: int = HELD_OUT) -> tuple[DataFrame, DataFrame]:
+    """(vectors to train on, held-out queries): up to ``most`` vectors, at most a quarter of the
+    table, chosen by the hash of their id. The queries keep their id as ``own``."""
+    some = vectors.where(F.col("embedding").isNotNull())
+    m = min(most, some.count() // 4)
+    picked = some.select(F.col("doc_id").cast("string").alias("own"), "embedding").orderBy(F.xxhash64("own"), "own").limit(m)
+    held = written(picked.select(F.monotonically_increasing_id().alias("query_id"), "own", "embedding"), "ivf_held")
+    train = some.join(F.broadcast(held.select("own")), F.col("doc_id").cast("string") == F.col("own"), "left_anti")
+    return train, held
+
+
+def ivf_nprobe(assigned: DataFrame, held: DataFrame, model, k: int, target: float = RECALL_TARGET) -> int:
+    """The fewest probes that find ``target`` of the held-out queries' true k neighbours (themselves
+    left out); all cells where there is nothing to measure on. The driver gets a count a probe."""
+    cells = len(model.clusterCenters())
+    near = knn_exact(assigned, held, k + 1).join(F.broadcast(held.select("query_id", "own")), "query_id").where("doc_id <> own")
+    near = top_k_per_group(near.drop("vrank"), "query_id", [F.col("score").desc(), F.col("doc_id")], k)
+    found = (assigned.select(F.col("doc_id").cast("string").alias("doc_id"), "cell")
+             .join(F.broadcast(near.select("query_id", "doc_id")), "doc_id")
+             .join(F.broadcast(ivf_probes(held, model, cells)), ["query_id", "cell"])
+             .groupBy("query_id", "doc_id").agg(F.min("probe").alias("probe")))
+    count = dict(found.groupBy("probe").count().collect())
+    need, got = target * sum(count.values()), 0
+    for n in range(1, cells + 1):
+        got += count.get(n, 0)
+        if got and got >= need:
+            return n
+    return cells
 
 
 def knn_ivf(assigned: DataFrame, queries: DataFrame, model, k: int, nprobe: int) -> DataFrame:
     """Approximate top-k: score only vectors in the probed cells (equi-join on cell)."""
     probes = ivf_probes(queries, model, nprobe).join(queries.select("query_id", F.col("embedding").alias("q_emb")), "query_id")
-    cand = assigned.select("doc_id", "cell", "embedding").join(probes, "cell")
+    cand = assigned.select("doc_id", "cell", "embedding").join(bounded_broadcast(probes, MAX_PROBE_ROWS), "cell")
     scored = cand.select("query_id", F.col("doc_id").cast("string").alias("doc_id"), dot("embedding", "q_emb").alias("score"))
     return top_k_per_group(scored, "query_id", [F.col("score").desc(), F.col("doc_id")], k, "vrank")
 

@@ -42,11 +42,14 @@ SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (
 WHERE rank <= {KNN_K}""", "v_queries")
 
 
-def knn_ivf(spark: SparkSession, sf: str, n_cells: int = 16, nprobe: int = 4) -> DataFrame:
-    """IVF (KMeans cells, nprobe probes) top-10 with recall against the exact list."""
+def knn_ivf(spark: SparkSession, sf: str, n_cells: int = 16, nprobe: int | None = None) -> DataFrame:
+    """IVF (KMeans cells) top-10 with recall against the exact list; as many probes as find
+    the neighbours of held-out vectors, unless nprobe is given."""
     vecs, q = _vq(spark, sf)
-    model = V.ivf_train(vecs, n_cells)
-    approx = V.knn_ivf(V.ivf_assign(vecs, model), q, model, KNN_K, nprobe)
+    train, held = V.ivf_hold_out(vecs)
+    model = V.ivf_train(train, n_cells)
+    assigned = V.ivf_assign(vecs, model)
+    approx = V.knn_ivf(assigned, q, model, KNN_K, nprobe or V.ivf_nprobe(assigned, held, model, KNN_K))
     exact = V.knn_exact(vecs, q, KNN_K)
     rec = V.recall_at_k(approx, exact.select("query_id", "doc_id"))
     return approx.select("query_id", F.col("vrank").cast("long").alias("rank"), "doc_id", round6("score").alias("score")).join(

@@ -101,6 +101,37 @@ def test_ivf_recall(spark):
     assert rec == pytest.approx(1.0)
 
 
+def _probed(spark, vecs, qs, n_cells):
+    train, held = V.ivf_hold_out(vecs)
+    model = V.ivf_train(train, n_cells)
+    assigned = V.ivf_assign(vecs, model)
+    nprobe = V.ivf_nprobe(assigned, held, model, 10)
+    exact = V.knn_exact(vecs, qs, 10).select("query_id", "doc_id")
+    recall = lambda n: V.recall_at_k(V.knn_ivf(assigned, qs, model, 10, n), exact).agg(F.avg("recall")).first()[0]
+    return nprobe, recall
+
+
+def test_ivf_probes_follow_recall(spark):
+    """Vectors without structure need more than a quarter of the cells, clusters fewer; neither needs all."""
+    _, _, vecs, qs = _vec_tables(spark, n=1200, q=40, d=6)
+    nprobe, recall = _probed(spark, vecs, qs, 16)
+    assert 4 < nprobe < 16 and recall(nprobe) >= 0.9 > recall(4)
+    rng = np.random.default_rng(5)
+    at = rng.normal(size=(8, 6)) * 20
+    rows = [(str(i), (at[i % 8] + rng.normal(size=6)).astype(np.float32).tolist()) for i in range(800)]
+    vecs = spark.createDataFrame(rows, "doc_id string, embedding array<float>")
+    qs = spark.createDataFrame([(i, rows[i][1]) for i in range(40)], "query_id long, embedding array<float>")
+    nprobe, recall = _probed(spark, vecs, qs, 16)
+    assert nprobe < 16 and recall(nprobe) >= 0.9
+
+
+def test_ivf_query_recall(spark):
+    from loopdex.plans.vector_plans import knn_ivf
+    from tests.conftest import SF
+
+    assert knn_ivf(spark, SF).select("query_id", "recall").distinct().agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_hash_embed_unit_norm(spark):
     df = spark.createDataFrame([(1, "a b b c"), (2, "")], "doc_id long, text string")
     rows = V.hash_embed(df, "text", dim=32).orderBy("doc_id").collect()
