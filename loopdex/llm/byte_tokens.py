@@ -13,18 +13,23 @@ class ColumnTokens:
     The column's distinct chunks are found by Arrow and encoded together, a few thousand to a string: a byte-level
     vocabulary tells how many bytes each id stands for, so the ids of a chunk are those that end where it ends. A
     tokenizer whose ids don't add up to the bytes of the string gets the chunks one by one. Nothing is kept between
-    columns."""
+    columns.
+
+    special_as_text: strings of special tokens are ordinary text. If not, they get the special tokens' ids, as in a plain
+    library call; texts that hold one are encoded whole, as such a token also changes what is next to it."""
 
     GROUP = 4000
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, special_as_text: bool = True):
         import json
 
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(content)
         self._tokenizer.encode_special_tokens = True
-        vocab = json.loads(content)["model"]["vocab"]
+        spec = json.loads(content)
+        vocab = spec["model"]["vocab"]
+        self._special = [] if special_as_text else [x["content"] for x in spec.get("added_tokens") or [] if x["special"]]
         self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         self._bytes[list(vocab.values())] = [len(x) for x in vocab]
 
@@ -45,12 +50,29 @@ class ColumnTokens:
 
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        if not len(column):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         texts = column.fill_null("")
         listed = texts.to_pylist()
+        holds = np.fromiter((any(s in x for s in self._special) for x in listed), bool, len(listed)) if self._special else np.zeros(0, bool)
+        if not holds.any():
+            return self._chunked(texts, listed)
+        self._tokenizer.encode_special_tokens = False
+        try:
+            ids, n = self._each([x for x, held in zip(listed, holds) if held])
+        finally:
+            self._tokenizer.encode_special_tokens = True
+        sizes = np.zeros(len(listed), np.int64)
+        flat, sizes[~holds] = self._chunked(texts.filter(pa.array(~holds)), [x for x, held in zip(listed, holds) if not held])
+        flat = np.insert(flat, np.repeat(np.cumsum(sizes)[holds], n), ids)
+        sizes[holds] = n
+        return flat, sizes
+
+    def _chunked(self, texts, listed: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not listed:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         odd = any(map(is_odd, listed))
         parts = pa.array([cut(x) for x in listed], pa.list_(pa.string())) if odd else pc.split_pattern(texts, " ")
         coded = pc.dictionary_encode(parts.flatten())
@@ -72,12 +94,12 @@ class ColumnTokens:
 _MADE: dict[int, ColumnTokens] = {}
 
 
-def of_process(content: str) -> ColumnTokens:
+def of_process(content: str, special_as_text: bool = True) -> ColumnTokens:
     """One encoder a worker process, for all the tasks that the process runs."""
-    key = hash(content)
+    key = hash((content, special_as_text))
     if key not in _MADE:
         _MADE.clear()
-        _MADE[key] = ColumnTokens(content)
+        _MADE[key] = ColumnTokens(content, special_as_text)
     return _MADE[key]
 
 

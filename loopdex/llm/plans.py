@@ -28,7 +28,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(BYTE_BPE)).drop("shard")
+    return wavelet.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(BYTE_BPE), special_as_text=False).drop("shard")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,10 +181,10 @@ class WaveletMatrix:
         return self.alphabet[a]
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, special_as_text: bool = True) -> DataFrame:
     """Write documents (doc_id, text) as shards in folder, in ascending doc_id order; (shard, n_docs, n_tokens) of each.
     tokenizer: the path of a tokenizers file, read on the driver; its text (some MB, fixed by its vocabulary) is
-    broadcast. Written once: the result is a table of its own."""
+    broadcast. special_as_text: see ColumnTokens. Written once: the result is a table of its own."""
     from loopdex.llm.files import make, publish
 
     make(folder)
@@ -212,7 +212,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, sh
             return pa.RecordBatch.from_pylist([dict(zip(["shard", "n_docs", "n_tokens"], row))], pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for whole in batches:
-            encode = encode or of_process(content.value)
+            encode = encode or of_process(content.value, special_as_text)
             for batch in slices_of(whole, "text"):
                 ids, sizes = encode(batch.column("text"))
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
@@ -258,6 +258,6 @@ def documents(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
     return rows.join(starts, "shard").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, special_as_text: bool = True) -> DataFrame:
     folder = scratch(docs.sparkSession, "wavelet")
-    return documents(docs.sparkSession, folder, write(docs, tokenizer, folder, end_id))
+    return documents(docs.sparkSession, folder, write(docs, tokenizer, folder, end_id, special_as_text=special_as_text))

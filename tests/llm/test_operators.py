@@ -131,6 +131,41 @@ def test_column_tokens(fallback):
         assert [x for b in slices_of(batch, "text", most) for x in b.column(0).to_pylist()] == plain
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "", "plain one", "x<|endoftext|><|endoftext|>y  z", None, "a\n<|endoftext|>\nb", "<|endoftext", "plain two"]
+
+
+def plainly(texts):
+    """The ids of a library call that sets add_special_tokens=False and nothing else."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(plans.tokenizer_path(plans.BYTE_BPE))
+    return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_column_tokens_special():
+    import pyarrow as pa
+
+    from loopdex.llm.byte_tokens import ColumnTokens
+
+    encode = ColumnTokens(open(plans.tokenizer_path(plans.BYTE_BPE), encoding="utf-8").read(), special_as_text=False)
+    for texts in (SPECIAL, ODD, SPECIAL[:2], SPECIAL[2:4], SPECIAL[::-1], []):
+        ids, sizes = encode(pa.array(texts, pa.string()))
+        want = plainly(texts)
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_wavelet_query_is_plain_library_call(spark, tmp_path):
+    rows = list(enumerate(SPECIAL + ODD))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in plans.op3_wavelet_shards(spark, str(tmp_path)).collect())
+    want, at = [], 0
+    for (i, _), ids in zip(rows, plainly([t for _, t in rows]), strict=True):
+        ids = [*ids, 0]
+        want.append((i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        at += len(ids)
+    assert got == want
+
+
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (5000, 1), (20000, 7), (30000, 50000)])
 def test_wavelet_matrix(n, top):
     r = np.random.default_rng(n)
