@@ -22,8 +22,9 @@ Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of di
 Sets are compared by 64-bit hashes of their n-grams.
 
 Edge cases: null text and text without words: an empty set, linked with nothing, component is the own doc_id; fewer
-words than n: the whole sequence is the one n-gram; rows that repeat a doc_id give a row each; a null doc_id keeps its
-row, takes no part, component null; an empty table gives an empty result; extra columns are ignored.
+words than n: the whole sequence is the one n-gram; rows that repeat a doc_id give a row each, and
+are one node: each of their texts takes part, and what they link with is one component; a null doc_id keeps its row,
+takes no part, component null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,6 +96,11 @@ def _first_part(round_: Column, h: Column) -> Column:
     return (round_ == 0) | (F.pmod(unsigned, F.lit(EVERY)) == 0)
 
 
+def _name(own: bytes) -> int:
+    """The class of a set's bytes."""
+    return int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
+
+
 def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, c, sent): c names the set; sent: what it sends in each round."""
 
@@ -105,7 +111,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             ids, n, c, out = batch.column(0), [], [], []
             for own in sets_of(batch.column(1), width):
                 n.append(len(own))
-                c.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else None)
+                c.append(_name(own.tobytes()) if len(own) else None)
                 out.append([{"r": r, "h": h.view(np.int64)} for r, h in sent(own, percent)])
             kind = pa.list_(pa.struct([("r", pa.int8()), ("h", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(out, kind)], names=["doc_id", "n", "c", "sent"])
@@ -114,23 +120,24 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _whole(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, own, ranges, fine, sent) with the whole set in bytes, for the survivors."""
+    """(doc_id, n, own, ranges, fine, sent, c) with the whole set in bytes, for the survivors."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n, own_, ranges, fine, out = [], [], [], [], []
+            n, own_, ranges, fine, out, c = [], [], [], [], [], []
             for own in sets_of(batch.column(1), width):
                 n.append(len(own))
                 own_.append(own.tobytes())
+                c.append(_name(own_[-1]))
                 ranges.append(_ranges(own))
                 fine.append(_fine(own))
                 out.append([{"r": r, "h": h.view(np.int64)} for r, h in sent(own, percent)])
             kind = pa.list_(pa.struct([("r", pa.int8()), ("h", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own_, pa.binary()), pa.array(ranges, pa.list_(pa.int32())), pa.array(fine), pa.array(out, kind)], names=["doc_id", "n", "own", "ranges", "fine", "sent"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own_, pa.binary()), pa.array(ranges, pa.list_(pa.int32())), pa.array(fine), pa.array(out, kind), pa.array(c, pa.int64())], names=["doc_id", "n", "own", "ranges", "fine", "sent", "c"])
 
-    return docs.mapInArrow(releasing(run), "doc_id bigint, n bigint, own binary, ranges array<int>, fine binary, sent array<struct<r:tinyint,h:array<bigint>>>")
+    return docs.mapInArrow(releasing(run), "doc_id bigint, n bigint, own binary, ranges array<int>, fine binary, sent array<struct<r:tinyint,h:array<bigint>>>, c bigint")
 
 
 def _links(o, na, nb, percent: int):
@@ -299,6 +306,15 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return _verified(pairs, sets, percent).union(_blocks(postings, many, prefixes, sets, percent))
 
 
+def _nodes(reps: DataFrame) -> DataFrame:
+    """reps with the node of each class: its rep, or where classes share that, for all but one of them a number above
+    it (an id is the least of its component, then, as the rep is in it)."""
+    first = reps.groupBy("rep").agg(F.min("c").alias("first"))
+    high = F.when(F.col("rep") < 1 << 62, F.col("c").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    high = high.otherwise(F.col("rep") + F.pmod(F.col("c"), F.greatest(F.lit((1 << 63) - 1) - F.col("rep"), F.lit(1))) + F.when(F.col("rep") < (1 << 63) - 1, 1).otherwise(0))
+    return reps.join(first, "rep").withColumn("node", F.when(F.col("c") == F.col("first"), F.col("rep")).otherwise(high)).drop("first")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -313,19 +329,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     survivors = written(rounds.select(F.col("rep").alias("doc_id")).distinct(), "survivors")
     # Few texts pass the broadcast Bloom filter of the survivors' ids, and only those are shuffled to the exact join.
     texts = bloom.with_answer(docs, "doc_id", bloom.build(survivors, "doc_id", survivors.count()), "maybe").where("maybe").drop("maybe")
-    texts = texts.join(survivors, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # ids that rows share are one node
-    sets = written(_whole(texts, width, percent), "sets")
-    group = components(links(sets, percent))
+    texts = texts.join(survivors, "doc_id", "left_semi")
+    # Ids whose rows are of several classes: each class has a set of its own, and the id is an edge between them.
+    ids = known.groupBy("doc_id").agg(F.min("c").alias("least"), F.max("c").alias("last")).where("least < last").select("doc_id", "least")
+    ids = written(ids, "shared-ids")
+    if ids.limit(1).count():
+        reps = written(_nodes(reps), "nodes")
+        sets = _whole(texts.dropDuplicates(["doc_id", "text"]), width, percent)
+        own = reps.select("c", F.col("node").alias("named")).join(rounds.select("c").distinct(), "c", "left_semi")
+        sets = sets.join(own, "c").dropDuplicates(["c"]).withColumn("doc_id", F.col("named")).drop("c", "named")
+        edges = known.join(ids, "doc_id").where("c <> least").select("least", "c").distinct()
+        a, b = (reps.select(F.col("c").alias(k), F.col("node").alias(x)) for k, x in (("least", "a"), ("c", "b")))
+        found = links(written(sets, "sets"), percent).union(edges.join(a, "least").join(b, "c").select("a", "b"))
+    else:
+        reps = reps.withColumn("node", F.col("rep"))
+        found = links(written(_whole(texts.dropDuplicates(["doc_id"]), width, percent), "sets"), percent)
+    group = components(found).withColumnRenamed("node", "linked")
     # Back to the documents: classes with copies or links; the salt deals out a class that holds many of the rows.
-    named = reps.join(group, reps.rep == group.node, "left").select("c", F.coalesce("component", "rep").alias("component"), "copies", "node")
-    named = named.where("copies > 1 OR node IS NOT NULL").select("c", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = reps.join(group, reps.node == group.linked, "left").select("c", F.coalesce("component", "rep").alias("component"), "copies", "linked")
+    named = named.where("copies > 1 OR linked IS NOT NULL").select("c", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = all_.select("doc_id", "n", "c", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     return salted.join(named, ["c", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; rows that repeat a doc_id count once, null ids stay."""
+    """docs without those whose component has a smaller doc_id; rows that repeat a doc_id count once
+    (the one with the greatest text, in byte order), null ids stay."""
     found = near_duplicates(docs, width, percent)
     lost = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(lost, "doc_id", "left_anti")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    rest = [c for c in kept.columns if c not in ("doc_id", "text")]
+    one = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*")
+    return one.unionByName(kept.where("doc_id IS NULL"))

@@ -63,6 +63,19 @@ def test_ngram_join_edges(spark):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
 
 
+def test_ngram_join_shared_ids(spark):
+    """Rows of one id with different texts: both texts link, the id joins what they link with, whatever the row order."""
+    r = np.random.default_rng(8)
+    a, b, c = (" ".join(f"{k}{r.integers(10**9)}" for _ in range(200)) for k in "abc")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, b + " z"), (6, c), (5, c + " z"), (5, "one"), (8, "one"), (7, "two three"), (9, "x " + a), (9, "solo")]
+    for big, order in ((0, rows), (1 << 62, rows[::-1])):
+        df = spark.createDataFrame([(i + big, t) for i, t in order], "doc_id bigint, text string")
+        got = {(x.doc_id - big, x.component_id - big) for x in ngram_join.near_duplicates(df, 4, 85).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (9, 1), (5, 5), (6, 5), (8, 5), (7, 7)}
+    kept = {x.doc_id - big: x.text for x in ngram_join.one_of_each(df, 4, 85).collect()}
+    assert kept == {1: max(a, b), 5: max(c + " z", "one"), 7: "two three"}
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_kneser_ney(spark, order):
     rows = docs_of(spark, SMALL)
