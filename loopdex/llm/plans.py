@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopdex.llm import kneser_ney, learned_partitions, mixing, ngram_join, quality_rules, sentencepieces, separators, url_filter, warc, wavelet
+from loopdex.llm import (
+    hard_negatives,
+    kneser_ney,
+    learned_partitions,
+    mixing,
+    ngram_join,
+    prefix_trie,
+    quality_rules,
+    sentencepieces,
+    separators,
+    simhash,
+    url_filter,
+    warc,
+    wavelet,
+)
 from loopdex.llm.common import read
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -62,8 +76,31 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return hard_negatives.mine(rows.withColumn("label", hard_negatives.shifted_label(F.col("vec_id"), F.col("label"))))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), width=4, bits=4).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_warc, op3_wavelet_shards, op4_url_filter, op5_mixing, op6_separator_scan, op7_learned_partitions, op8_ngram_join, op9_sentencepiece, op10_kneser_ney)
+    for f in (
+        op1_quality_rules, op2_warc, op3_wavelet_shards, op4_url_filter, op5_mixing, op6_separator_scan, op7_learned_partitions, op8_ngram_join, op9_sentencepiece, op10_kneser_ney,
+        op11_prefix_trie, op12_hard_negatives, op13_simhash,
+    )
+}
+ORACLE = {
+    "op1_quality_rules": quality_rules.sql(),
+    "op2_warc": warc.sql(),
+    "op4_url_filter": url_filter.sql(),
+    "op5_mixing": mixing.sql(),
+    "op11_prefix_trie": prefix_trie.sql(),
+    "op12_hard_negatives": hard_negatives.sql(),
 }
-ORACLE = {"op1_quality_rules": quality_rules.sql(), "op2_warc": warc.sql(), "op4_url_filter": url_filter.sql(), "op5_mixing": mixing.sql()}
