@@ -1,50 +1,40 @@
 """Hybrid search over a table of queries.
 
-Every step is keyed by ``query_id``; one Spark job answers the whole query table.
+Every step is keyed by ``query_id``; one call answers the whole query table from a written store (``search_store``). No step
+reads or tokenises the corpus: the text list comes from the inverted index, the vector list from packed vectors, tag-only
+and match-all lists from bitmaps and the store order, and only the final rows meet their display fields.
 
 Plan per mode (I2):
   hybrid  (loose text)      text list (conjunct of phrases + match) ‖ vector list -> RRF
   text    (phrases only)    text list ordered by BM25
   tags    (tags only)       tag clauses are the query; store order (seq)
   all     (nothing)         every non-excluded document in store order
-Tag filters and exclusions are applied to both lists before their top-k cut, the
-search limit is applied before moderation (so fewer rows may come back), and rank
-counts the survivors.
+Tag filters and exclusions are masks under every list, so nothing is scored that they exclude. The search limit is applied
+before moderation (so fewer rows may come back), and rank counts the survivors. Scores are ranked as rounded to six
+decimals, ties to smaller ids.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loopdex.config import SearchConfig
 from loopdex.functions.moderation import display_description, display_score, has_blocked_tag, is_removed
-from loopdex.functions.query import (
-    all_clauses_match,
-    any_clause_matches,
-    exclusion_clause_tokens,
-    tag_clause_tokens,
-    tag_tokens,
-    tags_contain,
-    with_parsed,
-)
-
-__all__ = ["search", "lookup_ids", "tags_contain", "all_clauses_match"]
-from loopdex.operators.text_index import analyze, bm25_match, phrase_match, scalars
-from loopdex.operators.util import bounded_broadcast, ensure_cols, top_k_per_group
-from loopdex.operators.vectors import knn_exact
-from loopdex.session import checkpoint_dir
-
-
-@dataclass
-class SearchResult:
-    hits: DataFrame    # query_id, rank, doc_id, score, list_score, description, gif_url
-    totals: DataFrame  # query_id, total
-
-
-def prepare_queries(queries: DataFrame, cfg: SearchConfig) -> DataFrame:
+from loopdex.functions.query import all_clauses_match, exclusion_clause_tokens, tag_clause_tokens, tags_contain, with_parsed
+from loopdex.operators import inverted
+from loopdex.operators.embedder import Embedder, embed
+from loopdex.operators.search_store import SearchStore, nearest, write_store
+from loopdex.operators.tag_bitmaps import Masks, browse, filters, masks
+from loopdex.operators.util import bounded_broadcast, ensure_cols, round6, top_k_per_group
+from loopdex.session import checkpoint_dir, scratch, written
+
+__all__ = ["Search", "search", "lookup_ids", "rrf", "prepare_queries", "tags_contain", "all_clauses_match"]
+
+
+def prepare_queries(queries: DataFrame) -> DataFrame:
     """Parsed queries with clause token lists: req (tag filters) and neg (exclusions)."""
     p = with_parsed(queries)
     return p.withColumns({
@@ -53,95 +43,11 @@ def prepare_queries(queries: DataFrame, cfg: SearchConfig) -> DataFrame:
     })
 
 
-DISPLAY_COLS = ("literal", "description", "original_description", "combined_text", "tags", "gif_url")
-
-
-def prepare_docs(docs: DataFrame, cfg: SearchConfig, text_col: str = "combined_text") -> DataFrame:
-    """(doc_id, seq, text, tag_toks, excluded, display fields): the searchable store row.
-
-    excluded = matches a blocked-tag phrase (I12). This is ingest-time work (O8): a
-    store written with these columns is searched as is (see ``is_prepared``).
-    """
-    blocked = F.array(*[exclusion_clause_tokens(F.lit(t)) for t in cfg.blocked_tags]) if cfg.blocked_tags \
-        else F.array().cast("array<array<string>>")
-    docs = ensure_cols(docs, ("literal", "description", "original_description", "combined_text", "gif_url"))
-    if "tags" not in docs.columns:
-        docs = docs.withColumn("tags", F.lit(None).cast("array<string>"))
-    return docs.select(
-        F.col("doc_id").cast("string").alias("doc_id"), "seq", F.col(text_col).alias("text"),
-        tag_tokens("tags").alias("tag_toks"), *DISPLAY_COLS,
-    ).withColumn("excluded", any_clause_matches("tag_toks", blocked))
-
-
-def is_prepared(docs: DataFrame) -> bool:
-    return {"doc_id", "seq", "text", "tag_toks", "excluded", *DISPLAY_COLS} <= set(docs.columns)
-
-
-def _passes(req="req", neg="neg"):
-    return (~F.col("excluded")) & all_clauses_match("tag_toks", req) & ~any_clause_matches("tag_toks", neg)
-
-
-def text_clauses(pq: DataFrame) -> DataFrame:
-    """(query_id, clause_id, kind, text) rows: each phrase, then the loose text."""
-    ph = pq.select("query_id", F.posexplode("phrases").alias("clause_id", "text")).withColumn("kind", F.lit("phrase"))
-    lo = pq.where(F.col("loose") != "").select("query_id", F.size("phrases").alias("clause_id"), F.col("loose").alias("text"),
-                                               F.lit("match").alias("kind"))
-    return ph.unionByName(lo)
-
-
-def text_candidates(pq: DataFrame, dp: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """I6/I7 + I11/I12: (query_id, doc_id, tscore) for documents matching all text clauses."""
-    tq = pq.where(F.col("has_text"))
-    clauses = text_clauses(tq)
-    analyzed = analyze(dp, "text", "doc_id", cfg, keep=("tag_toks", "excluded"))
-    st = scalars(analyzed)
-    carry = ("tag_toks", "excluded")
-    m = bm25_match(analyzed, clauses.where(F.col("kind") == "match"), cfg, carry, st)
-    p = phrase_match(analyzed, clauses.where(F.col("kind") == "phrase"), cfg, carry, st).drop("tf")
-    per_clause = m.unionByName(p)
-    nclauses = tq.select("query_id", (F.size("phrases") + F.when(F.col("loose") != "", 1).otherwise(0)).alias("n_clauses"),
-                         "req", "neg")
-    agg = per_clause.groupBy("query_id", "doc_id").agg(
-        F.sum("score").alias("tscore"), F.count(F.lit(1)).alias("n_hit"),
-        F.first("tag_toks").alias("tag_toks"), F.first("excluded").alias("excluded"))
-    both = agg.join(bounded_broadcast(nclauses, cfg.max_broadcast_queries), "query_id")
-    return both.where((F.col("n_hit") == F.col("n_clauses")) & _passes()).select("query_id", "doc_id", "tscore")
-
-
-def tag_candidates(pq: DataFrame, dp: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """I16: tag-only queries. Equi-join of each query's first clause token with the
-    documents' tag tokens (no cross join), then the full clause check."""
-    tq = pq.where(F.col("mode") == "tags").select("query_id", "req", "neg", F.get(F.get("req", F.lit(0)), F.lit(0)).alias("token"))
-    tq = bounded_broadcast(tq, cfg.max_broadcast_queries)
-    tp = dp.select("doc_id", "seq", "tag_toks", "excluded", F.explode(F.array_distinct(F.flatten("tag_toks"))).alias("token"))
-    return (tp.join(tq, "token").where(_passes())
-            .select("query_id", "doc_id", "seq").dropDuplicates(["query_id", "doc_id"]))
-
-
-def match_all(pq: DataFrame, dp: DataFrame, cfg: SearchConfig, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Queries with neither text nor tags: the first ``limit`` non-excluded documents in
-    store order, minus each query's negative tags.
-
-    Documents hit by a negative clause are found by an equi-join on tag tokens; the
-    answer then lies within the first ``limit + max_q |neg(q)|`` documents, a head of
-    proven size that is the only thing combined with the (bounded) query table.
-    """
-    aq = pq.where(F.col("mode") == "all").select("query_id", "neg")
-    aq = bounded_broadcast(aq, cfg.max_broadcast_queries)
-    clauses = aq.select("query_id", "neg", F.explode("neg").alias("clause")).where(F.size("clause") > 0)
-    tp = dp.where(~F.col("excluded")).select(
-        "doc_id", "tag_toks", F.explode(F.array_distinct(F.flatten("tag_toks"))).alias("token"))
-    negpairs = (tp.join(clauses.withColumn("token", F.col("clause")[0]), "token")
-                .where(tags_contain("tag_toks", "clause"))
-                .select("query_id", "doc_id").distinct())
-    n_neg = negpairs.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    head = dp.where(~F.col("excluded")).select("doc_id", "seq").orderBy("seq", "doc_id").limit(limit + int(n_neg))
-    hits = (aq.select("query_id").crossJoin(F.broadcast(head))
-            .join(negpairs, ["query_id", "doc_id"], "left_anti"))
-    n_ok = dp.where(~F.col("excluded")).agg(F.count(F.lit(1))).scalar()
-    totals = (aq.select("query_id").join(negpairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_neg")), "query_id", "left")
-              .select("query_id", (n_ok - F.coalesce("n_neg", F.lit(0))).alias("total")))
-    return hits, totals
+def query_masks(pq: DataFrame, store: SearchStore, cfg: SearchConfig) -> Masks:
+    """The documents that each query's tag clauses and the blocked tags leave."""
+    asked, of = filters(pq)
+    blocked = F.array(*[exclusion_clause_tokens(F.lit(t)) for t in cfg.blocked_tags]) if cfg.blocked_tags else None
+    return Masks(of, written(masks(store.tags, asked, blocked), "masks"))
 
 
 def rrf(lists: DataFrame, k: int) -> DataFrame:
@@ -149,88 +55,135 @@ def rrf(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("query_id", "doc_id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("fused"))
 
 
-def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, query_vectors: DataFrame | None,
-           cfg: SearchConfig = SearchConfig()) -> SearchResult:
-    """I13. queries: (query_id, raw); docs: store rows (doc_id, seq, combined_text, tags, literal,
-    description?, original_description, gif_url); vectors: (doc_id, embedding);
-    query_vectors: (query_id, embedding) for the semantic list."""
-    limit, depth = cfg.limit, cfg.list_depth
-    # The parsed query table is small and feeds every branch: cut its lineage once so
-    # each branch plans against a scan of the checkpoint, not the regex parse chain.
-    checkpoint_dir(queries.sparkSession)
-    pq = prepare_queries(queries, cfg).checkpoint(eager=True)
-    n_queries = pq.count()
-    # The prepared corpus feeds six branches (text, vectors, tags, match-all, display,
-    # totals). A raw input is prepared once and its lineage cut, so the corpus is
-    # scanned and its tags tokenised once instead of once per branch.
-    dp = docs if is_prepared(docs) else prepare_docs(docs, cfg).checkpoint(eager=True)
-
-    # --- text list (conjuncts of phrases + match), filtered, ranked
-    tc = text_candidates(pq, dp, cfg)
-    t_ranked = top_k_per_group(tc, "query_id", [F.col("tscore").desc(), F.col("doc_id")], depth, "trank")
-
-    # --- vector list for queries with loose text
-    vq = pq.where(F.col("use_vector")).select("query_id", "req", "neg")
-    if vectors is not None and query_vectors is not None:
-        vq = vq.join(query_vectors.select("query_id", "embedding"), "query_id")
-        vd = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), "embedding").join(
-            dp.select("doc_id", "tag_toks", "excluded"), "doc_id")
-        v_ranked = knn_exact(vd, vq, depth, cfg.max_broadcast_queries)
-    else:
-        v_ranked = None
-
-    modes = pq.select("query_id", "mode")
-    # hybrid: RRF over both lists; text-only: BM25 order
-    t_list = t_ranked.select("query_id", "doc_id", F.col("trank").alias("rank"), F.col("tscore"), F.lit(None).cast("double").alias("vscore"))
-    if v_ranked is not None:
-        v_list = v_ranked.select("query_id", "doc_id", F.col("vrank").alias("rank"), F.lit(None).cast("double").alias("tscore"),
-                                 F.col("score").alias("vscore"))
-        lists = t_list.unionByName(v_list)
-    else:
-        lists = t_list
-    fused = (lists.groupBy("query_id", "doc_id")
-             .agg(F.sum(F.lit(1.0) / (F.lit(cfg.rrf_k) + F.col("rank"))).alias("fused"), F.max("tscore").alias("tscore"),
-                  F.max("vscore").alias("vscore"))
-             .join(F.broadcast(modes), "query_id"))
-    ranked_text = fused.select(
-        "query_id", "doc_id",
-        F.when(F.col("mode") == "hybrid", F.col("fused")).otherwise(F.col("tscore")).alias("list_score"),
-        F.when(F.col("mode") == "hybrid", F.col("vscore")).alias("vec_score"),
-        F.lit(0).cast("long").alias("tie_seq"))
-
-    # --- tag-only and match-all lists (store order)
-    tg = tag_candidates(pq, dp, cfg)
-    ma_hits, ma_totals = match_all(pq, dp, cfg, limit)
-    ranked_tags = tg.select("query_id", "doc_id", F.lit(1.0).alias("list_score"), F.lit(None).cast("double").alias("vec_score"),
-                            F.col("seq").alias("tie_seq"))
-    ranked_all = ma_hits.select("query_id", "doc_id", F.lit(1.0).alias("list_score"), F.lit(None).cast("double").alias("vec_score"),
-                                F.col("seq").alias("tie_seq"))
-    cand = ranked_text.unionByName(ranked_tags).unionByName(ranked_all)
-
-    # --- G1: limit before moderation (late materialisation of the document fields)
-    order = [F.col("list_score").desc(), F.col("tie_seq"), F.col("doc_id")]
-    top = top_k_per_group(cand, "query_id", order, limit, "pre_rank")
-    dfields = dp.select("doc_id", *DISPLAY_COLS)
-    # top holds at most limit rows per query and the query count is known from the
-    # checkpoint, so its size bound is proven without running it: broadcast it and
-    # fetch the display fields where the documents live (late materialisation).
-    top_side = F.broadcast(top) if n_queries * limit <= cfg.max_broadcast_queries * 50 else top
-    joined = dfields.join(top_side, "doc_id")
-    kept = joined.where(~is_removed("literal", "description", "combined_text") & ~has_blocked_tag("tags", cfg.blocked_tags))
-    hits = top_k_per_group(kept, "query_id", [F.col("pre_rank")], limit, "rank").select(
-        "query_id", "rank", "doc_id",
-        display_score("vec_score", "list_score").alias("score"),
-        F.col("list_score"),
-        display_description().alias("description"),
-        F.coalesce("gif_url", F.lit("")).alias("gif_url"))
-
-    # --- E7 totals (before the limit; hybrid = distinct docs of both candidate sets)
-    t_tot = (tc.select("query_id", "doc_id").unionByName(v_ranked.select("query_id", "doc_id")) if v_ranked is not None
-             else tc.select("query_id", "doc_id")).distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    g_tot = tg.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    tot = t_tot.unionByName(g_tot).unionByName(ma_totals)
-    totals = pq.select("query_id").join(tot, "query_id", "left").select("query_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
-    return SearchResult(hits, totals)
+class Search:
+    """A table of queries on a store. Lists are planned when first asked for, so hits alone cost no totals."""
+
+    def __init__(self, queries: DataFrame, store: SearchStore, query_vectors: DataFrame | None, embedder: Embedder | None, cfg: SearchConfig):
+        self.store, self.cfg = store, cfg
+        # The parsed query table is small and feeds every list: its lineage is cut, so that lists plan against a scan.
+        checkpoint_dir(queries.sparkSession)
+        self.pq = prepare_queries(queries).checkpoint(eager=True)
+        if query_vectors is None and embedder is not None:
+            loose = self.pq.where("use_vector").select("query_id", "loose")
+            query_vectors = written(embed(loose, "loose", embedder), "query-vectors")
+        self.query_vectors = query_vectors
+
+    @cached_property
+    def masks(self) -> Masks:
+        return query_masks(self.pq, self.store, self.cfg)
+
+    @cached_property
+    def _match(self) -> DataFrame:
+        """Queries whose only clause is loose text."""
+        some = self.pq.where((F.col("loose") != "") & (F.size("phrases") == 0))
+        return some.select("query_id", F.lit(0).alias("clause_id"), F.col("loose").alias("text"))
+
+    @cached_property
+    def phrase_candidates(self) -> DataFrame:
+        """(query_id, range, local, tscore): the documents that hold all phrases of a query with phrases, and a term of
+        its loose text, if it has any. Loose text is only scored in ranges that hold all phrases."""
+        some = self.pq.where(F.size("phrases") > 0)
+        phrases = some.select("query_id", F.posexplode("phrases").alias("clause_id", "text"))
+        hits = inverted.phrase_hits(self.store.text, phrases, self.masks)
+        both = hits.groupBy("query_id", "range", "local").agg(F.sum("score").alias("pscore"), F.count("*").alias("n"))
+        both = both.join(some.select("query_id", F.size("phrases").alias("n_phrases"), (F.col("loose") != "").alias("more")), "query_id")
+        both = written(both.where("n = n_phrases"), "phrase-candidates")
+        loose = some.where(F.col("loose") != "").select("query_id", F.lit(0).alias("clause_id"), F.col("loose").alias("text"))
+        ranges = both.where("more").select("query_id", F.lit(0).alias("clause_id"), "range").distinct()
+        match = inverted.score_ranges(self.store.text, inverted.query_terms(self.store.text, loose), ranges).select("query_id", "range", "local", "score")
+        joined = both.where("more").join(match, ["query_id", "range", "local"]).select("query_id", "range", "local", (F.col("pscore") + F.col("score")).alias("tscore"))
+        return joined.unionByName(both.where("NOT more").select("query_id", "range", "local", F.col("pscore").alias("tscore")))
+
+    def text_candidates(self) -> DataFrame:
+        """(query_id, doc_id, tscore) of every document that matches all text clauses and the filters."""
+        match = inverted.match_all_hits(self.store.text, self._match, self.masks).select("query_id", "range", "local", F.col("score").alias("tscore"))
+        return self._named(match.unionByName(self.phrase_candidates)).select("query_id", "doc_id", "tscore")
+
+    @cached_property
+    def text_list(self) -> DataFrame:
+        """(query_id, range, local, doc_id, tscore, trank): the best of the text list of each query."""
+        depth = self.cfg.list_depth
+        match = inverted.match_candidates(self.store.text, self._match, depth, self.masks).select("query_id", "range", "local", F.col("score").alias("tscore"))
+        return top_k_per_group(self._named(match.unionByName(self.phrase_candidates)), "query_id", [round6("tscore").desc(), F.col("doc_id")], depth, "trank")
+
+    @cached_property
+    def vector_list(self) -> DataFrame | None:
+        """I8: (query_id, range, local, doc_id, score, vrank) of queries with loose text."""
+        if self.store.vectors is None or self.query_vectors is None:
+            return None
+        asked = self.pq.where("use_vector").select("query_id").join(self.query_vectors.select("query_id", "embedding"), "query_id")
+        return nearest(self.store, asked, self.cfg.list_depth, self.masks)
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.store.text.docs.select("range", "local", "doc_id"), ["range", "local"])
+
+    def _lists(self) -> DataFrame:
+        """(query_id, doc_id, rank, tscore, vscore) of both lists."""
+        none = F.lit(None).cast("double")
+        lists = self.text_list.select("query_id", "doc_id", F.col("trank").alias("rank"), "tscore", none.alias("vscore"))
+        if self.vector_list is not None:
+            lists = lists.unionByName(self.vector_list.select("query_id", "doc_id", F.col("vrank").alias("rank"), none.alias("tscore"), F.col("score").alias("vscore")))
+        return lists
+
+    def fused(self) -> DataFrame:
+        """(query_id, doc_id, fused, tscore, vscore)."""
+        one = F.sum(F.lit(1.0) / (F.lit(self.cfg.rrf_k) + F.col("rank"))).alias("fused")
+        return self._lists().groupBy("query_id", "doc_id").agg(one, F.max("tscore").alias("tscore"), F.max("vscore").alias("vscore"))
+
+    def _plain(self) -> tuple[DataFrame, DataFrame]:
+        """(query_id, filter) of the queries without text, and the masks of their filters."""
+        of = self.pq.where("mode IN ('tags', 'all')").select("query_id").join(self.masks.of, "query_id")
+        return of, self.masks.bits.join(of.select("filter").distinct(), "filter", "left_semi")
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """query_id, rank, doc_id, score, list_score, description, gif_url."""
+        limit, none = self.cfg.limit, F.lit(None).cast("double")
+        ranked = self.fused().join(self.pq.select("query_id", "mode"), "query_id")
+        hybrid = F.col("mode") == "hybrid"
+        ranked = ranked.select("query_id", "doc_id", F.when(hybrid, F.col("fused")).otherwise(F.col("tscore")).alias("list_score"),
+                               F.when(hybrid, F.col("vscore")).alias("vec_score"), F.lit(0).cast("long").alias("tie_seq"))
+        # Queries without text share the list of their filter: it is made and cut once, then dealt to them.
+        of, bits = self._plain()
+        listed = top_k_per_group(self._named(browse(self.store.orders, bits, limit)), "filter", [F.col("seq"), F.col("doc_id")], limit, "place")
+        plain = of.join(listed, "filter").select("query_id", "doc_id", F.lit(1.0).alias("list_score"), none.alias("vec_score"), F.col("seq").alias("tie_seq"))
+        order = [round6("list_score").desc(), F.col("tie_seq"), F.col("doc_id")]
+        # G1: the limit comes before moderation; only these rows meet the display fields.
+        top = written(top_k_per_group(ranked.unionByName(plain), "query_id", order, limit, "pre_rank"), "top")
+        joined = self.store.rows.join(bounded_broadcast(top, 200_000), "doc_id")
+        kept = joined.where(~is_removed("literal", "description", "combined_text") & ~has_blocked_tag("tags", self.cfg.blocked_tags))
+        return top_k_per_group(kept, "query_id", [F.col("pre_rank")], limit, "rank").select(
+            "query_id", "rank", "doc_id",
+            display_score("vec_score", "list_score").alias("score"),
+            F.col("list_score"),
+            display_description().alias("description"),
+            F.coalesce("gif_url", F.lit("")).alias("gif_url"))
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """(query_id, total) before the limit; hybrid: the distinct documents of both lists' candidates."""
+        key = ["query_id", "range", "local"]
+        vector = self.vector_list.select(*key) if self.vector_list is not None else self.phrase_candidates.select(*key).limit(0)
+        vector = written(vector, "vector-places")
+        loose = inverted.count_matches(self.store.text, self._match, self.masks, vector)
+        loose = loose.unionByName(vector.join(self._match.select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("n")))
+        some = self.pq.where(F.size("phrases") > 0).select("query_id")
+        phrases = self.phrase_candidates.select(*key).unionByName(vector.join(some, "query_id", "left_semi")).distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+        of, bits = self._plain()
+        plain = of.join(bits.groupBy("filter").agg(F.sum(F.bitmap_count("mask")).alias("n")), "filter").select("query_id", "n")
+        n = loose.unionByName(phrases).unionByName(plain).groupBy("query_id").agg(F.sum("n").alias("total"))
+        return self.pq.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+
+
+def search(queries: DataFrame, docs: DataFrame | SearchStore, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None,
+           cfg: SearchConfig = SearchConfig(), embedder: Embedder | None = None) -> Search:
+    """I13. queries: (query_id, raw); docs: a written store, or store rows (doc_id, seq, combined_text, tags, literal,
+    description?, original_description, gif_url), for which one is written first; vectors: (doc_id, embedding);
+    query_vectors: (query_id, embedding) for the semantic list. Vectors that aren't given are made by the embedder, if
+    there is one, from the store's text and the query's loose text."""
+    if not isinstance(docs, SearchStore):
+        docs = write_store(docs, scratch(queries.sparkSession, "search-store"), vectors, embedder, cfg=cfg)
+    return Search(queries, docs, query_vectors, embedder, cfg)
 
 
 def lookup_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -1,136 +1,27 @@
-"""Vector retrieval (I8, I9), the built-in embedder (I14) and embedding attachment.
+"""Approximate vector retrieval by cells (I9), the built-in embedder's sparse form (I14) and embedding attachment.
 
-Exact kNN streams the (large) vector table through an Arrow-batched numpy kernel:
-the (small, size-checked) query matrix is shipped once per executor as a broadcast
-variable, each batch keeps only its local top-k per query (ties kept), and a
-``row_number() <= k`` window with a partial ``WindowGroupLimit`` produces the global
-top-k. The vector table is never shuffled and no (query, doc) pair leaves a task.
-Beyond the broadcast bound the same kernel runs per hash bucket of the vectors with
-the queries replicated to every bucket (cogroup) – a shuffle, but no driver state.
-
-Score [defined here]: inner product in float64 (= cosine for unit vectors).
+Exact search is in ``knn``, the pluggable embedder in ``embedder``. Score [defined here]: inner product in float64 (= cosine
+for unit vectors).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopdex import config as C
-from loopdex.functions.query import py_tags_contain
 from loopdex.functions.text import tokens
+from loopdex.operators.knn import knn_exact
 from loopdex.operators.util import bounded_broadcast, spread, top_k_per_group
 from loopdex.session import written
 
-HIT_SCHEMA = "query_id long, doc_id string, score double"
 # IVF: held-out queries at most, the share of their neighbours that probes must find (above the
 # 0.9 asked, as other queries scatter), and probe rows (with a query vector each) that are broadcast.
 HELD_OUT, RECALL_TARGET, MAX_PROBE_ROWS = 256, 0.95, 10_000
 
 
-def _local_topk(qids, qmat, masks, doc_ids, vmat, k):
-    """Rows (query_id, doc_id, score) holding each query's batch-local top-k (ties kept)."""
-    out_q, out_d, out_s = [], [], []
-    if len(doc_ids) == 0 or len(qids) == 0:
-        return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "doc_id": pd.Series([], dtype=object),
-                             "score": pd.Series([], dtype="float64")})
-    step = 256
-    for s0 in range(0, len(qids), step):
-        scores = qmat[s0:s0 + step] @ vmat.T  # (q, n) float64
-        for j in range(scores.shape[0]):
-            row = scores[j]
-            m = masks[s0 + j]
-            if m is not None:
-                row = np.where(m, row, -np.inf)
-            finite = np.isfinite(row)
-            n_ok = int(finite.sum())
-            if n_ok == 0:
-                continue
-            kk = min(k, n_ok)
-            thr = np.partition(row, len(row) - kk)[len(row) - kk]
-            idx = np.nonzero((row >= thr) & finite)[0]
-            out_q.append(np.full(len(idx), qids[s0 + j], dtype=np.int64))
-            out_d.append(doc_ids[idx])
-            out_s.append(row[idx])
-    if not out_q:
-        return _local_topk([], None, None, [], None, k)
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d).astype(object),
-                         "score": np.concatenate(out_s)})
-
-
-def _query_spec(qpdf: pd.DataFrame):
-    qids = qpdf["query_id"].to_numpy(dtype=np.int64)
-    qmat = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["embedding"]]) if len(qpdf) else np.zeros((0, 0))
-    req = list(qpdf["req"]) if "req" in qpdf else [None] * len(qpdf)
-    neg = list(qpdf["neg"]) if "neg" in qpdf else [None] * len(qpdf)
-    return qids, qmat, req, neg
-
-
-def _masks(batch: pd.DataFrame, req, neg):
-    n = len(batch)
-    base = ~batch["excluded"].to_numpy(dtype=bool) if "excluded" in batch else np.ones(n, dtype=bool)
-    tt = list(batch["tag_toks"]) if "tag_toks" in batch else None
-    masks = []
-    for r, x in zip(req, neg):
-        r = [list(c) for c in r] if r is not None and len(r) else []
-        x = [list(c) for c in x] if x is not None and len(x) else []
-        if not r and not x:
-            masks.append(base)
-            continue
-        m = base.copy()
-        for i in range(n):
-            if m[i]:
-                doc_tags = [list(t) for t in tt[i]] if tt is not None and tt[i] is not None else []
-                m[i] = all(py_tags_contain(doc_tags, c) for c in r) and not any(py_tags_contain(doc_tags, c) for c in x)
-        masks.append(m)
-    return masks
-
-
-def _kernel(batch: pd.DataFrame, spec, k: int) -> pd.DataFrame:
-    qids, qmat, req, neg = spec
-    doc_ids = batch["doc_id"].astype(str).to_numpy()
-    vmat = np.stack([np.asarray(v, dtype=np.float64) for v in batch["embedding"]]) if len(batch) else np.zeros((0, qmat.shape[1] if qmat.size else 0))
-    return _local_topk(qids, qmat, _masks(batch, req, neg), doc_ids, vmat, k)
-
-
-def knn_exact(vectors: DataFrame, queries: DataFrame, k: int, max_broadcast_queries: int = 20_000) -> DataFrame:
-    """I8: exact top-k by inner product for every query.
-
-    vectors: (doc_id, embedding[, excluded][, tag_toks]); queries: (query_id, embedding[, req][, neg])
-    where req/neg are arrays of token lists (tag filter / exclusion clauses).
-    Returns (query_id, doc_id, score, vrank).
-    """
-    spark = vectors.sparkSession
-    vcols = [c for c in ("doc_id", "embedding", "excluded", "tag_toks") if c in vectors.columns]
-    v = vectors.select(*vcols).where(F.col("embedding").isNotNull())
-    qcols = [c for c in ("query_id", "embedding", "req", "neg") if c in queries.columns]
-    q = queries.select(*qcols).where(F.col("embedding").isNotNull())
-    rows = q.limit(max_broadcast_queries + 1).toPandas()  # bounded by construction
-    if len(rows) <= max_broadcast_queries:
-        bspec = spark.sparkContext.broadcast(_query_spec(rows))
-
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            spec = bspec.value
-            for batch in it:
-                yield _kernel(batch, spec, k)
-
-        local = v.mapInPandas(run, HIT_SCHEMA)
-    else:
-        n_buckets = max(1, v.rdd.getNumPartitions())
-        vb = v.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)))
-        qb = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))))
-
-        def run_group(vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-            return _kernel(vpdf, _query_spec(qpdf), k)
-
-        local = vb.groupBy("_b").cogroup(qb.groupBy("_b")).applyInPandas(run_group, HIT_SCHEMA)
-    return top_k_per_group(local, "query_id", [F.col("score").desc(), F.col("doc_id")], k, "vrank")
-
-
 def dot(a, b):
     """Inner product as a native expression (small-input path and check)."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)

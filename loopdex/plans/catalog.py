@@ -20,6 +20,6 @@ ORACLE = {
     "search_totals": OS.search_totals_sql(),
 }
 
-for _mod in (IP, EP, MP, TP, VP, STP):
+for _mod in (IP, EP, MP, SP, TP, VP, STP):
     QUERIES.update(_mod.Q)
     ORACLE.update(_mod.O)

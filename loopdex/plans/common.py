@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from loopdex.session import scratch
+
 # Fixture parameters (the oracles use the same numbers).
 HEAD_LIMIT = 100
 ROUND_LIMIT, ROUND_BATCH = 120, 50
@@ -31,3 +35,25 @@ def duck_joined(expr: str, sep: str = "|") -> str:
 def remap_update_id(custkey_col: str = "c_custkey") -> str:
     """Update keys mapped onto fixture doc ids (same expression in both engines)."""
     return f"concat('gif_', substr(md5(CAST({custkey_col} % 100 AS STRING)), 1, 16))"
+
+
+_BUILT: dict[tuple, tuple] = {}
+
+
+def built(spark: SparkSession, name: str, inputs: list[str], write: Callable[[str], object]) -> str:
+    """The folder of something that ingest writes once and queries read (an index, a store): written by write(path) when first
+    asked for in this session, and again when an input has changed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def state(path: str) -> tuple:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        whole = fs.getContentSummary(at)
+        return whole.getLength(), whole.getFileCount(), fs.getFileStatus(at).getModificationTime()
+
+    key, now = (spark.sparkContext.applicationId, name, *inputs), [state(p) for p in inputs]
+    if key not in _BUILT or _BUILT[key][1] != now:
+        path = scratch(spark, name)
+        write(path)
+        _BUILT[key] = (path, now)
+    return _BUILT[key][0]

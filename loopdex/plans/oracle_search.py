@@ -37,7 +37,35 @@ def parse_sql(view: str = "v_queries") -> str:
     return PARSE.replace("FROM v_queries", f"FROM {view}")
 
 
-def search_ctes(limit: int = 20, depth: int = 20, blocked=("nsfw",), k1=1.2, b=0.75, rrf_k=60) -> str:
+#: Documents and queries by their given vectors.
+GIVEN = """
+vdocs AS (SELECT d.doc_id, e.embedding::DOUBLE[] AS emb FROM embeddings e JOIN v_docs d ON e.vec_id = d.seq),
+vpair AS (
+  SELECT q.query_id, v.doc_id, list_dot_product(qe.embedding::DOUBLE[], v.emb) AS vscore
+  FROM q JOIN embeddings qe ON qe.vec_id = q.vec_id CROSS JOIN vdocs v WHERE q.mode = 'hybrid'),"""
+
+
+def hashed(name: str, rows: str, key: str, text: str) -> str:
+    """CTE name (key, bucket, w): hash embeddings of rows' text, components that aren't zero."""
+    return f"""
+{name}_c AS (
+  SELECT {key}, CAST(CAST(concat('0x', substr(md5(token), 1, 8)) AS UBIGINT) % 384 AS INTEGER) AS bucket, count(*)::DOUBLE AS c
+  FROM (SELECT {key}, unnest({tok(text)}) AS token FROM {rows}) GROUP BY ALL),
+{name} AS (
+  SELECT {key}, bucket, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS w FROM {name}_c)"""
+
+
+#: Documents and queries by the embedder.
+EMBEDDED = hashed("de", "v_docs", "doc_id", "combined_text").lstrip() + "," + hashed("qe", "q", "query_id", "loose") + """,
+vpair AS (
+  SELECT q.query_id, d.doc_id, coalesce(s.score, 0.0) AS vscore
+  FROM q CROSS JOIN d LEFT JOIN (
+    SELECT query_id, doc_id, sum(qe.w * de.w) AS score FROM qe JOIN de USING (bucket) GROUP BY ALL) s
+    ON s.query_id = q.query_id AND s.doc_id = d.doc_id
+  WHERE q.mode = 'hybrid'),"""
+
+
+def search_ctes(limit: int = 20, depth: int = 20, blocked=("nsfw",), k1=1.2, b=0.75, rrf_k=60, embedded: bool = False) -> str:
     blocked_list = "[" + ", ".join(tok(f"'{t}'") for t in blocked) + "]"
     req_ok = f"(len(list_filter(q.req, lambda c: NOT {_contains('d.tag_toks', 'c')})) = 0)"
     neg_hit = f"(len(list_filter(q.neg, lambda c: {_contains('d.tag_toks', 'c')})) > 0)"
@@ -93,14 +121,13 @@ tcand AS (
   WHERE tc.n_hit = len(q.phrases) + CASE WHEN q.loose <> '' THEN 1 ELSE 0 END
     AND NOT d.excluded AND {req_ok} AND NOT {neg_hit}),
 tlist AS (
-  SELECT query_id, doc_id, tscore, row_number() OVER (PARTITION BY query_id ORDER BY tscore DESC, doc_id) AS rnk FROM tcand
+  SELECT query_id, doc_id, tscore, row_number() OVER (PARTITION BY query_id ORDER BY round(tscore, 6) DESC, doc_id) AS rnk FROM tcand
   QUALIFY rnk <= {depth}),
-vdocs AS (SELECT d.doc_id, e.embedding::DOUBLE[] AS emb FROM embeddings e JOIN v_docs d ON e.vec_id = d.seq),
+{(EMBEDDED if embedded else GIVEN).strip()}
 vcand AS (
-  SELECT q.query_id, v.doc_id, list_dot_product(qe.embedding::DOUBLE[], v.emb) AS vscore
-  FROM q JOIN embeddings qe ON qe.vec_id = q.vec_id
-         CROSS JOIN vdocs v JOIN d ON d.doc_id = v.doc_id
-  WHERE q.mode = 'hybrid' AND NOT d.excluded AND {req_ok} AND NOT {neg_hit}),
+  SELECT p.query_id, p.doc_id, p.vscore
+  FROM vpair p JOIN q ON q.query_id = p.query_id JOIN d ON d.doc_id = p.doc_id
+  WHERE NOT d.excluded AND {req_ok} AND NOT {neg_hit}),
 vlist AS (
   SELECT query_id, doc_id, vscore, row_number() OVER (PARTITION BY query_id ORDER BY vscore DESC, doc_id) AS rnk FROM vcand
   QUALIFY rnk <= {depth}),
@@ -124,7 +151,7 @@ cand AS (
   UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE, NULL::DOUBLE, seq::BIGINT FROM tagcand
   UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE, NULL::DOUBLE, seq::BIGINT FROM allcand),
 top AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list_score DESC, tie_seq, doc_id) AS pre_rank FROM cand
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(list_score, 6) DESC, tie_seq, doc_id) AS pre_rank FROM cand
   QUALIFY pre_rank <= {limit}),
 kept AS (
   SELECT t.*, v.original_description, v.combined_text

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopdex.config import SearchConfig
+from loopdex.operators import inverted as ix
 from loopdex.operators import search as S
+from loopdex.operators import tag_bitmaps as tb
 from loopdex.operators import text_index as ti
-from loopdex.operators.util import round6, top_k_per_group
-from loopdex.plans.common import BLOCKED, BM25_K
+from loopdex.operators.util import round6
+from loopdex.plans.common import BLOCKED, BM25_K, built
 from loopdex.plans.oracle_search import search_ctes, tok
+from loopdex.plans.search_plans import fixture_search, fixture_store
 from loopdex.sources import fixtures as fx
 
 Q: dict = {}
@@ -18,8 +21,10 @@ O: dict = {}
 CFG = SearchConfig(limit=20, blocked_tags=BLOCKED)
 
 
-def _corpus(spark, sf):
-    return ti.analyze(fx.table(spark, sf, "documents"), "text", "doc_id")
+def documents_index(spark, sf) -> ix.TextIndex:
+    """The index of documents, as ingest leaves it."""
+    path = built(spark, "documents-index", [f"{sf}/documents.parquet"], lambda path: ix.write_index(fx.table(spark, sf, "documents"), path))
+    return ix.read_index(spark, path)
 
 
 def _bench(spark, sf):
@@ -27,7 +32,8 @@ def _bench(spark, sf):
 
 
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return ti.corpus_stats(_corpus(spark, sf)).select("n_docs", round6("avgdl").alias("avgdl"))
+    """From the lengths that the index holds."""
+    return ti.corpus_stats(documents_index(spark, sf).docs).select("n_docs", round6("avgdl").alias("avgdl"))
 
 
 _DOCS = f"d AS (SELECT doc_id, {tok('text')} AS toks, len({tok('text')}) AS dl FROM documents)"
@@ -36,8 +42,7 @@ O["corpus_stats"] = fx.with_views("SELECT count(*) AS n_docs, round(avg(dl), 6)
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Document frequency and collection frequency of every token."""
-    post = ti.term_postings(_corpus(spark, sf), None)
-    return post.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return ix.token_stats(documents_index(spark, sf))
 
 
 O["token_stats"] = fx.with_views("""
@@ -45,11 +50,8 @@ SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id,
 
 
 def match_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    """Every benchmark passage (whole text) as an OR query; top 10 documents each."""
-    a = _corpus(spark, sf)
-    m = ti.bm25_match(a, _bench(spark, sf))
-    # rank on the score rounded to 6 decimals: duplicate documents tie exactly in both engines
-    top = top_k_per_group(m, "query_id", [round6("score").desc(), F.col("doc_id")], BM25_K)
+    """Every benchmark passage (whole text) as an OR query; top 10 documents each, by block maxima."""
+    top = ix.match_top(documents_index(spark, sf), _bench(spark, sf), BM25_K)
     return top.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", round6("score").alias("score"))
 
 
@@ -69,20 +71,26 @@ SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (
 
 
 def match_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    """I4: every benchmark passage (whole text) as a phrase; all occurrences counted."""
-    p = ti.phrase_match(_corpus(spark, sf), _bench(spark, sf))
-    return p.select("query_id", "doc_id", F.col("tf").cast("long").alias("tf"), round6("score").alias("score"))
+    """I4: every benchmark passage (whole text) as a phrase; all occurrences counted, from the position lists."""
+    index = documents_index(spark, sf)
+    p = ix.phrase_hits(index, _bench(spark, sf)).join(index.docs.select("range", "local", "doc_id"), ["range", "local"])
+    return p.select("query_id", "doc_id", "tf", round6("score").alias("score"))
 
 
 O["match_phrase"] = fx.with_views("""
 SELECT query_id, doc_id, tf, round(idf_sum * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / st.avgdl)), 6) AS score
 FROM (
-  SELECT ph.query_id, d.doc_id, d.dl,
-         len(list_filter(range(1, d.dl - len(ph.ptoks) + 2), lambda i: list_slice(d.toks, i, i + len(ph.ptoks) - 1) = ph.ptoks)) AS tf
-  FROM ph JOIN d ON len(ph.ptoks) > 0 AND d.dl >= len(ph.ptoks)) t
+  SELECT a.query_id, d.doc_id, d.dl, count(*) AS tf
+  FROM anchor a JOIN posts p ON p.token = a.token AND p.pos >= a.at JOIN d ON d.doc_id = p.doc_id
+  WHERE list_slice(d.toks, p.pos - a.at + 1, p.pos - a.at + len(a.ptoks)) = a.ptoks
+  GROUP BY a.query_id, d.doc_id, d.dl) t
 JOIN ph_idf USING (query_id) CROSS JOIN st WHERE tf > 0""",
     ctes=_BM + f""",
+posts AS (SELECT doc_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS pos FROM d),
 ph AS (SELECT item_id AS query_id, {tok('text')} AS ptoks FROM benchmark),
+anchor AS (
+  SELECT query_id, ptoks, token, at FROM (SELECT query_id, ptoks, unnest(ptoks) AS token, unnest(range(1, len(ptoks) + 1)) AS at FROM ph)
+  LEFT JOIN dfs USING (token) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(df, 0), at) = 1),
 ph_idf AS (
   SELECT query_id, sum(ln(1 + (st.n - coalesce(f.df, 0) + 0.5) / (coalesce(f.df, 0) + 0.5))) AS idf_sum
   FROM (SELECT DISTINCT query_id, unnest(list_distinct(ptoks)) AS token FROM ph) t LEFT JOIN dfs f USING (token) CROSS JOIN st
@@ -91,21 +99,23 @@ ph_idf AS (
 
 # ---------------------------------------------------------------- fixture corpus (v_docs + v_queries)
 
-def _fixture(spark, sf):
-    fx.register(spark, sf, ("v_docs", "v_queries"))
-    pq = S.prepare_queries(spark.table("v_queries"), CFG)
-    dp = S.prepare_docs(spark.table("v_docs"), CFG)
-    return pq, dp
-
-
 def conjuncts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents matching every text clause (phrases AND loose match), summed score,
     with tag filters and exclusions applied."""
-    pq, dp = _fixture(spark, sf)
-    tc = S.text_candidates(pq, dp, CFG)
+    tc = fixture_search(spark, sf, CFG).text_candidates()
     return tc.select(F.col("query_id").cast("long").alias("query_id"), "doc_id", round6("tscore").alias("tscore"))
 
 
+def _fixture(spark, sf):
+    fx.register(spark, sf, ("v_docs", "v_queries"))
+    return S.prepare_queries(spark.table("v_queries")), fixture_store(spark, sf, CFG)
+
+
+def _documents(store, rows, *columns):
+    """The documents of rows (.., range, local)."""
+    return rows.join(store.text.docs.select("range", "local", "doc_id", *columns), ["range", "local"])
+
+
 _SEARCH = search_ctes(limit=20, depth=20, blocked=BLOCKED)
 O["conjuncts"] = fx.with_views("SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(tscore, 6) AS tscore FROM tcand",
                                "v_docs", "v_queries", ctes=_SEARCH)
@@ -113,8 +123,10 @@ O["conjuncts"] = fx.with_views("SELECT CAST(query_id AS BIGINT) AS query_id, doc
 
 def tag_browse(spark: SparkSession, sf: str) -> DataFrame:
     """I16: tag-only queries: every document passing the tag clauses and exclusions."""
-    pq, dp = _fixture(spark, sf)
-    return S.tag_candidates(pq, dp, CFG).select(F.col("query_id").cast("long").alias("query_id"), "doc_id", "seq")
+    pq, store = _fixture(spark, sf)
+    m = S.query_masks(pq.where("mode = 'tags'"), store, CFG)
+    found = _documents(store, tb.places(m.bits), "seq").join(m.of, "filter")
+    return found.select(F.col("query_id").cast("long").alias("query_id"), "doc_id", "seq")
 
 
 O["tag_browse"] = fx.with_views("SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, seq FROM tagcand", "v_docs", "v_queries",
@@ -122,14 +134,11 @@ O["tag_browse"] = fx.with_views("SELECT CAST(query_id AS BIGINT) AS query_id, do
 
 
 def tag_exclude(spark: SparkSession, sf: str) -> DataFrame:
-    """(query, doc) pairs removed by a query's own -tag: clauses (equi-join on the
-    clause's first token, then the in-tag phrase check)."""
-    pq, dp = _fixture(spark, sf)
-    q = pq.select("query_id", "neg")
-    tp = dp.select("doc_id", "tag_toks", "excluded", F.explode(F.array_distinct(F.flatten("tag_toks"))).alias("token"))
-    cl = q.select("query_id", F.explode("neg").alias("clause")).where(F.size("clause") > 0).withColumn("token", F.col("clause")[0])
-    neg = tp.join(F.broadcast(cl), "token").where(S.tags_contain("tag_toks", "clause")).select("query_id", "doc_id")
-    return neg.distinct().select(F.col("query_id").cast("long").alias("query_id"), "doc_id")
+    """(query, doc) pairs removed by a query's own -tag: clauses."""
+    pq, store = _fixture(spark, sf)
+    clauses = pq.select(F.col("query_id").cast("long").alias("query_id"), F.explode("neg").alias("clause"))
+    hit = tb.places(tb.clause_bitmaps(store.tags, clauses), "bits")
+    return _documents(store, hit).select("query_id", "doc_id")
 
 
 O["tag_exclude"] = fx.with_views("""
@@ -140,11 +149,10 @@ WHERE len(list_filter(q.neg, lambda c: len(c) > 0 AND len(list_filter(d.tag_toks
 
 def tag_filter(spark: SparkSession, sf: str) -> DataFrame:
     """(query, doc) pairs passing every positive tag clause (term or phrase)."""
-    pq, dp = _fixture(spark, sf)
-    q = pq.where(F.size("req") > 0).select("query_id", "req", F.get(F.get("req", F.lit(0)), F.lit(0)).alias("token"))
-    tp = dp.select("doc_id", "tag_toks", F.explode(F.array_distinct(F.flatten("tag_toks"))).alias("token"))
-    hit = tp.join(F.broadcast(q), "token").where(S.all_clauses_match("tag_toks", "req"))
-    return hit.select(F.col("query_id").cast("long").alias("query_id"), "doc_id").distinct()
+    pq, store = _fixture(spark, sf)
+    asked, of = tb.filters(pq.where(F.size("req") > 0), neg=None)
+    hit = _documents(store, tb.places(tb.masks(store.tags, asked))).join(of, "filter")
+    return hit.select(F.col("query_id").cast("long").alias("query_id"), "doc_id")
 
 
 O["tag_filter"] = fx.with_views("""

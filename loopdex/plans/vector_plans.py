@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopdex.operators import search as S
 from loopdex.operators import vectors as V
-from loopdex.operators.util import round6, top_k_per_group
+from loopdex.operators.embedder import embed
+from loopdex.operators.util import round6
 from loopdex.plans.common import KNN_K
-from loopdex.plans.search_plans import FIXTURE_CFG, fixture_inputs
-from loopdex.plans.oracle_search import search_ctes, tok
+from loopdex.plans.oracle_search import hashed, search_ctes
+from loopdex.plans.search_plans import fixture_search
 from loopdex.sources import fixtures as fx
 
 Q: dict = {}
@@ -88,16 +88,8 @@ FROM v_docs d LEFT JOIN embeddings e ON e.vec_id = d.seq""", "v_docs")
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     """Fused RRF scores of the text and vector lists of every hybrid query
     (before the search limit and moderation)."""
-    cfg = FIXTURE_CFG
-    docs, vectors, queries, qvec = fixture_inputs(spark, sf)
-    pq = S.prepare_queries(queries, cfg)
-    dp = S.prepare_docs(docs, cfg)
-    tc = S.text_candidates(pq.where("mode = 'hybrid'"), dp, cfg)
-    t = top_k_per_group(tc, "query_id", [F.col("tscore").desc(), F.col("doc_id")], cfg.list_depth)
-    vq = pq.where("use_vector").select("query_id", "req", "neg").join(qvec, "query_id")
-    vd = vectors.join(dp.select("doc_id", "tag_toks", "excluded"), "doc_id")
-    v = V.knn_exact(vd, vq, cfg.list_depth).withColumnRenamed("vrank", "rank")
-    f = S.rrf(t.select("query_id", "doc_id", "rank").unionByName(v.select("query_id", "doc_id", "rank")), cfg.rrf_k)
+    found = fixture_search(spark, sf)
+    f = found.fused().join(found.pq.where("mode = 'hybrid'").select("query_id"), "query_id")
     return f.select(F.col("query_id").cast("long").alias("query_id"), "doc_id", round6("fused").alias("fused"))
 
 
@@ -105,6 +97,19 @@ O["rrf_fuse"] = fx.with_views("""
 SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(fused, 6) AS fused FROM fused JOIN q USING (query_id) WHERE q.mode = 'hybrid'""",
     "v_docs", "v_queries", ctes=search_ctes(limit=20, depth=20, blocked=("nsfw",)))
 
-Q.update({"knn_exact": knn_exact, "knn_ivf": knn_ivf, "hash_embed": hash_embed, "attach_embeddings": attach_embeddings,
+def embed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark passage against every document, both as texts alone: the embedder's vectors, top 10."""
+    docs = embed(fx.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    queries = embed(fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
+    r = V.knn_exact(docs, queries, KNN_K)
+    return r.select("query_id", F.col("vrank").cast("long").alias("rank"), F.col("doc_id").cast("long").alias("doc_id"), round6("score").alias("score"))
+
+
+O["embed_search"] = f"""
+WITH {hashed("de", "documents", "doc_id", "text").strip()}, {hashed("qe", "(SELECT item_id AS query_id, text FROM benchmark)", "query_id", "text").strip()},
+scored AS (SELECT query_id, doc_id, sum(qe.w * de.w) AS score FROM qe JOIN de USING (bucket) GROUP BY ALL)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank FROM scored) WHERE rank <= {KNN_K}"""
+
+Q.update({"embed_search": embed_search, "knn_exact": knn_exact, "knn_ivf": knn_ivf, "hash_embed": hash_embed, "attach_embeddings": attach_embeddings,
           "rrf_fuse": rrf_fuse})
-_ = tok

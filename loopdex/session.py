@@ -55,8 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder path inside the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df, name: str):
     """df as a Parquet table in the shared checkpoint folder: a lineage cut that survives lost executors."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
