@@ -102,12 +102,3 @@ def all_clauses_match(tag_toks, clauses) -> Column:
 def any_clause_matches(tag_toks, clauses) -> Column:
     """Disjunction of exclusion clauses; no clause -> false."""
     return F.exists(_c(clauses), lambda c: tags_contain(tag_toks, c))
-
-
-# -- the same predicate for the Arrow vector kernel (kept to a few lines) -----------
-
-def py_tags_contain(tag_toks, clause_toks) -> bool:
-    if not clause_toks or tag_toks is None:
-        return False
-    needle = " " + " ".join(clause_toks) + " "
-    return any(needle in (" " + " ".join(tt) + " ") for tt in tag_toks)

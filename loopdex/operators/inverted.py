@@ -69,6 +69,7 @@ def _ranges(corpus: DataFrame, carry: list[str], range_docs: int) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        from pyarrow import compute
         from pyspark import TaskContext
 
         place, seq, held, n_docs, n_tokens = TaskContext.get().partitionId(), 0, [], 0, 0
@@ -105,7 +106,7 @@ def _ranges(corpus: DataFrame, carry: list[str], range_docs: int) -> DataFrame:
             number = (place << 32) | seq
             seq += 1
             rank = np.empty(len(table), np.int64)
-            rank[pa.compute.sort_indices(table, sort_keys=[("doc_id", "ascending")]).to_numpy()] = np.arange(len(table))
+            rank[compute.sort_indices(table, sort_keys=[("doc_id", "ascending")]).to_numpy()] = np.arange(len(table))
             toks = table.column("toks").chunk(0)
             postings, dl = blocks(toks, rank)
             rest = [table.column(f.name).chunk(0) for f in schema.fields if f.name != "toks"]

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopdex.operators.util import top_k_per_group
+from loopdex.operators.util import round6, top_k_per_group
 
 QUERIES_A_BLOCK = 1024
 VECTORS_A_ROW = 4096
@@ -54,9 +54,10 @@ def best(vectors: np.ndarray, asked, k: int, allowed=None):
         if rows is None or not len(rows):
             continue
         scores = matrix[mine] @ vectors[rows].T
-        floor = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(mine), -np.inf)
-        q, j = np.nonzero(scores >= floor[:, None])
-        order = np.lexsort((j, -scores[q, j], q))
+        ranked = np.round(scores, 6)
+        floor = np.partition(ranked, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(mine), -np.inf)
+        q, j = np.nonzero(ranked >= floor[:, None])
+        order = np.lexsort((j, -ranked[q, j], q))
         q, j = q[order], j[order]
         keep = np.arange(len(q)) - np.searchsorted(q, q) < k
         out.append((fits[mine[q[keep]]], rows[j[keep]], scores[q[keep], j[keep]]))
@@ -70,10 +71,11 @@ def pack(vectors: DataFrame) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        from pyarrow import compute
 
         for batch in batches:
             # Ids in order, so that ties within a row go to smaller ids.
-            batch = batch.take(pa.compute.sort_indices(batch, sort_keys=[("doc_id", "ascending")]))
+            batch = batch.take(compute.sort_indices(batch, sort_keys=[("doc_id", "ascending")]))
             ids, vectors = batch.column("doc_id"), batch.column("embedding")
             length = np.diff(vectors.offsets.to_numpy())
             for dim in np.unique(length).tolist():
@@ -93,7 +95,8 @@ def pack(vectors: DataFrame) -> DataFrame:
 
 def knn_exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """I8: (query_id, doc_id, score, vrank): the k vectors (doc_id, embedding) of largest inner product with each query
-    (query_id, embedding), in double precision; ties to smaller ids. Vectors of another length have no score."""
+    (query_id, embedding), in double precision; ranked as rounded to six decimals, ties to smaller ids. Vectors of another
+    length have no score."""
     vectors = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), "embedding")
     queries = queries.select("query_id", "embedding", F.lit("").alias("filter"))
     rows = meet(pack(vectors), "row", queries)
@@ -110,4 +113,4 @@ def knn_exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "score"])
 
     found = rows.select("ids", "values", "queries").mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, doc_id string, score double")
-    return top_k_per_group(found, "query_id", [F.col("score").desc(), F.col("doc_id")], k, "vrank")
+    return top_k_per_group(found, "query_id", [round6("score").desc(), F.col("doc_id")], k, "vrank")

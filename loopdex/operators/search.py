@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loopdex.config import SearchConfig
 from loopdex.functions.moderation import display_description, display_score, has_blocked_tag, is_removed
-from loopdex.functions.query import all_clauses_match, exclusion_clause_tokens, tag_clause_tokens, tags_contain, with_parsed
+from loopdex.functions.query import exclusion_clause_tokens, tag_clause_tokens, with_parsed
 from loopdex.operators import inverted
 from loopdex.operators.embedder import Embedder, embed
 from loopdex.operators.search_store import SearchStore, nearest, write_store
@@ -31,8 +31,6 @@ from loopdex.operators.tag_bitmaps import Masks, browse, filters, masks
 from loopdex.operators.util import bounded_broadcast, ensure_cols, round6, top_k_per_group
 from loopdex.session import checkpoint_dir, scratch, written
 
-__all__ = ["Search", "search", "lookup_ids", "rrf", "prepare_queries", "tags_contain", "all_clauses_match"]
-
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """Parsed queries with clause token lists: req (tag filters) and neg (exclusions)."""

@@ -20,7 +20,7 @@ from loopdex.operators.inverted import RANGE_DOCS, TextIndex, read_index, write_
 from loopdex.operators.knn import best, meet
 from loopdex.operators.store import exists
 from loopdex.operators.tag_bitmaps import Masks, TagIndex, bit_at, read_tags, write_tags
-from loopdex.operators.util import ensure_cols, top_k_per_group
+from loopdex.operators.util import ensure_cols, round6, top_k_per_group
 
 DISPLAY_COLS = ("literal", "description", "original_description", "combined_text", "tags", "gif_url")
 
@@ -91,4 +91,4 @@ def nearest(store: SearchStore, queries: DataFrame, k: int, masks: Masks) -> Dat
     kind = dict(asked.dtypes)["query_id"]
     found = rows.select("range", "locals", "values", "masks", "queries").mapInArrow(run, f"query_id {kind}, range bigint, local int, score double")
     named = found.join(store.text.docs.select("range", "local", "doc_id"), ["range", "local"])
-    return top_k_per_group(named, "query_id", [F.col("score").desc(), F.col("doc_id")], k, "vrank")
+    return top_k_per_group(named, "query_id", [round6("score").desc(), F.col("doc_id")], k, "vrank")

@@ -1,10 +1,4 @@
-"""Full-text retrieval: analysis, corpus statistics, postings and BM25.
-
-The corpus is analysed in one narrow projection (tokens and length per document).
-Searching never builds the whole inverted index: the distinct query terms are
-broadcast (size-checked) into the token scan, so only postings of query terms are
-aggregated and shuffled. ``build_index`` writes the full postings once, sorted by
-token, for repeated searching (parquet min/max statistics then skip row groups).
+"""BM25 pieces shared by the written index: corpus statistics and the two factors of a score.
 
 Scoring [defined here; the reference delegates it to its server]:
   idf(t)   = ln(1 + (N - df + 0.5) / (df + 0.5))
@@ -14,26 +8,10 @@ Scoring [defined here; the reference delegates it to its server]:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopdex.config import SearchConfig
-from loopdex.functions.text import tokens
-from loopdex.operators.util import bounded_broadcast, spread
-from loopdex.session import checkpoint_dir
-
-
-def analyze(corpus: DataFrame, text_col: str = "text", id_col: str = "doc_id", cfg: SearchConfig = SearchConfig(),
-            keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, toks, dl, *keep): one row per document (spread only if the scan is narrow)."""
-    corpus = spread(corpus, id_col)
-    return corpus.select(
-        F.col(id_col).alias("doc_id"),
-        tokens(text_col, cfg.token_pattern).alias("toks"),
-        *[F.col(k) for k in keep],
-    ).withColumn("dl", F.size("toks"))
 
 
 def corpus_stats(analyzed: DataFrame) -> DataFrame:
@@ -41,18 +19,6 @@ def corpus_stats(analyzed: DataFrame) -> DataFrame:
     return analyzed.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").cast("double").alias("avgdl"))
 
 
-@dataclass
-class Bm25Scalars:
-    n_docs: Column
-    avgdl: Column
-
-
-def scalars(analyzed: DataFrame) -> Bm25Scalars:
-    """N and avgdl as scalar subqueries (evaluated once, inlined as literals)."""
-    st = corpus_stats(analyzed)
-    return Bm25Scalars(st.select("n_docs").scalar(), st.select("avgdl").scalar())
-
-
 def idf(df_col: Column, n_docs: Column) -> Column:
     return F.log(F.lit(1.0) + (n_docs - df_col + F.lit(0.5)) / (df_col + F.lit(0.5)))
 
@@ -60,97 +26,3 @@ def idf(df_col: Column, n_docs: Column) -> Column:
 def tf_norm(tf: Column, dl: Column, avgdl: Column, cfg: SearchConfig) -> Column:
     k1, b = F.lit(cfg.k1), F.lit(cfg.b)
     return tf * (k1 + 1) / (tf + k1 * (F.lit(1.0) - b + b * dl / avgdl))
-
-
-def term_postings(analyzed: DataFrame, terms: DataFrame | None, cfg: SearchConfig = SearchConfig(),
-                  carry: tuple[str, ...] = ()) -> DataFrame:
-    """(token, doc_id, tf, dl, *carry) for the given terms (all terms when None).
-
-    The explode and the term semi-join run inside the scan stage; the only shuffle is
-    the (doc_id, token) aggregation, whose map-side partial already collapses
-    repeated tokens of a document.
-    """
-    exploded = analyzed.select("doc_id", "dl", *carry, F.explode("toks").alias("token"))
-    if terms is not None:
-        exploded = exploded.join(bounded_broadcast(terms.select("token").distinct(), cfg.max_broadcast_terms),
-                                 "token", "left_semi")
-    aggs = [F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")] + [F.first(c).alias(c) for c in carry]
-    return exploded.groupBy("doc_id", "token").agg(*aggs)
-
-
-def doc_freq(postings: DataFrame) -> DataFrame:
-    """(token, df): documents per token; partial aggregation keeps hot tokens cheap."""
-    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-
-
-def bm25_match(analyzed: DataFrame, clauses: DataFrame, cfg: SearchConfig = SearchConfig(),
-               carry: tuple[str, ...] = (), stats: Bm25Scalars | None = None) -> DataFrame:
-    """OR-of-terms BM25 for many clauses at once.
-
-    clauses: (query_id, clause_id, text). Returns (query_id, clause_id, doc_id, score, *carry),
-    one row per document matching at least one distinct query term.
-    """
-    st = stats or scalars(analyzed)
-    qterms = (clauses.select("query_id", "clause_id", F.explode(F.array_distinct(tokens("text", cfg.token_pattern))).alias("token"))
-              .distinct())
-    # The pruned postings feed both the scoring join and document frequency; column
-    # pruning makes the two branches differ, so without a cut the corpus would be
-    # scanned and tokenised twice. They hold query terms only, so writing them once
-    # to the checkpoint folder is far cheaper than a second pass over the corpus.
-    checkpoint_dir(analyzed.sparkSession)
-    post = term_postings(analyzed, qterms, cfg, carry).checkpoint(eager=True)
-    dfs = doc_freq(post)
-    qt = bounded_broadcast(qterms, cfg.max_broadcast_queries * 64)
-    scored = (post.join(qt, "token")
-              .join(dfs, "token")
-              .withColumn("w", idf(F.col("df").cast("double"), st.n_docs) * tf_norm(F.col("tf").cast("double"), F.col("dl"), st.avgdl, cfg)))
-    aggs = [F.sum("w").alias("score")] + [F.first(c).alias(c) for c in carry]
-    return scored.groupBy("query_id", "clause_id", "doc_id").agg(*aggs)
-
-
-def phrase_match(analyzed: DataFrame, clauses: DataFrame, cfg: SearchConfig = SearchConfig(),
-                 carry: tuple[str, ...] = (), stats: Bm25Scalars | None = None) -> DataFrame:
-    """I4: phrase clauses (adjacent tokens in order), scored with phrase tf.
-
-    Each phrase is anchored on one of its tokens (the longest; ties -> first). The scan
-    explodes only positions holding an anchor token (broadcast semi-join) and checks
-    the window of the document's own token array around that position, so only true
-    occurrences leave the scan stage. Overlapping occurrences all count.
-    Returns (query_id, clause_id, doc_id, tf, score, *carry).
-    """
-    st = stats or scalars(analyzed)
-    ph = clauses.select("query_id", "clause_id", tokens("text", cfg.token_pattern).alias("ptoks")).where(F.size("ptoks") > 0)
-    # anchor = longest token, first on ties; a_pos is its 0-based offset in the phrase
-    ph = ph.withColumn(
-        "_a", F.array_max(F.transform("ptoks", lambda t, i: F.struct((F.length(t) * 100000 - i).alias("k"), i.alias("i"), t.alias("t"))))
-    ).select("query_id", "clause_id", "ptoks", F.col("_a.i").alias("a_pos"), F.col("_a.t").alias("token"))
-    phb = bounded_broadcast(ph, cfg.max_broadcast_queries * 64)
-    occ = (analyzed.select("doc_id", "dl", "toks", *carry, F.posexplode("toks").alias("pos", "token"))
-           .join(phb, "token")
-           .withColumn("start", F.col("pos") - F.col("a_pos"))
-           .where((F.col("start") >= 0) & (F.slice("toks", F.col("start") + 1, F.size("ptoks")) == F.col("ptoks"))))
-    aggs = [F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.first("ptoks").alias("ptoks")] + [F.first(c).alias(c) for c in carry]
-    hits = occ.groupBy("query_id", "clause_id", "doc_id").agg(*aggs)
-    # sum of idfs of the phrase's distinct terms
-    terms = ph.select("query_id", "clause_id", F.explode(F.array_distinct("ptoks")).alias("token"))
-    dfs = doc_freq(term_postings(analyzed, terms, cfg))
-    idf_sum = (terms.join(dfs, "token", "left")
-               .groupBy("query_id", "clause_id")
-               .agg(F.sum(idf(F.coalesce(F.col("df"), F.lit(0)).cast("double"), st.n_docs)).alias("idf_sum")))
-    out = hits.join(idf_sum, ["query_id", "clause_id"])
-    return out.select("query_id", "clause_id", "doc_id", "tf",
-                      (F.col("idf_sum") * tf_norm(F.col("tf").cast("double"), F.col("dl"), st.avgdl, cfg)).alias("score"),
-                      *carry)
-
-
-def build_index(analyzed: DataFrame, path: str, num_buckets: int | None = None) -> None:
-    """Persist postings (range-partitioned and sorted by token) plus stats.
-
-    Range partitioning on token keeps each token's postings in one file sorted, so a
-    `token IN (...)` filter prunes files and row groups by min/max statistics.
-    """
-    spark = analyzed.sparkSession
-    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    post = term_postings(analyzed, None)
-    post.repartitionByRange(n, "token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    corpus_stats(analyzed).write.mode("overwrite").parquet(f"{path}/stats")

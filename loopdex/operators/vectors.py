@@ -35,25 +35,6 @@ def hash_buckets(text_col, dim: int = C.TEXT_DIM, pattern: str = "[\\p{L}\\p{N}]
                        lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
-def _normalized_counts(dim: int):
-    @F.pandas_udf("array<float>")
-    def counts(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-            n = np.sqrt((v * v).sum())
-            out.append((v / n if n > 0 else v).astype(np.float32))
-        return pd.Series(out)
-
-    return counts
-
-
-def hash_embed(df: DataFrame, text_col: str, dim: int = C.TEXT_DIM, out_col: str = "embedding") -> DataFrame:
-    """Deterministic built-in embedder (L2-normalised hashed term counts)."""
-    df = spread(df, df.columns[0])
-    return df.withColumn(out_col, _normalized_counts(dim)(hash_buckets(text_col, dim)))
-
-
 def hash_embed_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = C.TEXT_DIM) -> DataFrame:
     """I14, sparse form, fully JVM-side: (id, bucket, weight) for the non-zero buckets.
 

@@ -129,7 +129,7 @@ vcand AS (
   FROM vpair p JOIN q ON q.query_id = p.query_id JOIN d ON d.doc_id = p.doc_id
   WHERE NOT d.excluded AND {req_ok} AND NOT {neg_hit}),
 vlist AS (
-  SELECT query_id, doc_id, vscore, row_number() OVER (PARTITION BY query_id ORDER BY vscore DESC, doc_id) AS rnk FROM vcand
+  SELECT query_id, doc_id, vscore, row_number() OVER (PARTITION BY query_id ORDER BY round(vscore, 6) DESC, doc_id) AS rnk FROM vcand
   QUALIFY rnk <= {depth}),
 fused AS (
   SELECT l.query_id, l.doc_id, sum(1.0 / ({rrf_k} + l.rnk)) AS fused, max(l.tscore) AS tscore, max(l.vscore) AS vscore

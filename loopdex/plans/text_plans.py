@@ -81,16 +81,16 @@ O["match_phrase"] = fx.with_views("""
 SELECT query_id, doc_id, tf, round(idf_sum * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / st.avgdl)), 6) AS score
 FROM (
   SELECT a.query_id, d.doc_id, d.dl, count(*) AS tf
-  FROM anchor a JOIN posts p ON p.token = a.token AND p.pos >= a.at JOIN d ON d.doc_id = p.doc_id
-  WHERE list_slice(d.toks, p.pos - a.at + 1, p.pos - a.at + len(a.ptoks)) = a.ptoks
+  FROM anchor a JOIN posts p ON p.token = a.token AND p.pos >= a.place JOIN d ON d.doc_id = p.doc_id
+  WHERE list_slice(d.toks, p.pos - a.place + 1, p.pos - a.place + len(a.ptoks)) = a.ptoks
   GROUP BY a.query_id, d.doc_id, d.dl) t
 JOIN ph_idf USING (query_id) CROSS JOIN st WHERE tf > 0""",
     ctes=_BM + f""",
 posts AS (SELECT doc_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS pos FROM d),
 ph AS (SELECT item_id AS query_id, {tok('text')} AS ptoks FROM benchmark),
 anchor AS (
-  SELECT query_id, ptoks, token, at FROM (SELECT query_id, ptoks, unnest(ptoks) AS token, unnest(range(1, len(ptoks) + 1)) AS at FROM ph)
-  LEFT JOIN dfs USING (token) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(df, 0), at) = 1),
+  SELECT query_id, ptoks, token, place FROM (SELECT query_id, ptoks, unnest(ptoks) AS token, unnest(range(1, len(ptoks) + 1)) AS place FROM ph)
+  LEFT JOIN dfs USING (token) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(df, 0), place) = 1),
 ph_idf AS (
   SELECT query_id, sum(ln(1 + (st.n - coalesce(f.df, 0) + 0.5) / (coalesce(f.df, 0) + 0.5))) AS idf_sum
   FROM (SELECT DISTINCT query_id, unnest(list_distinct(ptoks)) AS token FROM ph) t LEFT JOIN dfs f USING (token) CROSS JOIN st

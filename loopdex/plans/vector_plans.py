@@ -36,7 +36,7 @@ O["knn_exact"] = fx.with_views(f"""
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (
   SELECT CAST(q.query_id AS BIGINT) AS query_id, CAST(e.vec_id AS VARCHAR) AS doc_id,
          list_dot_product(qe.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score,
-         row_number() OVER (PARTITION BY q.query_id ORDER BY list_dot_product(qe.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC,
+         row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_dot_product(qe.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC,
                             CAST(e.vec_id AS VARCHAR)) AS rank
   FROM v_queries q JOIN embeddings qe ON qe.vec_id = q.vec_id CROSS JOIN embeddings e)
 WHERE rank <= {KNN_K}""", "v_queries")
@@ -109,7 +109,7 @@ O["embed_search"] = f"""
 WITH {hashed("de", "documents", "doc_id", "text").strip()}, {hashed("qe", "(SELECT item_id AS query_id, text FROM benchmark)", "query_id", "text").strip()},
 scored AS (SELECT query_id, doc_id, sum(qe.w * de.w) AS score FROM qe JOIN de USING (bucket) GROUP BY ALL)
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank FROM scored) WHERE rank <= {KNN_K}"""
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, CAST(doc_id AS VARCHAR)) AS rank FROM scored) WHERE rank <= {KNN_K}"""
 
 Q.update({"embed_search": embed_search, "knn_exact": knn_exact, "knn_ivf": knn_ivf, "hash_embed": hash_embed, "attach_embeddings": attach_embeddings,
           "rrf_fuse": rrf_fuse})

@@ -67,12 +67,14 @@ class _Repeats(StatefulProcessor):
 
 def stream_drop_repeats(stream: DataFrame, id_col: str, key: str, ts: str, text: str, keep_ms: int | None = KEEP_MS) -> DataFrame:
     """J2 stream: (id_col, key, text) of the events whose text differs from the one before in their session; a blank text
-    resets it. ``id_col`` also orders events of one time. A session's text is forgotten keep_ms after its last event."""
+    resets it. ``id_col`` also orders events of one time. A session's text is forgotten keep_ms after its last event was
+    seen (None: never). Spark runs batches without data for as long as such a time to live is set, so a run that is
+    to end by itself (``availableNow``) needs None."""
     rows = stream.where(F.col(key).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(key).alias("key"), _us(ts).alias("us"), F.col(id_col).alias("tie"), F.col(text).alias("text"),
         F.coalesce(ws_trim(text) == "", F.lit(True)).alias("blank"))
     kinds = dict(rows.dtypes)
-    out = rows.groupBy("key").transformWithStateInPandas(_Repeats(keep_ms), f"id {kinds['id']}, key {kinds['key']}, text string", "Append", "ProcessingTime")
+    out = rows.groupBy("key").transformWithStateInPandas(_Repeats(keep_ms), f"id {kinds['id']}, key {kinds['key']}, text string", "Append", "None" if keep_ms is None else "ProcessingTime")
     return out.select(F.col("id").alias(id_col), F.col("key").alias(key), F.col("text").alias(text))
 
 
@@ -145,7 +147,7 @@ def stream_debounce_submits(stream: DataFrame, key: str, ts: str, text: str, sub
 def replay_drop_repeats(spark: SparkSession, path: str, pattern: str, id_col: str, key: str, ts: str, text: str, folder: str) -> DataFrame:
     """J2 stream over a table at rest."""
     with state_store(spark):
-        return _replay(spark, path, pattern, [id_col, key, ts, text], ts, lambda s: stream_drop_repeats(s, id_col, key, ts, text), folder)
+        return _replay(spark, path, pattern, [id_col, key, ts, text], ts, lambda s: stream_drop_repeats(s, id_col, key, ts, text, None), folder)
 
 
 def replay_debounce_submits(spark: SparkSession, path: str, pattern: str, key: str, ts: str, text: str, submits: list[str], gap_us: int,

@@ -133,6 +133,8 @@ def test_line_order_over_files(spark, tmp_dir):
 def test_stream_ingest_runs_and_failed_read(spark, tmp_dir, monkeypatch):
     import pytest
 
+    from loopdex.operators import bucket_store
+    from loopdex.operators.bucket_store import read_store
     from loopdex.streaming import ingest
 
     store = f"{tmp_dir}/store"
@@ -141,10 +143,10 @@ def test_stream_ingest_runs_and_failed_read(spark, tmp_dir, monkeypatch):
     ingest.stream_ingest(spark, f"{tmp_dir}/in", store, f"{tmp_dir}/ck")
     write(f"{tmp_dir}/in/b.jsonl", line("2", "later") + line("3", "x"))
     ingest.stream_ingest(spark, f"{tmp_dir}/in", store, f"{tmp_dir}/ck")
-    rows = lambda: sorted((r.doc_id, r.literal) for r in spark.read.parquet(store).collect())
+    rows = lambda: sorted((r.doc_id, r.literal) for r in read_store(spark, store).collect())
     assert rows() == [("1", "new"), ("2", "later"), ("3", "x")]
     write(f"{tmp_dir}/in/c.jsonl", line("9", "z"))
-    monkeypatch.setattr(ingest, "upsert", lambda *a: (_ for _ in ()).throw(OSError("read failed")))
+    monkeypatch.setattr(bucket_store, "upsert", lambda *a: (_ for _ in ()).throw(OSError("read failed")))
     with pytest.raises(Exception, match="read failed"):
         ingest.stream_ingest(spark, f"{tmp_dir}/in", store, f"{tmp_dir}/ck")
     assert rows() == [("1", "new"), ("2", "later"), ("3", "x")]
