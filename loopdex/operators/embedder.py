@@ -57,6 +57,8 @@ class HashEmbedder(Embedder):
         dim = self.dim
 
         def run(lists: list) -> np.ndarray:
+            if any(x is None for x in lists):
+                raise ValueError("no text")
             length = np.array([len(x) for x in lists], np.int64)
             flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
             at = np.repeat(np.arange(len(lists)), length) * dim + flat

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopdex import config as C
@@ -26,11 +26,15 @@ def run_summary(results: DataFrame, elapsed_sec: float | None = None) -> DataFra
         F.count(F.lit(1)).alias("done"),
     )
     if elapsed_sec is not None:
-        e = F.lit(float(elapsed_sec))
-        agg = agg.withColumn("rate_per_sec", F.when(e > 0, F.col("done") / e).otherwise(F.lit(0.0)))
+        agg = agg.withColumn("rate_per_sec", rate(F.col("done"), elapsed_sec))
     return agg
 
 
+def rate(count: Column, elapsed_sec: float) -> Column:
+    """Count a second; 0 where no time has passed."""
+    return (count / F.lit(float(elapsed_sec))).cast("double") if elapsed_sec > 0 else F.lit(0.0)
+
+
 def cost_estimate(ok_count_col="ok"):
     """ok*1500*0.08/1e6 + ok*150*0.30/1e6, rounded to 4 decimals."""
     ok = F.col(ok_count_col).cast("double")

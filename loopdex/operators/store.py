@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loopdex.functions.moderation import is_removed
@@ -58,7 +58,7 @@ def _swap(spark: SparkSession, staged: str, target: str) -> None:
         fs.delete(old, True)
 
 
-def write_staged(df: DataFrame, target: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_staged(df: DataFrame, target: str, fmt: str = "parquet") -> None:
     """Write to ``<target>.staged-<uuid>`` then rename over the target (the old one stays beside it until then)."""
     staged = f"{target.rstrip('/')}.staged-{uuid.uuid4().hex[:8]}"
     df.write.mode("overwrite").format(fmt).save(staged)
@@ -87,3 +87,15 @@ def output_mode(flavour: str, resume: bool = False, any_existing: bool = False,
 def filter_removed_literal(desc: DataFrame) -> DataFrame:
     """Description records without removed content (the file filter checks literal only)."""
     return desc.where(~is_removed("literal"))
+
+
+def filter_store(spark: SparkSession, path: str, target: str | None = None) -> dict:
+    """Rewrite a description file (or a folder of parts) without the records whose literal is removed content;
+    ``removed`` and ``kept`` are observed in the same pass. Lines that aren't JSON objects have no literal and stay."""
+    lines = spark.read.text(path)
+    literal = F.try_variant_get(F.try_parse_json("value"), "$.literal", "string")
+    marked = lines.withColumn("_removed", F.coalesce(is_removed(literal), F.lit(False)))
+    seen = Observation()
+    kept = marked.observe(seen, F.count_if("_removed").alias("removed"), F.count_if(~F.col("_removed")).alias("kept")).where(~F.col("_removed"))
+    write_staged(kept.select("value"), target or path, "text")
+    return dict(seen.get)

@@ -10,6 +10,7 @@ from loopdex.plans import vector_plans as VP
 from loopdex.plans import stream_plans as STP
 from loopdex.plans import oracle_search as OS
 from loopdex.plans import search_plans as SP
+from loopdex.plans import source_plans as SRC
 
 QUERIES = {
     "hybrid_search": SP.hybrid_search,
@@ -20,6 +21,6 @@ ORACLE = {
     "search_totals": OS.search_totals_sql(),
 }
 
-for _mod in (IP, EP, MP, SP, TP, VP, STP):
+for _mod in (IP, SRC, EP, MP, SP, TP, VP, STP):
     QUERIES.update(_mod.Q)
     ORACLE.update(_mod.O)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from loopdex.functions.moderation import is_removed
 from loopdex.operators import store
 from loopdex.operators.reports import filter_summary
-from loopdex.operators.sample import dense_positions
 from loopdex.plans.common import (DEFAULT_ATTRIBUTION, HEAD_LIMIT, ROUND_BATCH, ROUND_LIMIT, duck_joined, joined,
                                   remap_update_id)
 from loopdex.sources import captions as cap
@@ -133,25 +132,6 @@ SELECT coalesce(nullif(id, ''), concat('gif_', substr(md5(url), 1, 16))) AS doc_
 FROM good""", "v_description_json", ctes=_DESC)
 
 
-def ingest_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines, skipped, imported (distinct ids per batch of 50 good lines), distinct docs."""
-    parsed = _parsed(spark, sf)
-    docs = to_docs(desc.good(parsed))
-    pos = dense_positions(docs.select("doc_id", "seq"), "seq")
-    batched = pos.select("doc_id", F.floor((F.col("pos") - 1) / F.lit(ROUND_BATCH)).alias("batch_no"))
-    imported = batched.agg(F.count_distinct("batch_no", "doc_id").alias("imported"), F.count_distinct("doc_id").alias("distinct_docs"))
-    counts = parsed.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("reject").isNotNull()).alias("skipped"))
-    return counts.crossJoin(imported)
-
-
-O["ingest_summary"] = fx.with_views(f"""
-SELECT (SELECT count(*) FROM d1) AS lines, (SELECT count(*) FROM d1 WHERE reject IS NOT NULL) AS skipped,
-       count(DISTINCT (batch_no, doc_id)) AS imported, count(DISTINCT doc_id) AS distinct_docs
-FROM (SELECT coalesce(nullif(id, ''), concat('gif_', substr(md5(url), 1, 16))) AS doc_id,
-             floor((row_number() OVER (ORDER BY line_no) - 1) / {ROUND_BATCH}) AS batch_no FROM good)""",
-    "v_description_json", ctes=_DESC)
-
-
 def filter_summary_q(spark: SparkSession, sf: str) -> DataFrame:
     g = desc.good(_parsed(spark, sf))
     return filter_summary(g, ~is_removed("literal"))
@@ -198,5 +178,5 @@ Q.update({
     "caption_parse": caption_parse, "caption_parse_strip": caption_parse_strip, "cdn_rewrite_doc_id": cdn_rewrite_doc_id,
     "caption_head_limit": caption_head_limit, "batch_rounded_limit": batch_rounded_limit,
     "description_parse": description_parse, "description_quarantine": description_quarantine, "doc_flatten": doc_flatten,
-    "ingest_summary": ingest_summary, "filter_summary": filter_summary_q, "upsert_latest": upsert_latest, "delete_ids": delete_ids,
+    "filter_summary": filter_summary_q, "upsert_latest": upsert_latest, "delete_ids": delete_ids,
 })

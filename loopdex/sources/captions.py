@@ -22,8 +22,8 @@ def placed(text: DataFrame) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), "value")
 
 
-def number_lines(text: DataFrame) -> DataFrame:
-    """(line_no, line) of rows as ``placed`` gives them.
+def number_lines(text: DataFrame, keep_file: bool = False) -> DataFrame:
+    """(line_no, line) of rows as ``placed`` gives them, with their file as ``_f`` if it is kept.
 
     Spark orders splits by size, so the order is taken from each row's file and split. Lines are counted per split,
     the counts of the splits before (one row a split) give its first number, and a row adds its place in the split."""
@@ -32,7 +32,7 @@ def number_lines(text: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_i")) - 1
     return (rows.withColumn("_p", place).join(sizes.select("_f", "_b", before.alias("_before")), ["_f", "_b"])
-            .select((F.col("_before") + F.col("_p")).alias("line_no"), "line"))
+            .select((F.col("_before") + F.col("_p")).alias("line_no"), "line", *(["_f"] if keep_file else [])))
 
 
 def parse_captions(lines: DataFrame, mode: str = "raw") -> DataFrame:

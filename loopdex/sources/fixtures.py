@@ -129,13 +129,29 @@ SELECT p_partkey AS media_id, p_size AS n_frames, CAST(100 + p_partkey % 1900 AS
 FROM part
 """
 
+# Payloads with keys that no schema lists: nested objects, numbers, flags, nulls, empty strings and timestamps.
+VIEWS["v_open_payload"] = """
+SELECT doc_id, concat('item_', CAST(doc_id AS STRING)) AS id, concat('http://example.com/', CAST(doc_id AS STRING), '.gif') AS url,
+       CASE WHEN doc_id % 3 = 0 THEN concat('http://example.com/p/', CAST(doc_id AS STRING)) END AS page_url,
+       CASE WHEN doc_id % 4 = 1 THEN lang END AS title,
+       concat('{"literal":"', source, '"',
+              CASE WHEN doc_id % 2 = 0 THEN concat(',"nested":{"a":', CAST(doc_id AS STRING), ',"b":["x",{"c":null}]}') ELSE '' END,
+              CASE WHEN doc_id % 5 = 1 THEN ',"rating":3,"seen_by_all":true' WHEN doc_id % 5 = 2 THEN ',"rating":null,"mood":""' ELSE '' END,
+              CASE WHEN doc_id % 7 = 3 THEN ',"tags":["red",1,null,"blue"]' WHEN doc_id % 7 = 4 THEN ',"tags":[]' ELSE '' END,
+              CASE WHEN doc_id % 6 = 0 THEN ',"created_at":"2024-01-02T03:04:05Z"' WHEN doc_id % 6 = 1 THEN ',"created_at":"2024-01-02","timestamp":"2025"' ELSE '' END,
+              CASE WHEN doc_id % 9 = 2 THEN concat(',"url":"http://other/', CAST(doc_id AS STRING), '","video_URL":"v"') ELSE '' END,
+              CASE WHEN doc_id % 4 = 2 THEN ',"description":"shown"' WHEN doc_id % 8 = 1 THEN ',"description":"hidden"' ELSE '' END,
+              '}') AS payload
+FROM documents
+"""
+
 
 # Base tables each view reads (so a plan registers only what it scans).
 VIEW_DEPS = {
     "v_caption_lines": ("documents",), "v_description_json": ("part",), "v_docs": ("part",), "v_queries": (),
     "v_query_texts": ("part", "benchmark"),
     "v_updates": ("customer",), "v_manifest_items": ("documents", "labels"), "v_payload": ("documents",),
-    "v_media": ("part",),
+    "v_media": ("part",), "v_open_payload": ("documents",),
 }
 _REGISTERED: dict = {}
 

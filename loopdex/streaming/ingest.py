@@ -17,7 +17,7 @@ from loopdex.operators.bucket_store import apply_batch
 from loopdex.sources.descriptions import good, parse_descriptions
 
 
-def to_docs(desc: DataFrame, default_attribution: str | None = None) -> DataFrame:
+def to_docs(desc: DataFrame, default_attribution: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Description records -> store rows (doc_id, seq, gif_url, ..., combined_text)."""
     from loopdex.functions.text import combined_text, default_attribution as dattr, doc_id
 
@@ -25,7 +25,7 @@ def to_docs(desc: DataFrame, default_attribution: str | None = None) -> DataFram
         doc_id("id", "url").alias("doc_id"), F.col("line_no").alias("seq"), F.col("url").alias("gif_url"),
         "original_description", "literal", "source", "mood", "action", "context", "tags",
         dattr("attribution", default_attribution).alias("attribution"),
-        combined_text("literal", "source", "mood", "action", "context", "tags").alias("combined_text"))
+        combined_text("literal", "source", "mood", "action", "context", "tags").alias("combined_text"), *keep)
 
 
 def stream_ingest(spark: SparkSession, src_dir: str, store_path: str, checkpoint: str, writer: str = "stream", files: int | None = None) -> None:
