@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loopdex.operators import pq as PQ
 from loopdex.operators import vectors as V
 from loopdex.operators.embedder import embed
 from loopdex.operators.util import round6
-from loopdex.plans.common import KNN_K
+from loopdex.plans.common import KNN_K, built
 from loopdex.plans.oracle_search import hashed, search_ctes
 from loopdex.plans.search_plans import fixture_search
+from loopdex.session import written
 from loopdex.sources import fixtures as fx
 
 Q: dict = {}
@@ -56,6 +58,15 @@ def knn_ivf(spark: SparkSession, sf: str, n_cells: int = 16, nprobe: int | None
         rec, "query_id")
 
 
+def knn_pq(spark: SparkSession, sf: str) -> DataFrame:
+    """The persisted index (cells, product-quantised residuals, exact rerank), with recall against the exact list."""
+    vecs, q = _vq(spark, sf)
+    index = PQ.read_index(spark, built(spark, "pq-index", [f"{sf}/embeddings.parquet"], lambda path: PQ.write_index(vecs, path, KNN_K)))
+    approx = written(PQ.knn(index, q, KNN_K), "pq-found")
+    rec = V.recall_at_k(approx, V.knn_exact(vecs, q, KNN_K).select("query_id", "doc_id"))
+    return approx.select("query_id", F.col("vrank").cast("long").alias("rank"), "doc_id", round6("score").alias("score")).join(rec, "query_id")
+
+
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     """Hashed, L2-normalised term counts of every document (non-zero buckets)."""
     docs = fx.table(spark, sf, "documents")
@@ -111,5 +122,5 @@ scored AS (SELECT query_id, doc_id, sum(qe.w * de.w) AS score FROM qe JOIN de US
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, CAST(doc_id AS VARCHAR)) AS rank FROM scored) WHERE rank <= {KNN_K}"""
 
-Q.update({"embed_search": embed_search, "knn_exact": knn_exact, "knn_ivf": knn_ivf, "hash_embed": hash_embed, "attach_embeddings": attach_embeddings,
+Q.update({"embed_search": embed_search, "knn_exact": knn_exact, "knn_ivf": knn_ivf, "knn_pq": knn_pq, "hash_embed": hash_embed, "attach_embeddings": attach_embeddings,
           "rrf_fuse": rrf_fuse})
