@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from loopdex.llm.pieces import cut, is_odd
+from loopdex.llm.pieces import ODD, cut
 
 
 class ColumnTokens:
@@ -50,31 +50,46 @@ class ColumnTokens:
 
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         texts = column.fill_null("")
-        listed = texts.to_pylist()
-        holds = np.fromiter((any(s in x for s in self._special) for x in listed), bool, len(listed)) if self._special else np.zeros(0, bool)
+        holds = np.zeros(len(texts), bool)
+        for special in self._special:
+            holds |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         if not holds.any():
-            return self._chunked(texts, listed)
+            return self._chunked(texts)
         self._tokenizer.encode_special_tokens = False
         try:
-            ids, n = self._each([x for x, held in zip(listed, holds) if held])
+            ids, n = self._each(texts.filter(pa.array(holds)).to_pylist())
         finally:
             self._tokenizer.encode_special_tokens = True
-        sizes = np.zeros(len(listed), np.int64)
-        flat, sizes[~holds] = self._chunked(texts.filter(pa.array(~holds)), [x for x, held in zip(listed, holds) if not held])
+        sizes = np.zeros(len(texts), np.int64)
+        flat, sizes[~holds] = self._chunked(texts.filter(pa.array(~holds)))
         flat = np.insert(flat, np.repeat(np.cumsum(sizes)[holds], n), ids)
         sizes[holds] = n
         return flat, sizes
 
-    def _chunked(self, texts, listed: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _parts(texts):
+        """The chunks of each text as an Arrow list; only texts with unusual white space become Python strings."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if not listed:
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return pc.split_pattern(texts, " ")
+        plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        rest = pa.array([cut(x) for x in texts.filter(pa.array(odd)).to_pylist()], plain.type)
+        place = np.empty(len(texts), np.int64)
+        place[~odd], place[odd] = np.arange(len(plain)), len(plain) + np.arange(len(rest))
+        return pa.concat_arrays([plain, rest]).take(pa.array(place))
+
+    def _chunked(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow.compute as pc
+
+        if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        odd = any(map(is_odd, listed))
-        parts = pa.array([cut(x) for x in listed], pa.list_(pa.string())) if odd else pc.split_pattern(texts, " ")
+        parts = self._parts(texts)
         coded = pc.dictionary_encode(parts.flatten())
         chunks = coded.dictionary.to_pylist()
         spans = pc.binary_length(coded.dictionary).to_numpy().astype(np.int64)

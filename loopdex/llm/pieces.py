@@ -15,6 +15,8 @@ _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 #: White space but for space and line feed, in any reading of it.
 _ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _WIDE = "\x85\xa0                　"
+#: ``is_odd`` as a pattern for Arrow.
+ODD = f"  | \n|\n |^ | $|[{_ASCII}{_WIDE}]"
 
 
 def is_odd(text: str) -> bool:
