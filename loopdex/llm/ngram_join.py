@@ -5,7 +5,7 @@ Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of di
 1. Sets. Documents with equal sets become one class (its smallest doc_id stands for it), so exact copies cost nothing
    further, however many there are.
 2. Order. The prefix filter needs one order of all n-grams that every document uses. Here it is: n-grams whose hash is
-   divisible by EVERY first, rare before common among these; then the others by hash. Documents are long enough for
+   divisible by ``every`` first, rare before common among these; then the others by hash. Documents are long enough for
    their prefix (1 - t of the set) to lie in the first part, so only that part is ever counted and shuffled; the rare
    short ones that reach into the second part send those few n-grams too. Documents under SHORT n-grams could not, so
    they are joined with the whole set as first part, in a round of their own; sizes from SHORT to SHORT / t take part
@@ -39,8 +39,6 @@ from loopdex.llm import bloom
 from loopdex.llm.common import releasing, written
 from loopdex.llm.graph import components
 
-#: One n-gram hash in EVERY is in the first part of the order; it must stay above the prefix share (1 - t).
-EVERY = 4
 SHORT = 150
 PAIR_LIST = 128
 BLOCK = 512
@@ -50,6 +48,11 @@ SALTS = 16
 _U = np.uint64
 
 
+def every(percent: int) -> int:
+    """One n-gram hash in so many is in the first part of the order: a share safely above the prefix share (1 - t)."""
+    return max(2, 100 // max(1, 100 - percent) - 1)
+
+
 def prefix_length(n, percent: int):
     """n - ceil(t * n) + 1: two sets that link share one of their first so many n-grams, in any common order."""
     return n - (percent * n + 99) // 100 + 1
@@ -84,16 +87,17 @@ def sent(own: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
     if 0 < n <= _short_top(percent):
         out.append((0, own))
     if n >= SHORT:
-        first = own % _U(EVERY) == 0
+        first = own % _U(every(percent)) == 0
         lead, rest = own[first], own[~first]
         out.append((1, np.concatenate([lead, rest[: max(0, prefix_length(n, percent) - len(lead))]])))
     return out
 
 
-def _first_part(round_: Column, h: Column) -> Column:
+def _first_part(round_: Column, h: Column, percent: int) -> Column:
     """Is the n-gram in the first part of the order? (The hash is unsigned in Python, signed here.)"""
-    unsigned = F.pmod(h, F.lit(EVERY)) + F.when(h < 0, F.lit((1 << 64) % EVERY)).otherwise(F.lit(0))
-    return (round_ == 0) | (F.pmod(unsigned, F.lit(EVERY)) == 0)
+    n = every(percent)
+    unsigned = F.pmod(h, F.lit(n)) + F.when(h < 0, F.lit((1 << 64) % n)).otherwise(F.lit(0))
+    return (round_ == 0) | (F.pmod(unsigned, F.lit(n)) == 0)
 
 
 def _name(own: bytes) -> int:
@@ -148,7 +152,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(r, doc_id, n, alone, prefix): each survivor's prefix in rare-first order, without the n-grams that no other
     survivor holds, of which there are `alone` before it."""
     rows = sets.select("doc_id", "n", F.inline("sent")).select("doc_id", "n", "r", F.explode("h").alias("h"))
-    rows = rows.withColumn("lead", _first_part(F.col("r"), F.col("h")))
+    rows = rows.withColumn("lead", _first_part(F.col("r"), F.col("h"), percent))
     # A table of its own, so that adaptive execution can split the rows of an n-gram that many documents hold.
     often = written(rows.groupBy("r", "h").agg(F.count("*").alias("df")).where("df > 1"), "often")
     rows = rows.join(often, ["r", "h"], "left")
@@ -321,7 +325,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     all_ = written(_classes(docs, width, percent), "classes")
     known = all_.where("doc_id IS NOT NULL AND c IS NOT NULL")
     # Copies send the same n-grams under the same class, so an n-gram is shared when two classes send it.
-    rows = known.select("c", F.inline("sent")).select("c", "r", F.explode("h").alias("h")).where(_first_part(F.col("r"), F.col("h")))
+    rows = known.select("c", F.inline("sent")).select("c", "r", F.explode("h").alias("h")).where(_first_part(F.col("r"), F.col("h"), percent))
     alone = rows.groupBy("r", "h").agg(F.min("c").alias("c"), F.max("c").alias("last")).where("c = last").groupBy("c", "r").agg(F.count("*").alias("alone"))
     reps = written(known.groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "reps")
     rounds = reps.withColumn("r", F.explode(F.expr(f"filter(array(0, 1), r -> (r = 0 AND n <= {_short_top(percent)}) OR (r = 1 AND n >= {SHORT}))")))
