@@ -174,9 +174,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: the suffix filter again over fine ranges (some hundred bytes a document), then the
     whole sets of those that pass."""
 
-    def both(pairs, *columns):
-        a = sets.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-        b = sets.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    def both(pairs, *columns, side=lambda x: sets):
+        a = side("a").select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+        b = side("b").select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
         return pairs.join(a, "a").join(b, "b").select("a", "b", *[f"{c}_{x}" for c in columns for x in "ab"])
 
     def near(batches):
@@ -201,7 +201,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = written(both(pairs, "n", "fine").mapInArrow(releasing(near), "a bigint, b bigint"), "pairs")
-    return both(pairs, "own").mapInArrow(releasing(linked), "a bigint, b bigint")
+
+    def wanted(x):
+        """The sets that some pair has on this side, and few others: whole sets are large, and most are in no pair."""
+        ids = written(pairs.select(F.col(x).alias("doc_id")).distinct(), "wanted")
+        return bloom.with_answer(sets.select("doc_id", "own"), "doc_id", bloom.build(ids, "doc_id", ids.count()), "maybe").where("maybe")
+
+    return both(pairs, "own", side=wanted).mapInArrow(releasing(linked), "a bigint, b bigint")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
