@@ -1,13 +1,19 @@
-"""Quality rules as weak supervision: rules vote good, bad or abstain; EM estimates one accuracy a rule; a document's
-posterior probability of being good replaces "all rules must pass".
+"""Quality rules as weak supervision: rules vote good, bad or abstain; EM estimates how accurate each rule is in either
+class; a document's posterior probability of being good replaces "all rules must pass".
+
+Every rule has, for good and for bad documents, the probabilities of its three answers (Dawid and Skene), so a rule that
+is silent on most bad documents can still be trusted where it speaks. EM starts from the rules' agreement (the share of
+good votes among the votes cast), which also fixes which class is which, and stops where nothing moves any more. The
+probabilities are smoothed by one vote of each kind and not bounded otherwise. Rules look at what the base test doesn't:
+symbols, words that aren't plain, word and line shapes, and weaker repetition than the base test bears.
 
 Main path: DataFrame functions only. Per text, every measure is an expression over that row (no shuffle of words).
 The only shuffle is the count of vote patterns, at most 3 ** rules rows; EM runs over that small table, each round one
-aggregate whose single row (prior and accuracies) becomes the literals of the next round.
+aggregate whose single row becomes the literals of the next round.
 
-Edge cases: a null or empty text has zero words and fails the base test; repeated rows each get their own result;
-an empty table gives an empty result (EM then keeps its starting values); any extra columns of the input are ignored
-by the query and kept by ``judge`` (columns of the same name as a measure are replaced).
+Edge cases: a null or empty text has zero words, all rules abstain on it and it fails the base test; repeated rows each
+get their own result; an empty table gives an empty result; any extra columns of the input are ignored by the query and
+kept by ``judge`` (columns of the same name as a measure, and ``_w``, ``_h`` and ``_l``, are replaced or dropped).
 """
 
 from __future__ import annotations
@@ -22,22 +28,23 @@ from loopdex.llm.common import SPACE, SPACE_CHARS, words, written
 SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Further measures that only the rules use.
-RULE_MEASURES = ["n_lines", "n_ended_lines", "n_digits"]
+RULE_MEASURES = ["n_lines", "n_ended_lines", "n_plain_words", "n_distinct_words"]
 
 #: name -> (condition of a bad vote, condition of a good vote) over the measures; neither holds: the rule abstains.
 RULES = {
-    "vote_length": ("n_words < 50", "n_words >= 100"),
-    "vote_word_size": ("word_chars < 2 * n_words OR word_chars > 14 * n_words", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words"),
     "vote_symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    "vote_dup_lines": ("10 * n_dup_lines > 3 * n_lines", "20 * n_dup_lines <= n_lines"),
-    "vote_repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
-    "vote_line_ends": ("10 * n_ended_lines < n_lines", "2 * n_ended_lines >= n_lines"),
-    "vote_digits": ("5 * n_digits > word_chars", "20 * n_digits <= word_chars"),
+    "vote_plain_words": ("2 * n_plain_words < n_words", "10 * n_plain_words >= 7 * n_words"),
+    "vote_word_size": ("word_chars < 3 * n_words OR word_chars > 7 * n_words", "word_chars >= 4 * n_words AND word_chars <= 6 * n_words"),
+    "vote_line_ends": ("100 * n_ended_lines < 85 * n_lines", "100 * n_ended_lines >= 97 * n_lines"),
+    "vote_dup_lines": ("10 * n_dup_lines > n_lines", "50 * n_dup_lines <= n_lines"),
+    "vote_repeats": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words"),
+    "vote_distinct": ("100 * n_distinct_words < 30 * n_words", "100 * n_distinct_words >= 50 * n_words"),
 }
-ROUNDS = 12
-START_PRIOR, START_ACCURACY = 0.8, 0.8
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.99
-LEAST_PRIOR, MOST_PRIOR = 0.5, 0.95
+#: A word of letters, with the punctuation after it.
+PLAIN = r"\p{L}+[.,;:!?]*"
+ANSWERS = (-1, 0, 1)
+#: EM ends when no probability moves by more; MOST_ROUNDS only guards against a table on which it never would.
+STILL, MOST_ROUNDS = 1e-12, 200
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
@@ -84,53 +91,63 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": _covered(F.col("_h")),
         "n_lines": F.size(lines),
         "n_ended_lines": F.size(ended),
-        "n_digits": F.length(t) - F.length(F.translate(t, "0123456789", "")),
+        "n_plain_words": F.size(F.filter(w, lambda x: x.rlike(rf"\A{PLAIN}\z"))),
+        "n_distinct_words": F.size(F.array_distinct(w)),
     }
     return df.withColumns({k: v.cast("long") for k, v in long.items()}).drop("_w", "_h", "_l")
 
 
 def voted(df: DataFrame) -> DataFrame:
     """df with a column a rule: -1 bad, 1 good, 0 abstains (bad wins where both conditions hold)."""
-    return df.withColumns({k: F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for k, (bad, good) in RULES.items()})
+    return df.withColumns({k: F.when(F.col("n_words") == 0, 0).when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for k, (bad, good) in RULES.items()})
+
+
+#: The posterior that EM starts from: the share of good votes among those cast.
+AGREEMENT = f"(CAST(0.5 AS DOUBLE) + {' + '.join(f'greatest({k}, 0)' for k in RULES)}) / (1 + {' + '.join(f'abs({k})' for k in RULES)})"
 
 
-def posterior(prior: float, accuracy: dict[str, float]) -> str:
-    """SQL of the probability that a row is good, from its votes."""
-    logit = " + ".join([repr(math.log(prior / (1 - prior)))] + [f"{k} * ({math.log(a / (1 - a))!r})" for k, a in accuracy.items()])
-    return f"1 / (1 + exp(-({logit})))"
+def posterior(prior: float, weights: dict[str, dict[int, float]]) -> str:
+    """SQL of the probability that a row is good, from its votes; weights: of each rule's answers, the log of how much
+    likelier they are from a good document."""
+    votes = [f"CASE {k} " + " ".join(f"WHEN {v} THEN {w!r}" for v, w in answers.items()) + " END" for k, answers in weights.items()]
+    return f"1 / (1 + exp(-({' + '.join([repr(math.log(prior / (1 - prior))), *votes])})))"
 
 
-def fit(votes: DataFrame) -> tuple[float, dict[str, float]]:
-    """(prior, accuracy of each rule) by EM over the vote patterns of all rows."""
+def fit(votes: DataFrame) -> tuple[float, dict[str, dict[int, float]]]:
+    """(prior, weights of each rule's answers) by EM over the vote patterns of all rows."""
     pattern = written(votes.groupBy(*RULES).agg(F.count("*").alias("n")), "patterns")
-    prior, accuracy = START_PRIOR, dict.fromkeys(RULES, START_ACCURACY)
-    clamp = lambda x, low, high: min(max(x, low), high)
-    for _ in range(ROUNDS):
-        rows = pattern.withColumn("p", F.expr(posterior(prior, accuracy)))
-        right = [F.expr(f"sum(n * (CASE {k} WHEN 1 THEN p WHEN -1 THEN 1 - p ELSE 0 END))").alias(f"right_{k}") for k in RULES]
-        cast = [F.expr(f"sum(n * abs({k}))").alias(f"cast_{k}") for k in RULES]
-        got = rows.agg(F.sum("n").alias("n"), F.expr("sum(n * p)").alias("good"), *right, *cast).first()
-        if not got["n"]:
+    sums = [F.expr(f"sum(CASE WHEN {k} = {v} THEN n * {p} ELSE 0 END)").alias(f"{k}{v}{p[0]}") for k in RULES for v in ANSWERS for p in ("good", "bad")]
+    now, before = AGREEMENT, None
+    for _ in range(MOST_ROUNDS):
+        rows = pattern.withColumn("good", F.expr(now)).withColumn("bad", 1 - F.col("good"))
+        got = rows.agg(F.expr("sum(n * good)").alias("good"), F.expr("sum(n * bad)").alias("bad"), *sums).first()
+        if got["good"] is None:  # no rows
+            return 0.5, {k: dict.fromkeys(ANSWERS, 0.0) for k in RULES}
+        share = {(k, v, c): (got[f"{k}{v}{c}"] + 1) / (got[whole] + 3) for k in RULES for v in ANSWERS for c, whole in (("g", "good"), ("b", "bad"))}
+        prior = (got["good"] + 1) / (got["good"] + got["bad"] + 2)
+        weights = {k: {v: math.log(share[k, v, "g"] / share[k, v, "b"]) for v in ANSWERS} for k in RULES}
+        share["prior"] = prior
+        if before is not None and max(abs(share[x] - before[x]) for x in share) <= STILL:
             break
-        prior = clamp(got["good"] / got["n"], LEAST_PRIOR, MOST_PRIOR)
-        accuracy = {k: clamp(got[f"right_{k}"] / got[f"cast_{k}"], LEAST_ACCURACY, MOST_ACCURACY) if got[f"cast_{k}"] else accuracy[k] for k in RULES}
-    return prior, accuracy
+        now, before = posterior(prior, weights), share
+    return prior, weights
 
 
 def judge(df: DataFrame, text: str = "text", keep: float = 0.5, drop: tuple[str, ...] = ()) -> DataFrame:
     """df, without the columns to drop, with the measures, votes, p_good, base_failed and kept (not base_failed and
     p_good >= keep). Measures and votes are written once, so texts are measured a single time for EM and verdicts."""
     df = written(voted(measured(df, text)).drop(*drop), "votes")
-    prior, accuracy = fit(df.select(*RULES))
+    prior, weights = fit(df.select(*RULES))
     failed = F.expr(BASE_FAILED)
-    return df.withColumns({"p_good": F.expr(posterior(prior, accuracy)), "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep))
+    return df.withColumns({"p_good": F.expr(posterior(prior, weights)), "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep))
 
 
-def sql() -> str:
-    """DuckDB SQL of the query: the same measures and votes, EM unrolled round by round."""
+def sql(rounds: int = 70) -> str:
+    """DuckDB SQL of the query: the same measures and votes, EM unrolled for more rounds than it needs."""
     spaces = " || ".join(f"chr({ord(c)})" for c in SPACE_CHARS)
-    marks = {k: f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS {k}" for k, (bad, good) in RULES.items()}
+    marks = [f"CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS {k}" for k, (bad, good) in RULES.items()]
     names = ", ".join(RULES)
+    answers = " UNION ALL ".join(f"SELECT id, '{k}' AS rule, {k} AS vote FROM g" for k in RULES)
     parts = [
         "d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)",
         f"w AS (SELECT r, regexp_extract_all(t, '[^{SPACE}]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS ls FROM d)",
@@ -139,19 +156,22 @@ def sql() -> str:
         "p AS (SELECT r, sum(least(3, i - before)) AS n FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -3) AS before FROM c) GROUP BY r)",
         "m AS (SELECT d.r, doc_id, len(ws) AS n_words, length(translate(t, " + spaces + ", '')) AS word_chars,"
         f" length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,"
-        f" len(ls) AS n_lines, len(list_filter(ls, lambda x: regexp_matches(x, '[.!?:;\"''\\)]+[{SPACE}]*$'))) AS n_ended_lines, length(t) - length(translate(t, '0123456789', '')) AS n_digits"
+        f" len(ls) AS n_lines, len(list_filter(ls, lambda x: regexp_matches(x, '[.!?:;\"''\\)]+[{SPACE}]*$'))) AS n_ended_lines,"
+        f" len(list_filter(ws, lambda x: regexp_full_match(x, '{PLAIN}'))) AS n_plain_words, len(list_distinct(ws)) AS n_distinct_words"
         " FROM d JOIN w USING (r) LEFT JOIN p USING (r))",
-        f"v AS (SELECT *, {', '.join(marks.values())} FROM m)",
-        f"g AS (SELECT {names}, count(*) AS n FROM v GROUP BY {names})",
-        "e0 AS (SELECT " + ", ".join([f"{START_PRIOR}::DOUBLE AS prior", *(f"{START_ACCURACY}::DOUBLE AS a_{k}" for k in RULES)]) + ")",
+        f"v AS MATERIALIZED (SELECT *, {', '.join(marks)} FROM m)",
+        f"g AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM (SELECT {names}, count(*) AS n FROM v GROUP BY {names}))",
+        f"a AS MATERIALIZED ({answers})",
+        f"q0 AS MATERIALIZED (SELECT id, n, {AGREEMENT} AS q FROM g)",
     ]
-    odds = "ln(prior / (1 - prior)) + " + " + ".join(f"{k} * ln(a_{k} / (1 - a_{k}))" for k in RULES)
-    for i in range(ROUNDS):
-        each = ", ".join(
-            f"coalesce(greatest({LEAST_ACCURACY}, least({MOST_ACCURACY}, sum(n * (CASE {k} WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END)) / nullif(sum(n * abs({k})), 0))), any_value(a_{k})) AS a_{k}" for k in RULES
-        )
-        parts.append(f"e{i + 1} AS (SELECT greatest({LEAST_PRIOR}, least({MOST_PRIOR}, sum(n * q) / sum(n))) AS prior, {each} FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS q FROM g, e{i}))")
+    for i in range(rounds):
+        parts += [
+            f"s{i} AS MATERIALIZED (SELECT sum(n * q) AS good, sum(n * (1 - q)) AS bad FROM q{i})",
+            f"t{i} AS MATERIALIZED (SELECT rule, vote, ln((sum(n * q) + 1) / (any_value(good) + 3)) - ln((sum(n * (1 - q)) + 1) / (any_value(bad) + 3)) AS w FROM a JOIN q{i} USING (id), s{i} GROUP BY ALL)",
+            f"q{i + 1} AS MATERIALIZED (SELECT id, any_value(n) AS n, 1 / (1 + exp(-(any_value(ln((good + 1) / (bad + 1))) + sum(w)))) AS q FROM a JOIN t{i} USING (rule, vote) JOIN q{i} USING (id), s{i} GROUP BY id)",
+        ]
+    same = " AND ".join(f"v.{k} = g.{k}" for k in RULES)
     return (
         "WITH " + ", ".join(parts) + f" SELECT doc_id, {', '.join(MEASURES)}, base_failed, NOT base_failed AND p_good >= 0.5 AS kept, round(p_good, 6) AS p_good"
-        f" FROM (SELECT *, ({BASE_FAILED}) AS base_failed, 1 / (1 + exp(-({odds}))) AS p_good FROM v, e{ROUNDS})"
+        f" FROM (SELECT v.*, ({BASE_FAILED}) AS base_failed, q AS p_good FROM v JOIN g ON {same} JOIN q{rounds} USING (id))"
     )
