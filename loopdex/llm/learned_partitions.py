@@ -15,7 +15,8 @@ last step keeps k of those.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, nor do vectors whose length
 isn't the most common one; ties go to the smaller vec_id; repeated rows are candidates each, but a query's own vec_id
-never is; with fewer than k candidates all are returned, as queries then read every part; an empty table gives an empty
+never is; a query that is stored twice is one query, and different vectors under one id are a query each; vectors keep
+their precision (float or double); with fewer than k candidates all are returned, as queries then read every part; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -42,7 +43,8 @@ QUERIES_A_BLOCK = 1024
 def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, vector) without the vectors that take no part."""
     v = F.col("vector")
-    df = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    kept = F.col(vector) if dict(df.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+    df = df.select(F.col(vec_id).cast("long").alias("vec_id"), kept.alias("vector"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return df.where(F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0))
 
@@ -167,16 +169,21 @@ def fit(vectors: DataFrame, parts: int = PARTS, sample: int = SAMPLE, target: fl
     return classifier
 
 
+def _kind(vectors: DataFrame) -> str:
+    """The numpy type of the vectors' components: what they are stored and measured in loses nothing."""
+    return "<f4" if dict(vectors.dtypes)["vector"] == "array<float>" else "<f8"
+
+
 def indexed(vectors: DataFrame, classifier: Classifier) -> DataFrame:
-    """(vec_id, vector as float32 bytes, part, order: all parts, most probable first, probes: how many of them a query
+    """(vec_id, vector as bytes of its own precision, part, order: all parts, most probable first, probes: how many of them a query
     reads) of every vector."""
-    sent = vectors.sparkSession.sparkContext.broadcast(classifier)
+    sent, kind = vectors.sparkSession.sparkContext.broadcast(classifier), _kind(vectors)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x = np.array(batch.column("vector").to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            x = np.array(batch.column("vector").to_pylist(), kind).reshape(batch.num_rows, -1)
             if batch.num_rows:
                 p = sent.value.predict(x.astype(np.float64))
                 order = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
@@ -190,23 +197,25 @@ def indexed(vectors: DataFrame, classifier: Classifier) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id bigint, vector binary, part int, order array<int>, probes int")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, kind: str = "<f4") -> DataFrame:
     """(query_id, rank, vec_id, score): for queries (rows like the index's) their k nearest rows of the index found,
-    by Euclidean distance in double precision."""
+    by Euclidean distance in double precision. kind: the type of the components in the vectors' bytes."""
+    # Equal rows are one query; rows that share an id but not the vector are queries of their own.
+    queries = queries.withColumn("version", F.xxhash64("vector")).dropDuplicates(["vec_id", "version"])
     count = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
     # A query reads its first `probes` parts, and further ones until they hold more than k vectors.
     held = F.transform("order", lambda p: F.coalesce(F.get(F.array(*[F.lit(count.get(i, 0)) for i in range(max(count, default=0) + 1)]), p), F.lit(0)))
     queries = queries.withColumn("held", held)
     before = F.transform(F.sequence(F.lit(0), F.size("order") - 1), lambda i: F.aggregate(F.slice("held", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x))
     read = F.filter(F.transform("order", lambda p, i: F.when((i < F.col("probes")) | (F.get(before, i) <= k), p)), lambda p: p.isNotNull())
-    queries = queries.select("vec_id", "vector", F.explode(read).alias("part"))
+    queries = queries.select("vec_id", "version", "vector", F.explode(read).alias("part"))
     asked = {r["part"]: r["n"] for r in queries.groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = lambda of, size: F.element_at(F.create_map(*[F.lit(x) for p in sorted(set(count) | set(asked) | {-1}) for x in (p, max(1, -(-of.get(p, 0) // size)))]), F.col("part"))
     v_blocks, q_blocks = blocks(count, VECTORS_A_BLOCK), blocks(asked, QUERIES_A_BLOCK)
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = index.where(F.col("part").isin(list(asked))).select("part", deal(v_blocks).alias("vb"), every(q_blocks).alias("qb"), "vec_id", "vector")
-    right = queries.select("part", deal(q_blocks).alias("qb"), every(v_blocks).alias("vb"), "vec_id", "vector")
+    right = queries.select("part", deal(q_blocks).alias("qb"), every(v_blocks).alias("vb"), "vec_id", "version", "vector")
 
     def best(vectors, queries):
         import pandas as pd
@@ -216,19 +225,19 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             ids = vectors["vec_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            x = np.frombuffer(b"".join(vectors["vector"].to_numpy()[order]), np.float32).reshape(len(ids), -1).astype(np.float64)
-            for q, raw in zip(queries["vec_id"], queries["vector"], strict=True):
-                d = np.sqrt(((x - np.frombuffer(raw, np.float32).astype(np.float64)) ** 2).sum(1))
+            x = np.frombuffer(b"".join(vectors["vector"].to_numpy()[order]), kind).reshape(len(ids), -1).astype(np.float64)
+            for q, version, raw in zip(queries["vec_id"], queries["version"], queries["vector"], strict=True):
+                d = np.sqrt(((x - np.frombuffer(raw, kind).astype(np.float64)) ** 2).sum(1))
                 d[ids == q] = np.inf
                 n = min(k, int((ids != q).sum()))
                 near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])[: len(d)] if n else np.zeros(0, np.int64)
                 near = near[np.argsort(d[near], kind="stable")][:n]  # ids ascend, so ties keep the smaller
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near], "score": d[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                out.append(pd.DataFrame({"query_id": q, "version": version, "vec_id": ids[near], "score": d[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "version": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "version": "int64", "vec_id": "int64", "score": "float64"})
 
     keys = ["part", "vb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id bigint, version bigint, vec_id bigint, score double")
+    rank = F.row_number().over(W.partitionBy("query_id", "version").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -246,4 +255,4 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, **how) -> DataFrame:
     if classifier is None:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     index = written(indexed(vectors, classifier), "index")
-    return search(index, index.where(F.col("vec_id") % every == 0), k)
+    return search(index, index.where(F.col("vec_id") % every == 0), k, _kind(vectors))
