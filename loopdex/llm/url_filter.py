@@ -5,7 +5,7 @@ URLs that the filter rejects never take part in the exact hash join, which remov
 
 Edge cases: a null URL, or one without "://", has an empty host and path and an empty canonical form, matches no rule,
 is in no list and is allowed; repeated rows are judged one by one; an empty table or list gives no block verdicts by
-list; extra columns stay (names made here are replaced).
+list; extra columns stay (names made here are replaced, ``_url``, ``_at``, ``_block``, ``_listed`` and ``_salt`` dropped).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from loopdex.llm import bloom
 from loopdex.llm.common import written
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+SALTS = 16
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -54,18 +55,20 @@ def judge(df: DataFrame, listed: DataFrame, url: str = "url", rules: dict[str, s
     listed: a DataFrame with one column canonical, distinct."""
     rules = RULES if rules is None else rules
     made = ["host", "path", "rule", "canonical", "maybe_listed", "listed", "verdict"]
-    df = df.withColumn("_url", F.col(url)).drop(*made)
+    df = df.withColumn("_url", F.col(url)).drop(*made, "_at", "_block", "_listed", "_salt")
     u = F.col("_url")
     df = df.withColumns({"host": host(u), "path": path(u), "canonical": canonical(u)}).drop("_url")
     df = df.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     listed = written(listed.where("canonical <> ''"), "listed")
     df = bloom.with_answer(df, "canonical", bloom.build(listed, "canonical", listed.count()), "maybe_listed")
     df = df.withColumn("maybe_listed", F.col("maybe_listed") & (F.col("canonical") != ""))
-    # A null key takes no part in the join, so only possible hits are compared with the list. Rows that a rule decides
-    # keep their answer from the list, but not their verdict.
-    key = F.when(F.col("maybe_listed"), F.col("canonical"))
-    exact = df.withColumn("_key", key).join(listed.select(F.col("canonical").alias("_listed")), F.col("_key") == F.col("_listed"), "left")
-    exact = exact.withColumn("listed", F.col("_listed").isNotNull()).drop("_key", "_listed")
+    # Only possible hits meet the list, dealt out by salt, as one listed URL may hold many of them; the others pass by. Rows
+    # that a rule decides keep their answer from the list, but not their verdict.
+    keys = listed.select(F.col("canonical").alias("_listed"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    hits = df.where("maybe_listed").withColumn("_at", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    hits = hits.join(keys, (F.col("canonical") == F.col("_listed")) & (F.col("_at") == F.col("_salt")), "left")
+    hits = hits.withColumn("listed", F.col("_listed").isNotNull()).drop("_listed", "_salt", "_at")
+    exact = hits.unionByName(df.where("NOT maybe_listed").withColumn("listed", F.lit(False)))
     by_rule = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         by_rule = F.when(F.col("rule") == rule, verdict).otherwise(by_rule)

@@ -10,11 +10,13 @@ share doesn't meet in one task. Files are written by Spark (its commit protocol
 RECORDS_A_FILE captures a file, and read back whole, one file in memory at a time.
 
 Reading: records are cut by Content-Length, so payloads may hold anything, record separators included. Request and
-metadata records find their capture through WARC-Concurrent-To: directly, or through a request record that names it.
+metadata records find their captures through each of their WARC-Concurrent-To: directly, or through a request record
+that names them; a record that names several captures is part of each. A record that is cut short, has no length, or
+whose payload hasn't the digest it states is kept and says so in ``damage`` (short, digest), never taken for whole.
 
 Edge cases: a null payload is empty, a null URL gives no WARC-Target-URI; rows that repeat a page (id and payload) are
 written each, share their record ids and come back as one capture with copies > 1; a request or metadata record whose
-capture isn't there makes a row without a response; empty tables give no captures; extra columns are ignored.
+capture isn't there makes a row without a response; warcinfo records belong to no capture; empty tables give no captures; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ END = "\r\n\r\n"
 RECORDS_A_FILE = 2000
 LEAST_BYTES = 1000
 SALTS = 32
-RECORD = "type string, record_id string, concurrent_to array<string>, refers_to string, target_uri string, payload_bytes bigint, payload_digest string, fields map<string,string>, payload binary"
+RECORD = "type string, record_id string, concurrent_to array<string>, refers_to string, target_uri string, payload_bytes bigint, payload_digest string, fields map<string,string>, payload binary, damage string"
 
 
 def _header(*pairs: tuple[str, Column]) -> Column:
@@ -90,16 +92,19 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> None
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of one file: header names lower-cased, repeated headers as lists, and the block."""
+    """The records of one file: header names lower-cased, repeated headers as lists, the block, and whether it is short (cut
+    by the end of the file, or without a length, which leaves what follows unread)."""
     at = 0
     while (start := data.find(VERSION.encode(), at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
+        end = data.find(b"\r\n\r\n", start)
         head: dict[str, list[str]] = {}
-        for line in data[start:end].decode("utf-8").split("\r\n")[1:]:
+        for line in data[start : end if end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:]:
             key, _, value = line.partition(":")
             head.setdefault(key.strip().lower(), []).append(value.strip())
-        at = end + 4 + int(head["content-length"][0])
-        yield {"head": head, "block": data[end + 4 : at]}
+        length = head.get("content-length", [""])[0]
+        short = end < 0 or not length.isdigit()
+        at = len(data) if short else end + 4 + int(length)
+        yield {"head": head, "block": data[end + 4 : at] if end >= 0 else b"", "short": short or at > len(data)}
 
 
 def records(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
@@ -125,9 +130,10 @@ def records(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame
                         body = body.partition(b"\r\n\r\n")[2]
                     stated = (one("warc-payload-digest") or "").removeprefix("sha1:")
                     digest = hashlib.sha1(body).hexdigest() if kind == "response" else stated or None
-                    rows.append((kind, one("warc-record-id"), head.get("warc-concurrent-to", []), one("warc-refers-to"), one("warc-target-uri"), len(body), digest, list(fields.items()), body if keep else None))
-                names = ["type", "record_id", "concurrent_to", "refers_to", "target_uri", "payload_bytes", "payload_digest", "fields", "payload"]
-                kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+                    damage = "short" if r["short"] else "digest" if kind == "response" and stated and stated.lower() != digest and len(stated) == 40 else None
+                    rows.append((kind, one("warc-record-id"), head.get("warc-concurrent-to", []), one("warc-refers-to"), one("warc-target-uri"), len(body), digest, list(fields.items()), body if keep else None, damage))
+                names = ["type", "record_id", "concurrent_to", "refers_to", "target_uri", "payload_bytes", "payload_digest", "fields", "payload", "damage"]
+                kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
 
     return files.mapInArrow(run, RECORD)
@@ -136,11 +142,12 @@ def records(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame
 def assemble(rows: DataFrame) -> DataFrame:
     """One nested row a capture: capture_id, copies, response, request, metadata (structs, null where missing)."""
     main = F.col("type").isin("response", "revisit", "resource")
-    body = F.struct("type", "record_id", "refers_to", "target_uri", "payload_bytes", "payload_digest", "fields", "payload")
+    body = F.struct("type", "record_id", "refers_to", "target_uri", "payload_bytes", "payload_digest", "fields", "payload", "damage")
     anchors = rows.where(main).select(F.col("record_id").alias("capture_id"), body.alias("record"))
-    others = rows.where(~main).select("record_id", F.coalesce(F.get("concurrent_to", F.lit(0)), F.col("record_id")).alias("target"), body.alias("record"))
-    # A record may name a request instead of the capture: one more step along the request's own link.
-    hops = rows.where("type = 'request'").groupBy(F.col("record_id").alias("hop")).agg(F.min(F.get("concurrent_to", F.lit(0))).alias("next"))
+    own = F.when(F.size("concurrent_to") > 0, F.array_distinct("concurrent_to")).otherwise(F.array("record_id"))
+    others = rows.where(~main & (F.col("type") != "warcinfo")).select("record_id", F.explode(own).alias("target"), body.alias("record"))
+    # A record may name a request instead of the capture: one more step along the request's own links.
+    hops = rows.where("type = 'request'").select(F.col("record_id").alias("hop"), F.explode("concurrent_to").alias("next")).distinct()
     others = others.join(hops, others.target == hops.hop, "left").select(F.coalesce("next", "target").alias("capture_id"), "record")
 
     def of(*kinds):
