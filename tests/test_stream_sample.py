@@ -113,3 +113,16 @@ def test_page_scan(spark):
     got = [r.seq for r in sp.page_scan(_docs(spark), 5, 10).collect()]
     ok = [i for i in range(200) if i % 29 != 0]
     assert got == ok[10:15]
+
+
+def test_dense_positions_of_uneven_numbers(spark):
+    """Epochs far apart and an outlier: right positions, and no range holds more than its bound."""
+    r = random.Random(4)
+    seqs = [e << 40 | i for e in (0, 3, 4) for i in range(4000)] + [1 << 61, (1 << 61) + 7, -5]
+    r.shuffle(seqs)
+    df = spark.createDataFrame([(x,) for x in seqs], "seq long")
+    got = {x.seq: x.pos for x in sp.dense_positions(df, rows_a_bucket=100).collect()}
+    assert got == {x: i + 1 for i, x in enumerate(sorted(seqs))}
+    ranged, sizes = sp._even_ranges(df, "seq", 100)
+    assert sizes.agg(F.max("_n")).first()[0] <= 400 and ranged.count() == len(seqs)
+    assert sp.dense_positions(df.limit(0)).collect() == []
