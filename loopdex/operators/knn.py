@@ -1,8 +1,8 @@
 """Exact nearest neighbours by inner product for tables of queries.
 
 Vectors come packed, thousands to a row, queries in blocks of QUERIES_A_BLOCK; a row of vectors meets every block once and
-leaves at most k rows a query, so no (query, document) pair leaves a task. Blocks of few queries are broadcast (their number
-is counted first); otherwise vectors and blocks are dealt to buckets by one equi-join, blocks copied to each. The kernel
+leaves at most k rows a query, so no (query, document) pair leaves a task. Blocks of few bytes are broadcast (they are
+counted first); otherwise vectors and blocks are dealt to buckets by one equi-join, blocks copied to each. The kernel
 and the memory of a task are the same either way: one packed row, one block and their product.
 
 A filter is a name that a query may carry; a packed row then has a mask (bitmap over locals) for each filter that allows
@@ -19,21 +19,23 @@ from loopdex.operators.util import round6, top_k_per_group
 
 QUERIES_A_BLOCK = 1024
 VECTORS_A_ROW = 4096
-MAX_BROADCAST_QUERIES = 20_000
+#: Bytes of query vectors that are broadcast at most.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-def query_blocks(queries: DataFrame) -> tuple[DataFrame, int]:
-    """(rows (block, queries), number of queries) of queries (query_id, embedding, filter)."""
+def query_blocks(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """(rows (block, queries), may they be broadcast?) of queries (query_id, embedding, filter)."""
     some = queries.where(F.col("embedding").isNotNull())
-    n = some.count()
+    n, size = some.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
     block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERIES_A_BLOCK)))).cast("int")
-    return some.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "filter", "embedding")).alias("queries")), n
+    blocks = some.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "filter", "embedding")).alias("queries"))
+    return blocks, 8 * size <= MAX_BROADCAST_BYTES
 
 
 def meet(packed: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     """Each packed row with each block of queries."""
-    blocks, n = query_blocks(queries)
-    if n <= MAX_BROADCAST_QUERIES:
+    blocks, few = query_blocks(queries)
+    if few:
         return packed.withColumn("deal", F.lit(0)).join(F.broadcast(blocks.withColumn("deal", F.lit(0))), "deal").drop("deal")
     deals = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopdex.config import SearchConfig
@@ -48,9 +48,9 @@ def query_masks(pq: DataFrame, store: SearchStore, cfg: SearchConfig) -> Masks:
     return Masks(of, written(masks(store.tags, asked, blocked), "masks"))
 
 
-def rrf(lists: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, rank) rows of several lists -> summed 1/(k + rank)."""
-    return lists.groupBy("query_id", "doc_id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("fused"))
+def rrf(lists: DataFrame, k: int, *also: Column) -> DataFrame:
+    """(query_id, doc_id, rank) rows of several lists -> summed 1/(k + rank), with further aggregates."""
+    return lists.groupBy("query_id", "doc_id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("fused"), *also)
 
 
 class Search:
@@ -125,8 +125,7 @@ class Search:
 
     def fused(self) -> DataFrame:
         """(query_id, doc_id, fused, tscore, vscore)."""
-        one = F.sum(F.lit(1.0) / (F.lit(self.cfg.rrf_k) + F.col("rank"))).alias("fused")
-        return self._lists().groupBy("query_id", "doc_id").agg(one, F.max("tscore").alias("tscore"), F.max("vscore").alias("vscore"))
+        return rrf(self._lists(), self.cfg.rrf_k, F.max("tscore").alias("tscore"), F.max("vscore").alias("vscore"))
 
     def _plain(self) -> tuple[DataFrame, DataFrame]:
         """(query_id, filter) of the queries without text, and the masks of their filters."""

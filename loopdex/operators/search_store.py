@@ -17,7 +17,7 @@ from loopdex.config import SearchConfig
 from loopdex.functions.query import tag_tokens
 from loopdex.operators.embedder import Embedder, embed
 from loopdex.operators.inverted import RANGE_DOCS, TextIndex, read_index, write_index
-from loopdex.operators.knn import best, meet
+from loopdex.operators.knn import best, query_blocks
 from loopdex.operators.store import exists
 from loopdex.operators.tag_bitmaps import Masks, TagIndex, bit_at, read_tags, write_tags
 from loopdex.operators.util import ensure_cols, round6, top_k_per_group
@@ -71,9 +71,11 @@ def nearest(store: SearchStore, queries: DataFrame, k: int, masks: Masks) -> Dat
     """I8: (query_id, range, local, doc_id, score, vrank): the k documents of largest inner product with each query
     (query_id, embedding), in double precision, among those its mask allows; ties to smaller ids."""
     asked = queries.select("query_id", "embedding").join(masks.of.select("query_id", "filter"), "query_id")
-    used = masks.bits.join(asked.select("filter").distinct(), "filter", "left_semi")
-    used = used.groupBy("range").agg(F.collect_list(F.struct("filter", "mask")).alias("masks"))
-    rows = meet(store.vectors.join(used, "range"), "range", asked)
+    blocks, few = query_blocks(asked)
+    # A range meets the blocks that have a filter which leaves any of it, with the masks of that block's filters.
+    used = blocks.select("block", F.explode(F.array_distinct(F.transform("queries", lambda q: q["filter"]))).alias("filter"))
+    used = masks.bits.join(used, "filter").groupBy("range", "block").agg(F.collect_list(F.struct("filter", "mask")).alias("masks"))
+    rows = store.vectors.join(used, "range").join(F.broadcast(blocks) if few else blocks, "block")
 
     def run(batches):
         import pyarrow as pa

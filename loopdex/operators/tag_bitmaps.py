@@ -129,7 +129,7 @@ def masks(index: TagIndex, asked: DataFrame, blocked: Column | None = None) -> D
 def _with_every(index: TagIndex, open_: DataFrame) -> DataFrame:
     """(filter, range, bits): every range for each filter without required clauses. Filters are dealt to buckets of
     ranges, so each pair is one row of an equi-join."""
-    deals = 8
+    deals = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = index.every.withColumn("deal", F.pmod(F.xxhash64("range"), F.lit(deals)).cast("int"))
     right = open_.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
     return left.join(right, "deal").select("filter", "range", "bits")

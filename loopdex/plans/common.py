@@ -20,6 +20,7 @@ PAGE_LIMIT, PAGE_OFFSET = 50, 100
 KNN_K = 10
 BM25_K = 10
 BLOCKED = ("nsfw",)
+ELAPSED_SEC = 8.0  # the time that reports of a run divide by
 
 
 def joined(col, sep: str = "|") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loopdex.operators import enrich as en
 from loopdex.operators import reports as rp
 from loopdex.operators import worklist as wl
-from loopdex.plans.common import PER_SOURCE_LIMIT, duck_joined, joined
+from loopdex.plans.common import ELAPSED_SEC, PER_SOURCE_LIMIT, duck_joined, joined
 from loopdex.sources import captions as cap
 from loopdex.sources import fixtures as fx
 
@@ -132,12 +132,13 @@ O["fetch_status"] = fx.with_views("SELECT doc_id, removed FROM st", "v_payload",
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rp.run_summary(_described(spark, sf))
+    return rp.run_summary(_described(spark, sf), ELAPSED_SEC)
 
 
-O["run_summary"] = fx.with_views("""
+O["run_summary"] = fx.with_views(f"""
 SELECT count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed,
-       count(*) FILTER (WHERE status = 'removed') AS removed, count(*) AS done FROM st""", "v_payload", ctes=_PAY)
+       count(*) FILTER (WHERE status = 'removed') AS removed, count(*) AS done, CAST(count(*) / {ELAPSED_SEC} AS DOUBLE) AS rate_per_sec
+FROM st""", "v_payload", ctes=_PAY)
 
 
 def cost_estimate(spark: SparkSession, sf: str) -> DataFrame:

@@ -60,6 +60,22 @@ def search_totals(spark: SparkSession, sf_dir: str, cfg: SearchConfig = FIXTURE_
     return fixture_search(spark, sf_dir, cfg).totals.select(F.col("query_id").cast("long").alias("query_id"), "total")
 
 
+def search_texts(spark: SparkSession, sf_dir: str, cfg: SearchConfig = FIXTURE_CFG) -> DataFrame:
+    """I13 over a query table that grows with the data: every part's and every benchmark passage's query of v_query_texts,
+    each form of the syntax, alone, mixed, empty or left open."""
+    fx.register(spark, sf_dir, ("v_query_texts",))
+    queries = spark.table("v_query_texts")
+    vectors = queries.join(fx.table(spark, sf_dir, "embeddings"), "vec_id").select("query_id", "embedding")
+    hits = search(queries.select("query_id", "raw"), fixture_store(spark, sf_dir, cfg), None, vectors, cfg).hits
+    return hits.select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("rank"), "doc_id", round6("list_score").alias("list_score"))
+
+
+O["search_texts"] = fx.with_views("""
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(list_score, 6) AS list_score FROM hits""",
+    "v_docs", "v_query_texts", ctes=search_ctes().replace("FROM v_queries", "FROM v_query_texts"))
+Q["search_texts"] = search_texts
+
+
 def text_only_search(spark: SparkSession, sf_dir: str, cfg: SearchConfig = FIXTURE_CFG) -> DataFrame:
     """I13 with K2: documents and queries are texts alone; the store's and the queries' vectors are the embedder's."""
     docs, _, queries, _ = fixture_inputs(spark, sf_dir)

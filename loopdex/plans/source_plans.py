@@ -13,7 +13,7 @@ from loopdex.operators.ingest_run import embedded_lines
 from loopdex.operators.ingest_run import ingest_summary as summary
 from loopdex.operators.pipeline import pipeline_one as run_source
 from loopdex.operators.worklist import pack_manifests
-from loopdex.plans.common import DEFAULT_ATTRIBUTION, ROUND_BATCH, duck_joined
+from loopdex.plans.common import DEFAULT_ATTRIBUTION, ELAPSED_SEC, ROUND_BATCH, duck_joined
 from loopdex.plans.ingest_plans import _DESC
 from loopdex.session import scratch
 from loopdex.sources import fixtures as fx
@@ -183,7 +183,7 @@ class FailsOn(HashEmbedder):
         return F.when(text.contains(self.word), F.lit(None)).otherwise(super().features(text))
 
 
-FAILING, ELAPSED_SEC = "widget", 8.0
+FAILING = "widget"
 
 
 def ingest_summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,5 +21,5 @@ def test_registry_consistent():
 
 def test_some_queries_run_small(spark):
     qs = E.queries()
-    for name in ("caption_parse", "description_parse", "query_parse", "moderate", "frame_plan", "debounce", "match_phrase"):
-        assert qs[name](spark, SF).count() >= 0
+    for name in ("caption_parse", "description_parse", "query_parse", "moderate", "frame_plan", "debounce", "match_bm25", "tag_browse"):
+        assert qs[name](spark, SF).count() > 0, name

@@ -10,6 +10,7 @@ from loopdex.operators import search as S
 from loopdex.operators import vectors as V
 from loopdex.operators.embedder import HashEmbedder, embed
 
+
 def test_tag_clause_semantics(spark):
     df = spark.createDataFrame([(["Live Leak", "sci-fi"], "live"), (["Live Leak"], "live leak"), (["sci-fi"], "sci-fi"),
                                 (["a b", "c"], "b c"), (None, "x")], "tags array<string>, t string")

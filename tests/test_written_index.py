@@ -183,9 +183,9 @@ def test_browse_reads_in_store_order(spark):
 # -- vectors ----------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("most", [20_000, 2])  # broadcast, and dealt blocks beyond the bound
+@pytest.mark.parametrize("most", [1 << 20, 8])  # broadcast, and dealt blocks beyond the bound
 def test_knn_exact(spark, monkeypatch, most):
-    monkeypatch.setattr(knn, "MAX_BROADCAST_QUERIES", most)
+    monkeypatch.setattr(knn, "MAX_BROADCAST_BYTES", most)
     monkeypatch.setattr(knn, "QUERIES_A_BLOCK", 3)
     r = np.random.default_rng(3)
     v, q = r.integers(-3, 4, (300, 8)).astype(np.float64), r.integers(-3, 4, (7, 8)).astype(np.float64)
