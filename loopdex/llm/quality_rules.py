@@ -8,8 +8,8 @@ probabilities are smoothed by one vote of each kind and not bounded otherwise. R
 symbols, words that aren't plain, word and line shapes, and weaker repetition than the base test bears.
 
 Main path: DataFrame functions only. Per text, every measure is an expression over that row (no shuffle of words).
-The only shuffle is the count of vote patterns, at most 3 ** rules rows; EM runs over that small table, each round one
-aggregate whose single row becomes the literals of the next round.
+The only shuffle is the count of vote patterns, at most 3 ** rules rows; EM is one expression over these, all its rounds
+included, and its result becomes the literals of the verdicts.
 
 Edge cases: a null or empty text has zero words, all rules abstain on it and it fails the base test; repeated rows each
 get their own result; an empty table gives an empty result; any extra columns of the input are ignored by the query and
@@ -43,7 +43,7 @@ RULES = {
 #: A word of letters, with the punctuation after it.
 PLAIN = r"\p{L}+[.,;:!?]*"
 ANSWERS = (-1, 0, 1)
-#: EM ends when no probability moves by more; MOST_ROUNDS only guards against a table on which it never would.
+#: EM ends when no weight moves by more; MOST_ROUNDS only guards against a table on which it never would.
 STILL, MOST_ROUNDS = 1e-12, 200
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
@@ -113,24 +113,59 @@ def posterior(prior: float, weights: dict[str, dict[int, float]]) -> str:
     return f"1 / (1 + exp(-({' + '.join([repr(math.log(prior / (1 - prior))), *votes])})))"
 
 
+def _learned(patterns: Column) -> Column:
+    """What the patterns (n, x: one place an answer of each rule, 1 where it is theirs, q: probability of being good) say:
+    the prior's log odds and the weight of each answer."""
+    start = F.struct(F.lit(0.0).alias("good"), F.lit(0.0).alias("bad"), *[F.array_repeat(F.lit(0.0), len(RULES) * len(ANSWERS)).alias(c) for c in ("g", "b")])
+
+    def add(s: Column, p: Column) -> Column:
+        good, bad = p["n"] * p["q"], p["n"] * (1 - p["q"])
+        return F.struct(
+            (s["good"] + good).alias("good"), (s["bad"] + bad).alias("bad"),
+            F.zip_with(s["g"], p["x"], lambda a, x: a + x * good).alias("g"), F.zip_with(s["b"], p["x"], lambda a, x: a + x * bad).alias("b"))
+
+    def weights(s: Column) -> Column:
+        weight = F.zip_with(s["g"], s["b"], lambda g, b: F.log((g + 1) / (s["good"] + 3)) - F.log((b + 1) / (s["bad"] + 3)))
+        return F.struct(F.log((s["good"] + 1) / (s["bad"] + 1)).alias("odds"), weight.alias("w"))
+
+    return _let(F.aggregate(patterns, start, add), weights)
+
+
+def _judged(patterns: Column, state: Column) -> Column:
+    """The patterns with the probabilities that a state (odds, w) gives them."""
+
+    def one(p: Column) -> Column:
+        logit = F.aggregate(F.zip_with(p["x"], state["w"], lambda x, w: x * w), state["odds"], lambda a, x: a + x)
+        return F.struct(p["n"].alias("n"), p["x"].alias("x"), (1 / (1 + F.exp(-logit))).alias("q"))
+
+    return F.transform(patterns, one)
+
+
 def fit(votes: DataFrame) -> tuple[float, dict[str, dict[int, float]]]:
-    """(prior, weights of each rule's answers) by EM over the vote patterns of all rows."""
-    pattern = written(votes.groupBy(*RULES).agg(F.count("*").alias("n")), "patterns")
-    sums = [F.expr(f"sum(CASE WHEN {k} = {v} THEN n * {p} ELSE 0 END)").alias(f"{k}{v}{p[0]}") for k in RULES for v in ANSWERS for p in ("good", "bad")]
-    now, before = AGREEMENT, None
-    for _ in range(MOST_ROUNDS):
-        rows = pattern.withColumn("good", F.expr(now)).withColumn("bad", 1 - F.col("good"))
-        got = rows.agg(F.expr("sum(n * good)").alias("good"), F.expr("sum(n * bad)").alias("bad"), *sums).first()
-        if got["good"] is None:  # no rows
-            return 0.5, {k: dict.fromkeys(ANSWERS, 0.0) for k in RULES}
-        share = {(k, v, c): (got[f"{k}{v}{c}"] + 1) / (got[whole] + 3) for k in RULES for v in ANSWERS for c, whole in (("g", "good"), ("b", "bad"))}
-        prior = (got["good"] + 1) / (got["good"] + got["bad"] + 2)
-        weights = {k: {v: math.log(share[k, v, "g"] / share[k, v, "b"]) for v in ANSWERS} for k in RULES}
-        share["prior"] = prior
-        if before is not None and max(abs(share[x] - before[x]) for x in share) <= STILL:
-            break
-        now, before = posterior(prior, weights), share
-    return prior, weights
+    """(prior, weights of each rule's answers) by EM over the vote patterns of all rows. The patterns, at most 3 ** rules, are
+    one row, and all rounds one expression over it."""
+    x = F.array(*[F.when(F.col(k) == v, 1.0).otherwise(0.0) for k in RULES for v in ANSWERS])
+    rows = votes.groupBy(*RULES).agg(F.count("*").cast("double").alias("n"))
+    rows = rows.select(F.struct(x.alias("x"), "n", F.expr(AGREEMENT).alias("q")).alias("p"))
+    one = rows.agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    ps = F.transform("ps", lambda p: F.struct(p["n"].alias("n"), p["x"].alias("x"), p["q"].alias("q")))
+    one = one.select(ps.alias("ps"))
+
+    def step(s: Column) -> Column:
+        def moved(new: Column) -> Column:
+            apart = F.array_max(F.zip_with(s["w"], new["w"], lambda a, b: F.abs(a - b)))
+            return F.struct(new["odds"].alias("odds"), new["w"].alias("w"), F.greatest(apart, F.abs(s["odds"] - new["odds"])).alias("moved"))
+
+        return _let(_learned(_judged(F.col("ps"), s)), moved)
+
+    first = _let(_learned(F.col("ps")), lambda s: F.struct(s["odds"].alias("odds"), s["w"].alias("w"), F.lit(float("inf")).alias("moved")))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_ROUNDS)), first, lambda s, _: F.when(s["moved"] <= STILL, s).otherwise(step(s)))
+    got = one.select(end.alias("end")).first()["end"]
+    answers = [(k, v) for k in RULES for v in ANSWERS]
+    weights: dict[str, dict[int, float]] = {k: {} for k in RULES}
+    for (k, v), w in zip(answers, got["w"], strict=True):
+        weights[k][v] = w
+    return 1 / (1 + math.exp(-got["odds"])), weights
 
 
 def judge(df: DataFrame, text: str = "text", keep: float = 0.5, drop: tuple[str, ...] = ()) -> DataFrame:
