@@ -50,6 +50,26 @@ SALTS = 16
 _U = np.uint64
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers stay alive beside what comes next."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def _light(run):
+    """run (a function of mapInArrow) that leaves no freed memory in its worker, Arrow's or the C library's."""
+
+    def wrapped(batches):
+        yield from releasing(run)(batches)
+        _trim()
+
+    return wrapped
+
+
 def prefix_length(n, percent: int):
     """n - ceil(t * n) + 1: two sets that link share one of their first so many n-grams, in any common order."""
     return n - (percent * n + 99) // 100 + 1
@@ -116,7 +136,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             kind = pa.list_(pa.struct([("r", pa.int8()), ("h", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(out, kind)], names=["doc_id", "n", "c", "sent"])
 
-    return docs.mapInArrow(releasing(run), "doc_id bigint, n bigint, c bigint, sent array<struct<r:tinyint,h:array<bigint>>>")
+    return docs.mapInArrow(_light(run), "doc_id bigint, n bigint, c bigint, sent array<struct<r:tinyint,h:array<bigint>>>")
 
 
 def _whole(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -137,7 +157,7 @@ def _whole(docs: DataFrame, width: int, percent: int) -> DataFrame:
             kind = pa.list_(pa.struct([("r", pa.int8()), ("h", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own_, pa.binary()), pa.array(ranges, pa.list_(pa.int32())), pa.array(fine), pa.array(out, kind), pa.array(c, pa.int64())], names=["doc_id", "n", "own", "ranges", "fine", "sent", "c"])
 
-    return docs.mapInArrow(releasing(run), "doc_id bigint, n bigint, own binary, ranges array<int>, fine binary, sent array<struct<r:tinyint,h:array<bigint>>>, c bigint")
+    return docs.mapInArrow(_light(run), "doc_id bigint, n bigint, own binary, ranges array<int>, fine binary, sent array<struct<r:tinyint,h:array<bigint>>>, c bigint")
 
 
 def _links(o, na, nb, percent: int):
@@ -200,14 +220,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(_links(int((y[at] == x).sum()), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(both(pairs, "n", "fine").mapInArrow(releasing(near), "a bigint, b bigint"), "pairs")
+    pairs = written(both(pairs, "n", "fine").mapInArrow(_light(near), "a bigint, b bigint"), "pairs")
 
     def wanted(x):
         """The sets that some pair has on this side, and few others: whole sets are large, and most are in no pair."""
         ids = written(pairs.select(F.col(x).alias("doc_id")).distinct(), "wanted")
         return bloom.with_answer(sets.select("doc_id", "own"), "doc_id", bloom.build(ids, "doc_id", ids.count()), "maybe").where("maybe")
 
-    return both(pairs, "own", side=wanted).mapInArrow(releasing(linked), "a bigint, b bigint")
+    return both(pairs, "own", side=wanted).mapInArrow(_light(linked), "a bigint, b bigint")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
@@ -283,7 +303,10 @@ def _blocks(postings: DataFrame, size: DataFrame, prefixes: DataFrame, sets: Dat
         ids, n, ok = pdf["doc_id"].to_numpy(), pdf["n"].to_numpy(), mask(key, pdf)
         o = _shared([np.frombuffer(x, np.uint64) for x in pdf["own"]]).astype(np.int64)
         a, b = np.nonzero(ok & _links(o, n[:, None], n[None, :], percent))
-        return pd.DataFrame(_forest(a, b, ids), columns=["a", "b"], dtype="int64")
+        found = pd.DataFrame(_forest(a, b, ids), columns=["a", "b"], dtype="int64")
+        del o, ok
+        _trim()
+        return found
 
     cell = ["r", "h", "i", "j"]
     rows = rows.select(*cell, "doc_id", "n", "place", "i_at", "block", "prefix")
