@@ -27,7 +27,9 @@ def parse_descriptions(lines: DataFrame, text_col: str = "line", keep: tuple[str
     """
     from loopdex.operators.util import spread
 
-    v = spread(lines, "line_no").withColumn("_v", F.try_parse_json(F.col(text_col)))
+    # As a generator's output, the value is made once a line and after the spreading: filters on what is read from it would
+    # else be moved below the exchange, with a parse for each field, to the few tasks of the scan.
+    v = spread(lines, "line_no").select("*", F.explode(F.array(F.try_parse_json(F.col(text_col)))).alias("_v"))
     kinds = {f: F.schema_of_variant(F.try_variant_get("_v", f"$.{f}", "variant")) for f in STRING_FIELDS}
     tag_kind = F.schema_of_variant(F.try_variant_get("_v", "$.tags", "variant"))
     bad_field = F.lit(None).cast("string")
