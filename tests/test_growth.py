@@ -81,3 +81,10 @@ def test_postings_of_a_range_are_dealt_once_for_all_clauses(spark, tmp_dir):
     hits = ix.phrase_hits(index, clauses)
     assert "FlatMapCoGroups" in plan(hits)
     assert hits.groupBy("query_id").count().select("count").distinct().collect()[0][0] == 20
+
+
+def test_best_of_many_ranges_are_those_of_one(spark, tmp_dir):
+    docs = spark.range(0, 400).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(0, id % 7), i -> concat('w', (id * 31 + i * i) % 40)), 'all')").alias("text"))
+    clauses = spark.createDataFrame([(q, 0, f"w{q} w{q + 3} all") for q in range(30)], "query_id long, clause_id int, text string")
+    some = [[tuple(r) for r in ix.match_top(ix.write_index(docs, f"{tmp_dir}/{n}", range_docs=n), clauses, 10).select("query_id", "rank", "doc_id", F.round("score", 6)).collect()] for n in (4, 4096)]
+    assert sorted(some[0]) == sorted(some[1]) and len(some[0]) == len({(r[0], r[2]) for r in some[0]}) == 300
