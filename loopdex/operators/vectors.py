@@ -21,6 +21,9 @@ from loopdex.session import written
 # 0.9 asked, as other queries scatter), and probe rows (with a query vector each) that are broadcast.
 HELD_OUT, RECALL_TARGET, MAX_PROBE_ROWS = 256, 0.95, 10_000
 
+#: Documents of a task of the sparse embedder, each at most ``dim`` rows of its aggregates.
+EMBED_ROWS = 5_000
+
 
 def dot(a, b):
     """Inner product as a native expression (small-input path and check)."""
@@ -38,11 +41,11 @@ def hash_buckets(text_col, dim: int = C.TEXT_DIM, pattern: str = "[\\p{L}\\p{N}]
 def hash_embed_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = C.TEXT_DIM) -> DataFrame:
     """I14, sparse form, fully JVM-side: (id, bucket, weight) for the non-zero buckets.
 
-    Rows are spread on the id, so the (id, bucket) count and the per-document norm (a
-    window over at most ``dim`` rows) reuse that partitioning: no further exchange.
+    Rows are spread on the id, at most some EMBED_ROWS a task, so the (id, bucket) count and the
+    per-document norm (a window over at most ``dim`` rows) reuse that partitioning: no further exchange.
     Weights are rounded to float32 exactly as the dense embedder stores them.
     """
-    d = spread(df.select(id_col, text_col), id_col)
+    d = spread(df.select(id_col, text_col), id_col, EMBED_ROWS)
     counts = (d.select(id_col, F.explode(hash_buckets(text_col, dim)).alias("bucket"))
               .groupBy(id_col, "bucket").agg(F.count(F.lit(1)).cast("double").alias("c")))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(id_col)))
