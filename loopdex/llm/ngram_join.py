@@ -11,7 +11,9 @@ Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of di
    they are joined with the whole set as first part, in a round of their own; sizes from SHORT to SHORT / t take part
    in both, and a pair belongs to the round that its larger set names.
 3. Rarity. An n-gram that only one class holds can't be shared. A class with more of those than a link allows can link
-   with nothing and leaves here, before any pair exists. Only survivors are read again, with exact frequencies.
+   with nothing and leaves here, before any pair exists. For this an n-gram is shuffled as eight bytes, 32 bits of its
+   hash inside its part and 32 bits of its class: n-grams that fall together there only seem shared, and classes that
+   fall together stay. Only survivors are read again, with exact frequencies.
 4. Candidates. Prefix n-grams are the join keys. Keys held by at most PAIR_LIST classes go through a self-join with
    the length, positional and suffix filters as its condition (the suffix filter bounds the distance by the counts in
    fixed hash ranges), distinct pairs are verified. Longer lists are cut into blocks, and each pair of blocks is one
@@ -47,6 +49,10 @@ BLOCK = 512
 BLOCK_BYTES = 64 << 20
 RANGES, FINE = 32, 512
 SALTS = 16
+#: n-grams of a part, and n-grams that a task deals to the parts at once.
+PART_GRAMS, DEALT_GRAMS = 1 << 20, 1 << 19
+#: The bits of a class that go with its n-grams.
+CLASS_BITS = 31
 _U = np.uint64
 
 
@@ -121,22 +127,107 @@ def _name(own: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
 
 
+def _counted(n: int, percent: int) -> tuple[bool, bool]:
+    """Does a set of n n-grams count in the round of short ones, and in that of long ones?"""
+    return 0 < n <= _short_top(percent), n >= SHORT
+
+
 def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, c, sent): c names the set; sent: what it sends in each round."""
+    """(doc_id, n, c, grams): c names the set; grams: how many n-grams of its first parts are counted."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, n, c, out = batch.column(0), [], [], []
+            ids, n, c, grams = batch.column(0), [], [], []
             for own in sets_of(batch.column(1), width):
+                short, long = _counted(len(own), percent)
                 n.append(len(own))
                 c.append(_name(own.tobytes()) if len(own) else None)
-                out.append([{"r": r, "h": h.view(np.int64)} for r, h in sent(own, percent)])
-            kind = pa.list_(pa.struct([("r", pa.int8()), ("h", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(out, kind)], names=["doc_id", "n", "c", "sent"])
+                grams.append(short * len(own) + (int(np.count_nonzero(own % _U(EVERY) == 0)) if long else 0))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(grams, pa.int64())], names=["doc_id", "n", "c", "grams"])
+
+    return docs.mapInArrow(_light(run), "doc_id bigint, n bigint, c bigint, grams bigint")
+
+
+def _code(c: int, r: int, bits: int) -> int:
+    """What goes with the n-grams of class c in round r: the last bits of c, and r."""
+    return (c & (1 << bits) - 1) << 1 | r
+
+
+def _dealt(texts: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """(part, grams): the first parts of the sets of texts (text), dealt to parts by hash; grams: a sorted long an n-gram,
+    32 bits of its hash above its class and round. Of an n-gram that several classes hold, two are sent by a task."""
+    bits = CLASS_BITS
+
+    def run(batches):
+        import pyarrow as pa
+
+        from loopdex.llm.wordhash import mix
+
+        held, codes, sizes, n = [], [], [], 0
+
+        def take(grams, code):
+            nonlocal n
+            held.append(grams)
+            codes.append(code)
+            sizes.append(len(grams))
+            n += len(grams)
+
+        def flush():
+            nonlocal n
+            keys = mix(np.concatenate(held))
+            x = keys << _U(32) | np.repeat(np.array(codes, np.uint64), sizes)
+            part = ((keys >> _U(32)) % _U(parts)).astype(np.uint32)
+            for some in (held, codes, sizes):
+                some.clear()
+            n = 0
+            order = np.lexsort((x, part))
+            x, part = x[order], part[order]
+            first = np.ones(len(x), bool)
+            first[1:] = (x[1:] >> _U(32) != x[:-1] >> _U(32)) | (part[1:] != part[:-1])
+            keep = first | np.append(first[1:], True)
+            x, part = x[keep], part[keep]
+            edges = np.flatnonzero(np.diff(part, prepend=part[:1] + 1))
+            offsets = np.append(edges, len(x)).astype(np.int32) * 8
+            grams = pa.Array.from_buffers(pa.binary(), len(edges), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+            return pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int64)), grams], names=["part", "grams"])
+
+        for batch in batches:
+            for own in sets_of(batch.column(0), width):
+                short, long = _counted(len(own), percent)
+                c = _name(own.tobytes()) if len(own) else None
+                if short:
+                    take(own, _code(c, 0, bits))
+                if long:  # divisible by EVERY: one more tells the round
+                    take(own[own % _U(EVERY) == 0] + _U(1), _code(c, 1, bits))
+                if n >= DEALT_GRAMS:
+                    yield flush()
+        if n:
+            yield flush()
+
+    return texts.mapInArrow(_light(run), "part bigint, grams binary")
+
+
+def _alone(texts: DataFrame, width: int, percent: int, grams: int) -> DataFrame:
+    """(code, alone): of each class and round (_code) the counted n-grams that no other class holds, as far as the parts
+    tell: never more than there are. grams: how many n-grams texts count."""
+
+    def only(table):
+        import pyarrow as pa
+
+        x = np.sort(np.frombuffer(b"".join(table.column("grams").to_pylist()), np.uint64))
+        key, code = x >> _U(32), x & _U((1 << 32) - 1)
+        last = np.append(key[1:] != key[:-1], True)
+        first = np.append(True, last[:-1])
+        code = code[first][code[first] == code[last]].astype(np.int64)
+        del x, key, first, last
+        _trim()
+        return pa.table({"code": pa.array(code)})
 
-    return docs.mapInArrow(_light(run), "doc_id bigint, n bigint, c bigint, sent array<struct<r:tinyint,h:array<bigint>>>")
+    dealt = _dealt(texts, width, percent, max(1, -(-grams // PART_GRAMS)))
+    # A row an n-gram, as partial sums by part would be more the more parts there are; Spark sums those of a task.
+    return dealt.groupBy("part").applyInArrow(only, "code bigint").groupBy("code").agg(F.count("*").alias("alone"))
 
 
 def _whole(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -350,11 +441,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     all_ = written(_classes(docs, width, percent), "classes")
     known = all_.where("doc_id IS NOT NULL AND c IS NOT NULL")
     # Copies send the same n-grams under the same class, so an n-gram is shared when two classes send it.
-    rows = known.select("c", F.inline("sent")).select("c", "r", F.explode("h").alias("h")).where(_first_part(F.col("r"), F.col("h")))
-    alone = rows.groupBy("r", "h").agg(F.min("c").alias("c"), F.max("c").alias("last")).where("c = last").groupBy("c", "r").agg(F.count("*").alias("alone"))
+    grams = known.agg(F.sum("grams")).first()[0] or 0
+    alone = _alone(docs.where("doc_id IS NOT NULL").select("text"), width, percent, grams)
     reps = written(known.groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "reps")
     rounds = reps.withColumn("r", F.explode(F.expr(f"filter(array(0, 1), r -> (r = 0 AND n <= {_short_top(percent)}) OR (r = 1 AND n >= {SHORT}))")))
-    rounds = rounds.join(alone, ["c", "r"], "left").where(f"coalesce(alone, 0) <= n - (({percent} * n + 99) div 100)")
+    rounds = rounds.withColumn("code", F.shiftleft(F.col("c").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)), 1) + F.col("r"))
+    # Classes of one code took each other's n-grams for their own, so that their counts say nothing.
+    several = rounds.groupBy("code").agg(F.count("*").alias("classes")).where("classes > 1")
+    rounds = rounds.join(alone, "code", "left").join(several, "code", "left")
+    rounds = rounds.where(f"classes IS NOT NULL OR coalesce(alone, 0) <= n - (({percent} * n + 99) div 100)")
+    rounds = written(rounds.select("c", "rep"), "rounds")
     survivors = written(rounds.select(F.col("rep").alias("doc_id")).distinct(), "survivors")
     # Few texts pass the broadcast Bloom filter of the survivors' ids, and only those are shuffled to the exact join.
     texts = bloom.with_answer(docs, "doc_id", bloom.build(survivors, "doc_id", survivors.count()), "maybe").where("maybe").drop("maybe")

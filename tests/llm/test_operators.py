@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loopdex.llm import kneser_ney, learned_partitions, ngram_join, plans, sentencepieces, separators, warc, wavelet
@@ -53,6 +55,38 @@ def test_ngram_join_long_lists(spark, monkeypatch):
     assert 2 < len({c for i, (_, c) in want.items() if i % 3 == 1})
 
 
+def test_ngram_join_rarity(spark, monkeypatch):
+    """n-grams are shuffled as eight bytes each to find those of one class, and aren't kept beside the documents; classes
+    that can't be told apart by the bits that go along lose no link."""
+    r = np.random.default_rng(3)
+    word = [f"w{i}" for i in range(400)]
+    long = [" ".join(r.choice(word, n)) for n in r.integers(20, 600, 60)]
+    rows = [(i, x) for i, x in enumerate(long + [x + " end" for x in long[:20]] + long[:5])] + [(100, None), (101, ""), (None, long[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    classes = ngram_join._classes(docs, 4, 85)
+    assert classes.columns == ["doc_id", "n", "c", "grams"]
+    grams = classes.where("doc_id IS NOT NULL").agg({"grams": "sum"}).first()[0]
+    some = docs.where("doc_id IS NOT NULL").select("text")
+    dealt = ngram_join._dealt(some, 4, 85, 3).collect()
+    assert {x.part for x in dealt} == {0, 1, 2} and sum(len(x.grams) for x in dealt) <= 8 * grams
+    holders, sets = defaultdict(set), {}
+    for doc_id, text in rows:
+        for own in ngram_join.sets_of(pa.array([text]), 4) if doc_id is not None else ():
+            for k in [k for k, counts in enumerate(ngram_join._counted(len(own), 85)) if counts]:
+                sets[ngram_join._name(own.tobytes()), k] = part = {int(h) for h in own if k == 0 or h % 4 == 0}
+                for h in part:
+                    holders[k, h].add(ngram_join._name(own.tobytes()))
+    want = {ngram_join._code(c, k, 31): sum(len(holders[k, h]) == 1 for h in part) for (c, k), part in sets.items()}
+    got = {x.code: x.alone for x in ngram_join._alone(some, 4, 85, grams).collect()}
+    assert got == {code: n for code, n in want.items() if n}
+    found = lambda: sorted(tuple(x) for x in ngram_join.near_duplicates(docs.where("doc_id IS NOT NULL"), 4, 85).collect())
+    before = found()
+    assert len({c for _, _, c in before}) < len(before) - 5
+    monkeypatch.setattr(ngram_join, "CLASS_BITS", 3)
+    monkeypatch.setattr(ngram_join, "PART_GRAMS", 500)
+    assert found() == before
+
+
 def test_ngram_join_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  b"), (6, "b a"), (None, "a b"), (7, "x " * 5000), (8, "x " * 5000 + "y"), (9, "one two three four"), (9, "one two three four")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).collect()}
