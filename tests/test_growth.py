@@ -88,3 +88,31 @@ def test_best_of_many_ranges_are_those_of_one(spark, tmp_dir):
     clauses = spark.createDataFrame([(q, 0, f"w{q} w{q + 3} all") for q in range(30)], "query_id long, clause_id int, text string")
     some = [[tuple(r) for r in ix.match_top(ix.write_index(docs, f"{tmp_dir}/{n}", range_docs=n), clauses, 10).select("query_id", "rank", "doc_id", F.round("score", 6)).collect()] for n in (4, 4096)]
     assert sorted(some[0]) == sorted(some[1]) and len(some[0]) == len({(r[0], r[2]) for r in some[0]}) == 300
+
+
+def test_hits_of_phrases_leave_a_range_as_its_best_only(spark, tmp_dir, monkeypatch):
+    """Every document holds the phrases, so a row a hit would grow with queries times documents. What is kept must be what all
+    candidates give: phrases, several of them, loose text beside them, masks, a phrase without tokens."""
+    from loopdex.config import SearchConfig
+    from loopdex.operators import search as S
+
+    rows = [(f"d{i:03d}", i, "red ring " * (i % 3 + 1) + f"old bolt w{i % 7}" + " x" * (i % 5), ["hot"] if i % 4 else ["cold"]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, seq long, combined_text string, tags array<string>")
+    cfg = SearchConfig(limit=6, blocked_tags=())
+    store = write_store(docs, f"{tmp_dir}/store", cfg=cfg, range_docs=16)
+    raw = ['"red ring"', '"red ring" "old bolt" w3', '"ring red" tag:cold', '"red ring" zzz', '"! !" "red ring"', '"red ring" -tag:hot w1 w2', "w5"]
+    queries = spark.createDataFrame(list(enumerate(raw)), "query_id long, raw string")
+    every = S.search(queries, store, cfg=cfg).text_candidates().collect()
+    names = []
+    monkeypatch.setattr(S, "written", lambda df, name, real=S.written: (names.append(name), real(df, name))[1])
+    found = S.search(queries, store, cfg=cfg)
+    got = {}
+    for r in sorted(found.text_list.collect(), key=lambda r: r.trank):
+        got.setdefault(r.query_id, []).append((r.doc_id, round(r.tscore, 5)))
+    want = {}
+    for r in sorted(every, key=lambda r: (-round(r.tscore, 6), r.doc_id)):
+        want.setdefault(r.query_id, []).append((r.doc_id, round(r.tscore, 5)))
+    assert got == {q: x[: cfg.list_depth] for q, x in want.items()} and set(got) == {0, 1, 2, 5, 6}
+    assert "phrase-candidates" not in names  # all hits, a row each, aren't made for the best
+    kept = ix.conjunct_candidates(store.text, *found._with_phrases, 2, found.masks)
+    assert max(r["count"] for r in kept.groupBy("query_id", "range").count().collect()) == 2
