@@ -35,6 +35,8 @@ from loopdex.session import written
 SAMPLE, MAX_CELLS, PARTS, TARGET = 65_536, 16_384, 8, 0.95
 ROUNDS = 12
 VECTORS_A_ROW, QUERIES_A_BLOCK = 8192, 1024
+#: Rows of candidates that a task holds before it drops those that others of their query surpass.
+HELD_ROWS = 1 << 20
 
 
 @dataclass
@@ -128,11 +130,11 @@ def write_index(vectors: DataFrame, path: str, k: int = 10, parts: int = PARTS,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("embedding"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["doc_id", "embedding", "cell", "code"])
 
     coded = written(some.mapInArrow(encode, "doc_id string, embedding array<float>, cell int, code binary"), "pq-coded")
-    # A cell may hold a third of all rows: its rows are dealt to several tasks and files.
-    deal = F.pmod(F.xxhash64("doc_id"), F.lit(8))
-    coded.select("doc_id", "embedding", "cell").repartition("cell", deal).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
-    packed = coded.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.lit(-(-n // VECTORS_A_ROW)))))
-    packed = packed.groupBy("cell", "deal").agg(F.sort_array(F.collect_list(F.struct("doc_id", "code"))).alias("rows"))
+    # A cell may hold a third of all rows: its rows are dealt to several tasks and files, each of thousands, however many cells.
+    size = F.broadcast(coded.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(VECTORS_A_ROW)).alias("deals")))  # at most MAX_CELLS rows
+    dealt = coded.join(size, "cell").withColumn("deal", F.pmod(F.xxhash64("doc_id"), "deals")).drop("deals")
+    dealt.select("doc_id", "embedding", "cell", "deal").repartition("cell", "deal").drop("deal").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    packed = dealt.groupBy("cell", "deal").agg(F.sort_array(F.collect_list(F.struct("doc_id", "code"))).alias("rows"))
     packed.select("cell", F.transform("rows", lambda r: r["doc_id"]).alias("ids"), F.transform("rows", lambda r: r["code"]).alias("codes")).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/codes")
     index = read_index(spark, path, tuned=False)
     probes, kept, recall = _tune(index, some, held, k, len(centers))
@@ -164,6 +166,20 @@ def probed(index: PqIndex, queries: DataFrame, probes: int) -> DataFrame:
     return knn_exact(centers, queries, probes).select("query_id", F.col("doc_id").cast("int").alias("cell"))
 
 
+def _best_rows(held: list, kept: int):
+    """The rows of batches (query_id, doc_id, cell, score) that score as well as their query's kept-th or better."""
+    import pyarrow as pa
+
+    rows = pa.Table.from_batches(held).combine_chunks()
+    code = rows.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    score = np.nan_to_num(rows.column("score").to_numpy(), nan=np.inf, posinf=np.inf, neginf=-np.inf)  # NaN comes first, as in Spark
+    order = np.lexsort((-score, code))
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+    ends = np.append(starts[1:], len(order))
+    floor = score[order[np.minimum(starts + kept, ends) - 1]]
+    return rows.take(pa.array(np.flatnonzero(score >= floor[code]))).combine_chunks().to_batches()[0]
+
+
 def candidates(index: PqIndex, queries: DataFrame, probes: int, kept: int) -> DataFrame:
     """(query_id, doc_id, cell, score): the kept best of each query by looked-up scores in its cells."""
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
@@ -178,6 +194,7 @@ def candidates(index: PqIndex, queries: DataFrame, probes: int, kept: int) -> Da
     def run(batches):
         import pyarrow as pa
 
+        names, held, size = ["query_id", "doc_id", "cell", "score"], [], 0
         for batch in batches:
             for i in range(len(batch)):
                 ids, raw = batch.column("ids")[i].values, b"".join(batch.column("codes")[i].values.to_pylist())
@@ -193,7 +210,15 @@ def candidates(index: PqIndex, queries: DataFrame, probes: int, kept: int) -> Da
                 best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
                 row = np.repeat(np.arange(len(q)), keep)
                 columns = [asked.field("query_id").take(pa.array(row)), ids.take(pa.array(best.ravel())), pa.array(np.full(len(row), batch.column("cell")[i].as_py(), np.int32)), pa.array(score[row, best.ravel()])]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "cell", "score"])
+                held, size = [*held, pa.RecordBatch.from_arrays(columns, names=names)], size + len(row)
+                if size >= HELD_ROWS:
+                    held = [_best_rows(held, kept)]
+                    size = len(held[0])
+                    if size >= HELD_ROWS // 2:  # many queries, few rows each
+                        yield from held
+                        held, size = [], 0
+        if held:
+            yield _best_rows(held, kept)
 
     kind = dict(queries.dtypes)["query_id"]
     found = rows.select("cell", "ids", "codes", "queries", "centroid").mapInArrow(run, f"query_id {kind}, doc_id string, cell int, score double")
@@ -217,7 +242,7 @@ def _tune(index: PqIndex, vectors: DataFrame, held: DataFrame, k: int, cells: in
     own = held.select("query_id", "own")
     without = lambda df: top_k_per_group(df.join(own, "query_id").where("doc_id <> own").drop("vrank"), "query_id", [round6("score").desc(), F.col("doc_id")], k, "vrank")
     truth = written(without(knn_exact(vectors, held, k + 1)).select("query_id", "doc_id"), "pq-truth")
-    kept, probes, recall = 8 * k, 1, 0.0
+    kept, probes, recall = 8 * k, _least_probes(index, held, truth, cells), 0.0
     while True:
         last, most = recall, probes >= cells
         recall = recall_at_k(without(knn(index, held, k + 1, probes, kept)), truth).agg(F.avg("recall")).first()[0]
@@ -227,3 +252,18 @@ def _tune(index: PqIndex, vectors: DataFrame, held: DataFrame, k: int, cells: in
             kept *= 4
         else:
             probes = min(cells, probes * 2)
+
+
+def _least_probes(index: PqIndex, held: DataFrame, truth: DataFrame, cells: int) -> int:
+    """The least doubling of probes whose cells hold TARGET of the true neighbours: fewer can't find as many, so none is tried."""
+    centers = index.cells.select(F.col("cell").cast("string").alias("doc_id"), F.col("centroid").alias("embedding"))
+    place = knn_exact(centers, held, cells).select("query_id", F.col("doc_id").cast("int").alias("cell"), "vrank")
+    at = index.vectors.select("doc_id", "cell").join(F.broadcast(truth), "doc_id").join(place, ["query_id", "cell"])
+    at = truth.join(at.groupBy("query_id", "doc_id").agg(F.min("vrank").alias("place")), ["query_id", "doc_id"], "left")
+    tries = [1]
+    while tries[-1] < cells:
+        tries.append(min(cells, tries[-1] * 2))
+    # A column a doubling: the share of the neighbours of each query, then their mean.
+    shares = at.groupBy("query_id").agg(*[F.avg(F.coalesce((F.col("place") <= p).cast("double"), F.lit(0.0))).alias(f"p{p}") for p in tries])
+    means = shares.agg(*[F.avg(f"p{p}") for p in tries]).first()
+    return next((p for p, mean in zip(tries, means) if mean is not None and mean >= TARGET - 1e-9), cells)

@@ -68,3 +68,42 @@ def test_pq_edges(spark, tmp_dir):
     assert pq.knn(index, queries.limit(0), 2).collect() == []
     with pytest.raises(ValueError, match="no vectors"):
         pq.write_index(vectors.limit(0), f"{tmp_dir}/none")
+
+
+def test_tuning_tries_no_probes_that_hold_too_few(spark, tmp_dir, monkeypatch):
+    """Each try searches all cells that it probes; those whose cells hold too few true neighbours can't reach the target."""
+    vectors = frame(spark, np.random.default_rng(3).normal(size=(1200, 16)).astype(np.float32))
+    index = pq.write_index(vectors, f"{tmp_dir}/pq", 10)
+    cells, held = index.cells.count(), pq.ivf_hold_out(vectors)[1]
+    # A cell of few rows is one file and one row of codes, however many cells there are.
+    assert len(index.vectors.inputFiles()) == len(index.codes.inputFiles()) == index.codes.count() <= cells
+    tried, knn = [], pq.knn
+    monkeypatch.setattr(pq, "knn", lambda index, queries, k, probes=None, kept=None: (tried.append(probes), knn(index, queries, k, probes, kept))[1])
+    tuned = pq._tune(index, vectors, held, 10, cells)
+    some, tried[:] = list(tried), []
+    monkeypatch.setattr(pq, "_least_probes", lambda *_: 1)
+    assert pq._tune(index, vectors, held, 10, cells) == tuned == (index.probes, index.kept, pytest.approx(tuned[2]))
+    assert some[0] >= 8 and tried[-len(some):] == some and len(some) <= len(tried) - 3
+
+
+@pytest.mark.parametrize("most", [1, 500, 1 << 20])
+def test_candidates_are_cut_in_the_task(spark, tmp_dir, monkeypatch, most):
+    """More than a thousand kept rows a query: Spark makes no limit of its own before the exchange, so the kernel does."""
+    vectors = frame(spark, np.random.default_rng(5).normal(size=(600, 8)).astype(np.float32))
+    index = pq.write_index(vectors, f"{tmp_dir}/pq", 10, cells=30)
+    queries = frame(spark, np.random.default_rng(6).normal(size=(9, 8)).astype(np.float32), "query_id")
+    best = lambda kept: {(r.query_id, r.doc_id) for r in pq.candidates(index, queries, 30, kept).collect()}
+    rows = [(r.query_id, -r.score, r.doc_id) for r in pq.candidates(index, queries, 30, 600).collect()]
+    assert len(rows) == 9 * 600
+    monkeypatch.setattr(pq, "HELD_ROWS", most)
+    want = {(q, d) for q in range(9) for _, _, d in sorted(r for r in rows if r[0] == q)[:50]}
+    assert best(50) == want and len(best(600)) == 9 * 600
+
+
+def test_rows_of_a_query_that_others_surpass_go():
+    import pyarrow as pa
+
+    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(("query_id", "doc_id", "cell", "score"), r)) for r in rows])
+    held = [batch((1, "a", 0, 1.0), (2, "a", 0, -5.0), (1, "b", 0, 3.0)), batch((1, "c", 1, 2.0), (1, "d", 1, 2.0), (1, "e", 1, float("nan")))]
+    kept = pq._best_rows(held, 3).to_pydict()
+    assert list(zip(kept["query_id"], kept["doc_id"])) == [(2, "a"), (1, "b"), (1, "c"), (1, "d"), (1, "e")]  # ties stay
