@@ -116,3 +116,93 @@ def test_hits_of_phrases_leave_a_range_as_its_best_only(spark, tmp_dir, monkeypa
     assert "phrase-candidates" not in names  # all hits, a row each, aren't made for the best
     kept = ix.conjunct_candidates(store.text, *found._with_phrases, 2, found.masks)
     assert max(r["count"] for r in kept.groupBy("query_id", "range").count().collect()) == 2
+
+
+def _store_of_many_ranges(spark, path, cfg, n=240):
+    docs = [(f"d{i * 7 % n:03d}", i * 5 % n, "red ring " * (i % 3 + 1) + f"old bolt w{i % 7} v{i % 11}" + " x" * (i % 5), [f"Tag w{i % 7}", f"v{i % 11}"]) for i in range(n)]
+    docs = spark.createDataFrame(docs, "doc_id string, seq long, combined_text string, tags array<string>")
+    vectors = docs.select("doc_id", F.expr("transform(sequence(1, 4), i -> cast(sin(seq * i + i) as float))").alias("embedding"))
+    return docs, write_store(docs, path, vectors, cfg=cfg, range_docs=4)
+
+
+def _queries(spark, n):
+    forms = ["w{a} v{b}", '"red ring" "old bolt" v{b} -tag:v{b}', '"bolt w{a}" tag:"tag w{a}"', "tag:v{b} -tag:w{a}", "x tag:v{a} -tag:v{b}", '"! !" w{a}', "", "zzz tag:v{a}"]
+    rows = [(i, forms[i % len(forms)].format(a=i % 7, b=i % 11)) for i in range(n)]
+    return spark.createDataFrame(rows, "query_id long, raw string"), [(i, [float((i * 3 + j * j) % 5 - 2) for j in range(4)]) for i in range(0, n, 3)]
+
+
+@pytest.mark.parametrize("group", [3, 16384])
+def test_lists_of_groups_are_those_of_all_candidates(spark, tmp_dir, monkeypatch, group):
+    """However queries and ranges are dealt: the text lists are the best of all candidates, the vector lists those of a loop over
+    all pairs, the first documents those that the masks leave in store order."""
+    import numpy as np
+
+    from loopdex.config import SearchConfig
+    from loopdex.operators import lists
+    from loopdex.operators import search as S
+    from loopdex.operators import tag_bitmaps as tb
+
+    monkeypatch.setattr(lists, "ASKS_A_TASK", group)
+    cfg = SearchConfig(limit=6, blocked_tags=("v3",))
+    docs, store = _store_of_many_ranges(spark, f"{tmp_dir}/store", cfg)
+    queries, qv = _queries(spark, 80)
+    found = S.search(queries, store, None, spark.createDataFrame(qv, "query_id long, embedding array<double>"), cfg)
+    want = {}
+    for r in sorted(found.text_candidates().collect(), key=lambda r: (-round(r.tscore, 6), r.doc_id)):
+        want.setdefault(r.query_id, []).append((r.doc_id, round(r.tscore, 5)))
+    got = {}
+    for r in sorted(found.text_list.collect(), key=lambda r: r.trank):
+        got.setdefault(r.query_id, []).append((r.doc_id, round(r.tscore, 5)))
+    assert got == {q: x[:6] for q, x in want.items()} and len(got) > 20
+    allowed = {}
+    for r in tb.places(found.masks.of.join(found.masks.bits, "filter").select("query_id", "range", "mask")).join(store.text.docs, ["range", "local"]).collect():
+        allowed.setdefault(r.query_id, []).append((r.seq, r.doc_id))
+    first = {}
+    for r in sorted(found._first().collect(), key=lambda r: r.seq):
+        first.setdefault(r.query_id, []).append((r.seq, r.doc_id))
+    plain = [r.query_id for r in found.pq.where("mode IN ('tags', 'all')").collect()]
+    assert first == {q: sorted(allowed[q])[:6] for q in plain if q in allowed} and len(first) > 10
+    vector = {r.doc_id: np.array(r.embedding, np.float64) for r in store.vectors.join(store.text.docs, ["range", "local"]).collect()}
+    near = {}
+    for r in sorted(found.vector_list.collect(), key=lambda r: r.vrank):
+        near.setdefault(r.query_id, []).append(r.doc_id)
+    loose = {r.query_id for r in found.pq.where("use_vector").collect()}
+    asked = {q: np.array(x) for q, x in qv if q in loose and q in allowed}
+    assert near == {q: sorted((d for _, d in allowed[q]), key=lambda d: (-round(float(vector[d] @ x), 6), d))[:6] for q, x in asked.items()} and len(near) > 10
+
+
+def test_hits_write_no_row_a_query_and_range(spark, tmp_dir, monkeypatch):
+    """Masks, bounds and asked ranges were written a row a query (or filter) and range; only the best of a query may be."""
+    from loopdex.config import SearchConfig
+    from loopdex.operators import lists, tag_bitmaps
+    from loopdex.operators import search as S
+
+    cfg, n = SearchConfig(limit=2, blocked_tags=()), 150
+    docs, store = _store_of_many_ranges(spark, f"{tmp_dir}/store", cfg)
+    ranges = store.orders.count()
+    queries, qv = _queries(spark, n)
+    rows = []
+    for module in (S, lists, tag_bitmaps, ix):
+        monkeypatch.setattr(module, "written", lambda df, name, real=module.written: (out := real(df, name), rows.append((out.count(), name)))[0])
+    hits = S.search(queries, store, None, spark.createDataFrame(qv, "query_id long, embedding array<double>"), cfg).hits
+    assert hits.select("query_id").distinct().count() > n // 2
+    assert ranges >= 60 and max(rows)[0] <= 2 * 2 * n < n * ranges // 4, rows
+
+
+def test_hits_of_queries_that_say_the_same_or_share_an_id(spark, tmp_dir, monkeypatch):
+    from loopdex.config import SearchConfig
+    from loopdex.operators import search as S
+
+    monkeypatch.setattr(S, "QUERIES_A_DEAL", 2)
+    cfg = SearchConfig(limit=4, blocked_tags=())
+    docs, store = _store_of_many_ranges(spark, f"{tmp_dir}/store", cfg, 60)
+    raw = [(1, "w1 v2"), (2, "v2  W1"), (3, "v2 w1"), (4, "w1 tag:v2"), (5, ""), (6, "  "), (7, '"red ring"'), (7, '"red ring"'), (8, "w1"), (8, "tag:v2"), (None, "w1"), (9, None), (10, "w1 v2")]
+    queries = spark.createDataFrame(raw, "query_id long, raw string")
+    vectors = spark.createDataFrame([(3, [1.0, 0.0, 0.0, 0.5]), (8, [0.0, 1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    every = lambda q: {i: sorted((r["rank"], r.doc_id, round(r.list_score, 6)) for r in q if r.query_id == i) for i in {r.query_id for r in q}}
+    hits = every(S.search(queries, store, None, vectors, cfg).hits.collect())
+    assert hits[1] == hits[2] == hits[10] and len(hits[1]) == 4 and hits[3] != hits[1] and hits[5] == hits[6] == hits[9] and None not in hits
+    for i, text in ((3, "v2 w1"), (4, "w1 tag:v2")):
+        alone = S.search(spark.createDataFrame([(i, text)], "query_id long, raw string"), store, None, vectors, cfg).hits.collect()
+        assert every(alone) == {i: hits[i]}
+    assert len(hits[8]) == 4
